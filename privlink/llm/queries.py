@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact, html, token_files, toxicity, urls, warc
+from . import bpe, decontaminate, exact, html, minhash, token_files, toxicity, urls, warc
 from .common import table
 
 #: Rules of the URL filter (fixed values): verdict, host, path.
@@ -40,6 +40,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, vocabulary("byte_bpe_50k.tiktoken"), split_pattern(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -76,7 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_byte_bpe, op4_url_filter, op5_token_files, op7_exact_dedup, op8_toxicity, op9_html_text, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_byte_bpe, op4_url_filter, op5_token_files, op7_exact_dedup, op8_toxicity, op9_html_text, op10_warc)}
 
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
