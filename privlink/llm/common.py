@@ -39,11 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files; a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
+    """Write ``df`` to the shared folder and go on from the files; a lost executor costs no recomputation.
+
+    Constraints stay behind: a checkpoint that remembers those of a union can't be joined with itself.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+        sc.setCheckpointDir(shared_dir(spark))
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
 
 
 def ship(spark: SparkSession) -> None:

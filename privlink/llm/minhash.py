@@ -44,6 +44,8 @@ BANDS, ROWS, MANTISSA = 48, 8, 10
 REGISTERS = BANDS * ROWS
 #: Members of a bucket that meet the members of another such part in one call.
 BLOCK = 256
+#: Parts that the copies of a class are dealt over when they learn their representative.
+SALTS = 32
 #: Standard errors by which an estimate may miss the threshold and still be verified.
 SLACK = 4.5
 #: Ids that are broadcast to filter the texts (8 bytes each); beyond it the filter is a shuffled semi join.
@@ -264,9 +266,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = signed.where("id is not null and n > 0")
 
     # classes of equal sets; the smallest id stands for its class
-    classes = known.groupBy("class").agg(F.min("id").alias("rep"))
-    spread = cut(known.select("id", "class").join(classes, "class").select("id", "rep").distinct())
-    reps = known.join(classes.select(F.col("rep").alias("id"), "class"), ["id", "class"], "left_semi").dropDuplicates(["id", "class"])
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    classes = known.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    classes = classes.select("class", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+    spread = cut(known.select("id", "class", salt.alias("salt")).join(classes, ["class", "salt"]).where("id <> rep").select("id", "class", "rep").distinct())
+    reps = known.join(spread, ["id", "class"], "left_anti").dropDuplicates(["id", "class"])
 
     members = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
@@ -276,7 +280,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = hits.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "filled", "registers", "hashes")]), side)
-    links = cut(_stars(pairs).unionByName(spread.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    links = cut(_stars(pairs).unionByName(spread.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     found = cut(components(links))
 
     label = found.select(F.col("node").alias("id"), "component")

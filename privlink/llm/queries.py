@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact, html, minhash, token_files, toxicity, urls, warc
+from . import bpe, decontaminate, exact, html, lines, minhash, token_files, toxicity, urls, warc
 from .common import table
 
 #: Rules of the URL filter (fixed values): verdict, host, path.
@@ -59,6 +59,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc(token_files.read(spark, path))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
@@ -80,7 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_byte_bpe, op4_url_filter, op5_token_files, op7_exact_dedup, op8_toxicity, op9_html_text, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_byte_bpe, op4_url_filter, op5_token_files, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_html_text, op10_warc)}
 
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
