@@ -268,7 +268,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # classes of equal sets; the smallest id stands for its class
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     classes = known.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    classes = classes.select("class", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+    classes = classes.select("class", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
     spread = cut(known.select("id", "class", salt.alias("salt")).join(classes, ["class", "salt"]).where("id <> rep").select("id", "class", "rep").distinct())
     reps = known.join(spread, ["id", "class"], "left_anti").dropDuplicates(["id", "class"])
 
