@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, ship
+from .common import cut, shared_dir, ship, shuffle_partitions
 
 #: A frame is closed at this many raw bytes or records, a bundle at this many compressed bytes.
 FRAME_BYTES, FRAME_RECORDS, BUNDLE_BYTES = 1 << 20, 256, 64 << 20
@@ -210,7 +210,8 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                         frame = unzip.decompress(f.read(packed), max_output_size=raw)
                         yield _batch([_row(h, b) for _, _, h, b in parse_records(frame)], wanted)
 
-    bundles = index.select("bundle").distinct()
+    # as many tasks as the session's shuffles have: a bundle is much work behind a short row
+    bundles = index.select("bundle").distinct().repartition(shuffle_partitions(index.sparkSession), "bundle")
     return bundles.mapInArrow(run, schema)
 
 
