@@ -2,7 +2,7 @@
 
 ``write`` sorts the documents by id into ranges, encodes each text with the tokenizers library, appends the end id and
 writes one file per range through Spark's own writer: ids and lengths as DELTA_BINARY_PACKED integers (writer version
-2, no dictionary) or dictionary-encoded, zstd pages, row groups of ``row_group`` bytes, and the column and offset
+2, no dictionary) or dictionary-encoded, row groups of ``row_group`` bytes, and the column and offset
 indexes that the writer always adds.  Metadata (doc_id, range number, offset within the range, length) is stored in
 columns of its own, so ``read`` answers positions without touching an id page and fetches ids only where asked.
 
@@ -27,54 +27,72 @@ from .common import shared_dir, ship
 
 #: A space with white space (or the end) on both sides: only there may a cut in front of a space change a match.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
-#: Distinct pieces that a worker remembers before it starts again; about 120 MB.
-REMEMBER = 400_000
+#: Distinct pieces, and their characters, that a worker remembers before it starts again; about 200 MB.
+REMEMBER, REMEMBER_CHARS = 900_000, 16 << 20
 FILE_SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
 
 
-@functools.lru_cache(maxsize=2)
-def _library(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return t, {}
-
-
-def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text.  Texts are cut in front of spaces, where a match of the split pattern always ends, and each
-    distinct piece is encoded once; a text in which such a cut could matter is encoded whole."""
-    lib, known = _library(path)
-    if len(known) > REMEMBER:
-        known.clear()
-    cuts: list[list[str] | None] = []
-    new: dict[str, None] = {}
-    for text in texts:
-        if UNSAFE.search(text):
-            cuts.append(None)
-            continue
-        first, *rest = text.split(" ")
-        parts = [first] if first else []
-        parts += [" " + p for p in rest]
-        cuts.append(parts)
-        for p in parts:
-            if p not in known:
-                new[p] = None
-    missing = list(new)
-    for i in range(0, len(missing), 4096):
-        chunk = missing[i : i + 4096]
-        for piece, e in zip(chunk, lib.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
-            known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-    out = []
-    for text, parts in zip(texts, cuts, strict=True):
-        if parts is None:
-            out.append(np.array(lib.encode(text, add_special_tokens=False).ids, dtype="<u4"))
-        else:
-            out.append(np.frombuffer(b"".join([known[p] for p in parts]), dtype="<u4"))
-    return out
+class Encoder:
+    """The library's tokenizer with a memory of pieces.
+
+    Texts are cut in front of spaces, where a match of the split pattern always ends, and each distinct piece is encoded
+    once; a text in which such a cut could matter is encoded whole.
+    """
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.lib.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        vocab = self.lib.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id: one character of a token is one byte
+        self.bytes_of[list(vocab.values())] = [len(t) for t in vocab]
+        self.known: dict[str, bytes] = {}  # a piece without its leading space: the ids of " " + piece
+        self.held = 0  # characters in known
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        self.held += sum(map(len, pieces))
+        for lo in range(0, len(pieces), 1024):  # one call for many pieces; their bytes tell where the ids of each end
+            some = pieces[lo : lo + 1024]
+            text = " " + " ".join(some)
+            if UNSAFE.search(text):  # empty pieces, or white space where two pieces meet
+                self.known.update((w, self.ids(" " + w)) for w in some)
+                continue
+            flat = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            sizes = map(len, some) if text.isascii() else [len(w.encode()) for w in some]
+            ends = np.searchsorted(np.cumsum(self.bytes_of[flat]), np.cumsum(np.fromiter(sizes, np.int64, len(some)) + 1)) + 1
+            raw, ends = flat.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(some, [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBER or self.held > REMEMBER_CHARS:
+            self.known.clear()
+            self.held = 0
+        cuts = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
+        new: set[str] = set()
+        for parts in cuts:
+            if parts:
+                new.update(set(parts[1:]).difference(self.known))
+        self.learn(list(new))
+        get = self.known.__getitem__
+        out = []
+        for text, parts in zip(texts, cuts, strict=True):
+            out.append(self.ids(text) if parts is None else (self.ids(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:])))
+        return out
+
+
+encoder = functools.lru_cache(maxsize=2)(Encoder)
+
+
+def encode_batch(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of each text, as little-endian unsigned 32-bit integers."""
+    return encoder(path).batch(texts)
 
 
 def write(
@@ -97,15 +115,17 @@ def write(
         .withColumn("part", F.spark_partition_id())
     )
 
+    end = int(end_id).to_bytes(4, "little")
+
     def run(batches):
         at = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                ids = [np.append(x, np.uint32(end_id)) for x in encode_batch(tokenizer_path, some.column(1).to_pylist())]
-                lens = np.array([len(x) for x in ids], dtype=np.int64)
+                raw = [x + end for x in encode_batch(tokenizer_path, some.column(1).to_pylist())]
+                lens = np.array([len(x) // 4 for x in raw], dtype=np.int64)
                 ends = np.cumsum(lens)
-                flat = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], type=pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                flat = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], type=pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(2), pa.array(at + ends - lens), pa.array(lens), flat],
                     names=["doc_id", "part", "at", "n_tokens", "ids"],
@@ -114,7 +134,7 @@ def write(
 
     (
         placed.mapInArrow(run, FILE_SCHEMA)
-        .write.option("compression", "zstd")
+        .write.option("compression", "none")  # packed ids hardly shrink
         .option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", str(dictionary).lower())
         .option("parquet.block.size", str(row_group))
