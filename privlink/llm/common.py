@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship  # noqa: F401  the operators take it from here
+
 #: ASCII white space as the contracts count it (a fixed value): space, \t \n \v \f \r.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_shipped: set[str] = set()
 _local_dir: list[str] = []
 
 
@@ -56,23 +55,6 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    at = os.path.join(tempfile.mkdtemp(prefix="privlink-zip-"), "privlink_workers.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
-    sc.addPyFile(at)
-    _shipped.add(sc.applicationId)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
