@@ -18,10 +18,12 @@ THRESHOLD = 0.70
 
 
 def jaro(a: str, b: str) -> float:
-    """Matches within half the longer length, less one; half the transposed ones count against."""
+    """Matches within half the longer length, less one; half the transposed ones, rounded down, count against."""
     if a == b:
         return 1.0 if a else 0.0
-    reach = max(len(a), len(b)) // 2 - 1
+    if len(a) > len(b):
+        a, b = b, a
+    reach = max(len(b) // 2 - 1, 0)
     used = [False] * len(b)
     mine = []
     for i, ch in enumerate(a):
@@ -33,7 +35,7 @@ def jaro(a: str, b: str) -> float:
     if not mine:
         return 0.0
     theirs = [b[j] for j, u in enumerate(used) if u]
-    m, t = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
+    m, t = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - t) / m) / 3
 
 

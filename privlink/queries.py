@@ -175,7 +175,7 @@ def jaro_matches(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     rows = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(12,2)").cast("string").alias("balance"))
-    return linkage.similarity_vectors(linkage.self_pairs(rows, "s_suppkey", ["s_name", "balance"], blocks=4), ["s_name", "balance"], threshold=0.69)
+    return linkage.similarity_vectors(linkage.self_pairs(rows, "s_suppkey", ["s_name", "balance"], blocks=4), ["s_name", "balance"])
 
 
 def vector_histogram(spark, sf_dir):
@@ -370,7 +370,7 @@ def oracle_sql() -> dict[str, str]:
     clk = _clk_sql("a", "part", "p_partkey", PART_BAGS, BITS)
     keys = f"WITH {clk}, {_keys_sql('k', 'a')}"
     vec = """WITH v AS (SELECT a.s_suppkey AS s_suppkey_a, b.s_suppkey AS s_suppkey_b,
-        CAST(jaro_similarity(a.s_name, b.s_name) >= 0.69 AS BIGINT) + 2 * CAST(jaro_similarity(CAST(CAST(a.s_acctbal AS DECIMAL(12,2)) AS VARCHAR), CAST(CAST(b.s_acctbal AS DECIMAL(12,2)) AS VARCHAR)) >= 0.69 AS BIGINT) AS vec
+        CAST(jaro_similarity(a.s_name, b.s_name) >= 0.7 - 1e-9 AS BIGINT) + 2 * CAST(jaro_similarity(CAST(CAST(a.s_acctbal AS DECIMAL(12,2)) AS VARCHAR), CAST(CAST(b.s_acctbal AS DECIMAL(12,2)) AS VARCHAR)) >= 0.7 - 1e-9 AS BIGINT) AS vec
         FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey)"""
     score = " + ".join(f"CASE WHEN (vec >> {j}) & 1 = 1 THEN ln({m}::DOUBLE / {u}) ELSE ln((1 - {m}::DOUBLE) / (1 - {u}::DOUBLE)) END" for j, (m, u) in enumerate(zip(M, U, strict=True)))
     clk_out = _set_bits_sql(clk).format("a")
