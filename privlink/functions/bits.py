@@ -77,24 +77,24 @@ def common_ones(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Common over either; NaN for two empty filters."""
+    """Common over either; null for two empty filters."""
     ship()
     return _jaccard(a, b)
 
 
 def dice(a: Column, b: Column) -> Column:
-    """Twice the common over the sum; NaN for two empty filters."""
+    """Twice the common over the sum; null for two empty filters."""
     ship()
     return _dice(a, b)
 
 
 def similar(method: str, a: Column, b: Column, threshold: float) -> Column:
-    """Whether two filters match: a distance of at most, or a similarity of at least, the threshold; NaN never does."""
+    """Whether two filters match: a distance of at most, or a similarity of at least, the threshold; two empty filters never do."""
     if method == "hamming":
         return hamming(a, b) <= threshold
     if method in ("jaccard", "dice"):
         value = jaccard(a, b) if method == "jaccard" else dice(a, b)
-        return ~F.isnan(value) & (value >= threshold)
+        return F.coalesce(value >= threshold, F.lit(False))
     raise ValueError(f"{method!r} is none of {METHODS}")
 
 
