@@ -12,8 +12,7 @@ only buckets whose lines are not in one component yet are compared further, in p
 in the first bucket that it shares.
 
 Defined results: null text has one empty line; lines without words are never dropped; equal lines (after normalisation)
-are one node however often they occur; rows that repeat an id are repeated occurrences of the same lines, of which all
-copies of the kept position stay; null ids come after all others; an empty table gives an empty table; other columns are
+are one node however often they occur; rows that repeat an id and its text give each line once; null ids come after all others; an empty table gives an empty table; other columns are
 not looked at.
 """
 

@@ -36,7 +36,7 @@ from .common import cut, ship
 SAMPLE = 12_000
 STEMS = (4, 5, 6)
 #: Bounds on learned terms, and the least log odds and number of toxic texts of a term.
-MAX_TERMS, MIN_ODDS, MIN_TEXTS = 2_000, 4.0, 5
+MAX_TERMS, MIN_ODDS, MIN_TEXTS = 2_000, 3.5, 4
 STEM_TERMS = 4
 FUZZY_FROM = 5
 WINDOW = 6
