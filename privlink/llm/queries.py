@@ -54,9 +54,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_files.fresh_path(spark)
-    token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path, end_id=2)
-    return token_files.with_crc(token_files.read(spark, path))
+    manifest = token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), token_files.fresh_path(spark), end_id=2)
+    return token_files.read(manifest, with_ids=False, with_crc=True)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Token ids as Parquet: list columns with delta or dictionary encoding, controlled row groups and page indexes.
 
-``write`` sorts the documents by id into ranges, encodes each text with the tokenizers library, appends the end id and
-writes one file per range through Spark's own writer: ids and lengths as DELTA_BINARY_PACKED integers (writer version
-2, no dictionary) or dictionary-encoded, row groups of ``row_group`` bytes, and the column and offset
-indexes that the writer always adds.  Metadata (doc_id, range number, offset within the range, length) is stored in
-columns of its own, so ``read`` answers positions without touching an id page and fetches ids only where asked.
+``write`` deals the documents by id into ranges, sorts each, encodes the texts with the tokenizers library, appends the
+end id and writes one file for each range from the worker that holds it: integers as DELTA_BINARY_PACKED (or by
+dictionary), row groups of about ``row_group`` bytes of ids, pages of ``page`` bytes, page indexes on.  It returns the
+manifest: range, path, documents, ids.  File names carry a random part and only tasks that ended well are in the
+manifest, so retried or speculative tasks do no harm.
 
-The global start of a document is its offset plus the lengths of the ranges before it; one row per range enters that sum.
+Metadata (doc_id, offset within the file, length) has columns of its own: ``read`` answers positions without touching a
+page of ids, and Spark's own reader, on the same files, prunes row groups and pages by doc_id.  The global start of a
+document is its offset plus the ids of the ranges before it; one row for each file enters that sum.
 
 Defined results: a null text counts as empty and has the end id alone; rows with equal ids are ordered by their text;
-null ids come first; an empty table gives empty files; other columns are not looked at.
+null ids come first; an empty table gives no file; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,19 +19,22 @@ from __future__ import annotations
 import functools
 import re
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship
+from .common import cut, shared_dir, ship, shuffle_partitions
 
 #: A space with white space (or the end) on both sides: only there may a cut in front of a space change a match.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Distinct pieces, and their characters, that a worker remembers before it starts again; about 200 MB.
 REMEMBER, REMEMBER_CHARS = 900_000, 16 << 20
-FILE_SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
+FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32())))])
 
 
 class Encoder:
@@ -105,8 +110,8 @@ def write(
     row_group: int = 16 << 20,
     page: int = 256 << 10,
     dictionary: bool = False,
-) -> None:
-    """Encode and write; files are in ascending id order, within and across ranges (``part``)."""
+) -> DataFrame:
+    """Encode and write; ids ascend within files and over the ranges (``part``).  Returns the manifest."""
     ship(df.sparkSession)
     placed = (
         df.select(df[id_col].cast("bigint").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
@@ -114,62 +119,66 @@ def write(
         .sortWithinPartitions("doc_id", "text")
         .withColumn("part", F.spark_partition_id())
     )
-
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        at = 0
+        writer, path, part, at, docs, held, size = None, "", 0, 0, 0, [], 0
+        packed = None if dictionary else dict.fromkeys(("doc_id", "at", "n_tokens", "ids.list.element"), "DELTA_BINARY_PACKED")
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 raw = [x + end for x in encode_batch(tokenizer_path, some.column(1).to_pylist())]
                 lens = np.array([len(x) // 4 for x in raw], dtype=np.int64)
                 ends = np.cumsum(lens)
-                flat = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], type=pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(2), pa.array(at + ends - lens), pa.array(lens), flat],
-                    names=["doc_id", "part", "at", "n_tokens", "ids"],
-                )
+                flat = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], type=pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")), type=FILE_SCHEMA.field("ids").type)
+                if writer is None:
+                    store, root = fs.FileSystem.from_uri(out_path)
+                    store.create_dir(root, recursive=True)
+                    part = some.column(2)[0].as_py()
+                    name = f"part-{part:06d}-{uuid.uuid4().hex}.parquet"
+                    path = f"{out_path}/{name}"
+                    writer = pq.ParquetWriter(f"{root}/{name}", FILE_SCHEMA, filesystem=store, use_dictionary=dictionary, column_encoding=packed, compression="none", data_page_size=page, write_page_index=True)
+                held.append(pa.RecordBatch.from_arrays([some.column(0), pa.array(at + ends - lens), pa.array(lens), flat], schema=FILE_SCHEMA))
                 at += int(ends[-1])
-
-    (
-        placed.mapInArrow(run, FILE_SCHEMA)
-        .write.option("compression", "none")  # packed ids hardly shrink
-        .option("parquet.writer.version", "v2")
-        .option("parquet.enable.dictionary", str(dictionary).lower())
-        .option("parquet.block.size", str(row_group))
-        .option("parquet.page.size", str(page))
-        .parquet(out_path)
-    )
-
-
-def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and, if asked for, ids."""
-    files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+                docs += len(raw)
+                size += 4 * int(ends[-1])
+                if size >= row_group:
+                    writer.write_table(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if writer is not None:
+            if held:
+                writer.write_table(pa.Table.from_batches(held))
+            writer.close()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([docs], pa.int64()), "n_tokens": pa.array([at], pa.int64())})
+
+    return cut(placed.mapInArrow(run, "part int, path string, n_docs bigint, n_tokens bigint"))
+
+
+def read(manifest: DataFrame, with_ids: bool = True, with_crc: bool = False) -> DataFrame:
+    """From the files: doc_id, start (ids of all documents before it), n_tokens; if asked for, ids, and ids_crc32, the
+    unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
+    spark = manifest.sparkSession
+    ship(spark)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # one row per range
-    got = files.select("doc_id", "part", "at", "n_tokens", *["ids"] * with_ids).join(F.broadcast(base), "part")
-    return got.select("doc_id", (F.col("_base") + F.col("at")).alias("start"), "n_tokens", *["ids"] * with_ids)
-
-
-def with_crc(df: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """Replace the ids by ``ids_crc32``: the unsigned crc32 of them as little-endian unsigned 32-bit integers."""
-    import zlib
-
-    ship(df.sparkSession)
-    names = [c for c in df.columns if c != ids_col]
-    picked = df.select(*names, ids_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != ids_col) + ", ids_crc32 bigint"
+    based = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))  # one row for each file
+    columns = ["doc_id", "at", "n_tokens"] + ["ids"] * (with_ids or with_crc)
 
     def run(batches):
         for batch in batches:
-            col = batch.column(batch.num_columns - 1)
-            flat, at = col.values.to_numpy(zero_copy_only=False).astype("<u4"), col.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(crc, type=pa.int64())], names=[*names, "ids_crc32"])
-
-    return picked.mapInArrow(run, schema)
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, inner = fs.FileSystem.from_uri(path)
+                with store.open_input_file(inner) as f:
+                    for b in pq.ParquetFile(f).iter_batches(batch_size=1024, columns=columns):
+                        out = {"doc_id": b.column("doc_id"), "start": pa.array(b.column("at").to_numpy() + base), "n_tokens": b.column("n_tokens")}
+                        if with_ids:
+                            out["ids"] = b.column("ids")
+                        if with_crc:
+                            ids, at = b.column("ids").flatten().to_numpy().astype("<u4", copy=False), np.r_[0, np.cumsum(b.column("n_tokens").to_numpy())]
+                            out["ids_crc32"] = pa.array([zlib.crc32(ids[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)], type=pa.int64())
+                        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    schema = "doc_id bigint, start bigint, n_tokens bigint" + ", ids array<int>" * with_ids + ", ids_crc32 bigint" * with_crc
+    return based.repartition(shuffle_partitions(spark), "path").mapInArrow(run, schema)
 
 
 def fresh_path(spark: SparkSession) -> str:

@@ -187,20 +187,24 @@ def test_token_files(spark, docs, empty, rows, tmp_path):
     extra = ["a  b", " x", "x ", "\n", "a\n b", "a\n \nb", "a \n", "  ", "<|endoftext|> x", "it's 's ' s", "12 3,4 ,5\n 6", "a\u00a0 b \u3000 c"]
     for t, got in zip(extra, token_files.encode_batch(path, extra), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
-    out = str(tmp_path / "t")
-    token_files.write(docs, path, out, 2)
-    got = sorted(token_files.read(spark, out).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
-    text, at = {r[0]: r[1] or "" for r in rows}, 0
-    for r in got:
-        assert r.start == at and r.n_tokens == len(r.ids) and r.ids == lib.encode(text[r.doc_id], add_special_tokens=False).ids + [2]
-        at += r.n_tokens
-    for r in token_files.with_crc(token_files.read(spark, out)).collect():
-        ids = next(x.ids for x in got if x.start == r.start)
-        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
-    assert "ids" not in token_files.read(spark, out, with_ids=False)._jdf.queryExecution().executedPlan().toString()
-    token_files.write(empty, path, str(tmp_path / "e"), 2)
-    assert token_files.read(spark, str(tmp_path / "e")).count() == 0
+    for dictionary in (False, True):
+        out = f"file://{tmp_path}/t{dictionary}"
+        manifest = token_files.write(docs, path, out, 2, row_group=1 << 14, page=1 << 12, dictionary=dictionary)
+        got = sorted(token_files.read(manifest, with_crc=True).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
+        text, at = {r[0]: r[1] or "" for r in rows}, 0
+        for r in got:
+            assert r.start == at and r.n_tokens == len(r.ids) and r.ids == lib.encode(text[r.doc_id], add_special_tokens=False).ids + [2]
+            assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+            at += r.n_tokens
+        assert [tuple(r) for r in sorted(token_files.read(manifest, with_ids=False).collect(), key=lambda r: r.start)] == [(r.doc_id, r.start, r.n_tokens) for r in got]
+        assert {r.doc_id: r.ids for r in spark.read.parquet(out).collect()} == {r.doc_id: r.ids for r in got}
+        import pyarrow.parquet as pq
+
+        one = pq.ParquetFile(manifest.orderBy("n_tokens", ascending=False).first().path.removeprefix("file://")).metadata.row_group(0).column(3)
+        assert one.has_offset_index and ("DELTA_BINARY_PACKED" in one.encodings) != dictionary
+    nothing = token_files.write(empty, path, f"file://{tmp_path}/e", 2)
+    assert token_files.read(nothing).count() == 0
 
 
 def test_line_groups(docs, empty, rows):
