@@ -28,7 +28,7 @@ from .graph import components
 
 DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.9
 #: Lines of a bucket that meet another such part at once.
-PART = 128
+PART = 1024
 #: Ids that are broadcast to filter the texts; beyond it the filter is a shuffled semi join.
 BROADCAST_IDS = 1_000_000
 #: Runs of what separates words (a fixed value): ASCII but letters and digits.
@@ -90,7 +90,8 @@ def _verified(df: DataFrame, pairs: DataFrame, lines: DataFrame, id_col: str, te
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("line").alias(side), F.col("norm").alias(f"t{side}")), side)
     pairs = pairs.withColumn("most", F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - SIMILARITY) + 1e-9).cast("int"))
-    close = (F.abs(F.length("ta") - F.length("tb")) <= F.col("most")) & (F.expr("levenshtein(ta, tb, most)") >= 0)
+    # the band that is searched is as wide as the bound: most pairs are close, so a narrow band comes first
+    close = (F.abs(F.length("ta") - F.length("tb")) <= F.col("most")) & F.expr("if(levenshtein(ta, tb, most div 8) >= 0, true, levenshtein(ta, tb, most) >= 0)")
     return cut(pairs.where(close).select("a", "b"))
 
 
