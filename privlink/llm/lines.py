@@ -90,8 +90,7 @@ def _verified(df: DataFrame, pairs: DataFrame, lines: DataFrame, id_col: str, te
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("line").alias(side), F.col("norm").alias(f"t{side}")), side)
     pairs = pairs.withColumn("most", F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - SIMILARITY) + 1e-9).cast("int"))
-    # the band that is searched is as wide as the bound: most pairs are close, so a narrow band comes first
-    close = (F.abs(F.length("ta") - F.length("tb")) <= F.col("most")) & F.expr("if(levenshtein(ta, tb, most div 8) >= 0, true, levenshtein(ta, tb, most) >= 0)")
+    close = (F.abs(F.length("ta") - F.length("tb")) <= F.col("most")) & F.expr("levenshtein(ta, tb, most) >= 0")
     return cut(pairs.where(close).select("a", "b"))
 
 
@@ -102,15 +101,19 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     lines = cut(found.groupBy("line", "sim").agg(F.min(order).alias("_o"), F.count("*").alias("n")).select("line", "sim", F.col("_o.b").alias("id"), F.col("_o").alias("first"), "n"))
 
     members = lines.select("line", "sim", F.explode(_keys(F.col("sim"))).alias("key"))
-    buckets = members.groupBy("key").agg(F.min("line").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    hits = cut(members.join(buckets, "key"))
-    leads = lines.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim"))
-    stars = hits.where("line <> lead").select("lead", "line", "sim").distinct().join(leads, "lead").where(_near(F.col("sim"), F.col("lead_sim")))
+    # a bucket of two is its least and its greatest line; only larger ones are joined back to their members
+    buckets = members.groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1")
+    buckets = cut(buckets)
+    hits = cut(members.join(buckets.where("size > 2").drop("last"), "key"))
+    sims = lines.select("line", "sim")
+    twos = buckets.where("size = 2").select("lead", F.col("last").alias("line")).distinct().join(sims, "line")
+    stars = hits.where("line <> lead").select("lead", "line", "sim").unionByName(twos).distinct()
+    stars = stars.join(sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim")), "lead").where(_near(F.col("sim"), F.col("lead_sim")))
     links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")), lines, id_col, text_col)
     groups = cut(components(links))
 
     label = groups.select(F.col("node").alias("line"), "component")
-    still = hits.where("size > 2").join(label, "line", "left").withColumn("component", F.coalesce("component", "line"))
+    still = hits.join(label, "line", "left").withColumn("component", F.coalesce("component", "line"))
     mixed = still.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     count = F.ceil(F.col("size") / PART).cast("int")
     dealt = (
