@@ -74,7 +74,7 @@ def _cosine(a: Column, b: Column, q: int) -> Column:
         return F.aggregate(bag, F.lit(0).cast("bigint"), lambda s, g: s + count(bag, g))
 
     dot = F.aggregate(x, F.lit(0).cast("bigint"), lambda s, g: s + count(y, g))
-    return dot / (F.sqrt(square(x)) * F.sqrt(square(y)))
+    return F.try_divide(dot, F.sqrt(square(x)) * F.sqrt(square(y)))
 
 
 def score(method: str, a: Column, b: Column) -> Column:
