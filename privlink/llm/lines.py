@@ -1,15 +1,16 @@
-"""Fuzzy line dedup with DataFrame operations only.
+"""Fuzzy line dedup by SimHash, pigeonhole blocks and edit similarity.
 
-Lines (split at ``\\n``) are normalised to lower-cased words, bounded by ASCII other than letters and digits.  Each line gets a 64-bit SimHash of its words: texts are first
-dealt by id, so that the words of a line are summed within a task and only the hash goes on.  Two different normalised
-lines are linked if their SimHashes differ in at most ``DISTANCE`` bits and their edit similarity
+Lines (split at ``\\n``) are normalised to lower-cased words, bounded by ASCII other than letters and digits.  Each line gets a 64-bit SimHash of its words, in Arrow batches.
+Two different normalised lines are linked if their SimHashes differ in at most ``DISTANCE`` bits and their edit similarity
 (1 - Levenshtein distance / longer length) is at least ``SIMILARITY``.  One occurrence of each connected group is kept,
 the smallest (id, line number).
 
 Pigeonhole: of ``BLOCKS`` blocks of the hash at least BLOCKS - DISTANCE = 2 are equal, so each line is entered under each
 pair of blocks; no link is missed.  As in the MinHash operator a bucket's lines are held against its smallest line, and
-only buckets whose lines are not in one component yet are compared further, in parts of at most ``PART`` lines, each pair
-in the first bucket that it shares.
+only buckets whose lines are not in one component yet are compared further, in parts of at most ``PART`` lines or so, each
+pair in the first bucket that it shares.  A first pass over these parts looks at hashes alone and gives the lines that have
+a near partner in another component; a second one takes just their texts along and gives the links that join components.
+Neither gives the pairs of a bucket.
 
 Defined results: null text has one empty line; lines without words are never dropped; equal lines (after normalisation)
 are one node however often they occur; rows that repeat an id and its text give each line once; null ids come after all others; an empty table gives an empty table; other columns are
@@ -19,129 +20,378 @@ not looked at.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import cut, shuffle_partitions
+from .common import cut, ship, shuffle_partitions
 from .graph import components
 
 DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.9
 #: Lines of a bucket that meet another such part at once.
 PART = 1024
-#: Ids that are broadcast to filter the texts; beyond it the filter is a shuffled semi join.
-BROADCAST_IDS = 1_000_000
-#: Runs of what separates words (a fixed value): ASCII but letters and digits.
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Lines whose places are broadcast to fetch their texts, and buckets that are broadcast to their members (tens of bytes
+#: each); beyond it these are shuffled joins.
+BROADCAST_ROWS = 1_000_000
+#: Words whose hashes a worker remembers, words and pairs that are counted or compared at once.
+REMEMBER, AT_ONCE, PAIRS = 200_000, 500_000, 4096
+#: First half-width of the band in edit distances; each further one is four times as wide, up to what the similarity allows.
+BAND = 8
+#: What stands for a byte: letters and digits themselves, lower-cased, all other ASCII but the line's end a space.
+TABLE = bytes(c if c >= 128 or c == 10 or chr(c).isalnum() else 32 for c in range(256))
 WIDTHS = (13, 13, 13, 13, 12)
+STARTS = tuple(itertools.accumulate(WIDTHS, initial=0))[:BLOCKS]
+TABLES = tuple(itertools.combinations(range(BLOCKS), BLOCKS - DISTANCE))
 
 
-def split_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, words), one row per line; an empty word stands where a line begins or ends with separators."""
-    rows = df.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    each = rows.select("id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return each.select("id", "line_no", F.split("line", SEPARATORS, -1).alias("words"))
+def text_lines(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(TABLE).split(b"\n")
+
+
+def normal(line: bytes, words: list[bytes]) -> bytes:
+    """The words, single spaces between them; separators at an end leave one there."""
+    return (b" " if line[:1] == b" " else b"") + b" ".join(words) + (b" " if line[-1:] == b" " else b"")
+
+
+def line_hash(norm: bytes) -> int:
+    h = xxhash.xxh3_64_intdigest(norm)
+    return h - (1 << 64) if h >> 63 else h
+
+
+class WordHashes(dict):
+    """word -> place of its hash; 64 bits stand in 64 bytes, so that up to 255 words are summed in 8 long integers."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: list[int] = []
+        self.lanes = np.empty((0, 8), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return at
+
+    def simhash(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """SimHashes of adjacent lines of ``counts`` words (none without any)."""
+        fresh = np.array(self.hashes[len(self.lanes) :], np.uint64)
+        if len(fresh):
+            bits = np.unpackbits(fresh.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+            self.lanes = np.concatenate([self.lanes, bits])
+        pieces = -(-counts // 255)
+        first = np.cumsum(pieces) - pieces
+        starts = np.repeat(np.cumsum(counts) - counts - 255 * first, pieces) + 255 * np.arange(pieces.sum())
+        sums = np.empty((len(starts), 8), np.uint64)
+        for k in range(8):
+            sums[:, k] = np.add.reduceat(np.take(self.lanes[:, k], ids), starts)
+        ones = np.add.reduceat(sums.view(np.uint8).astype(np.int64), first, axis=0)
+        if len(self) > REMEMBER:
+            self.clear()
+            self.hashes.clear()
+            self.lanes = self.lanes[:0]
+        return np.packbits(2 * ones >= counts[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def simhashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, sim) of each line with words; line is a 64-bit hash of its words."""
-    dealt = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
-    lines = split_lines(dealt, "id", "text").select("id", "line_no", "words", F.xxhash64("words").alias("line"))
-    words = lines.select("id", "line_no", "line", F.explode("words").alias("w"))
-    words = words.select("id", "line_no", "line", F.expr("if(w = '', 0L, 1L)").alias("one"), F.expr("if(w = '', 0L, xxhash64(w, 6))").alias("h"))
-    # bits i and i + 32 are counted in the halves of one sum
-    sums = [F.expr(f"sum(shiftrightunsigned(h, {i}) & 4294967297L)").alias(f"s{i}") for i in range(32)]
-    counted = words.groupBy("id", "line_no", "line").agg(F.sum("one").alias("n"), *sums).where("n > 0")
-    bits = counted.select("id", "line_no", "line", "n", F.array(*[f"s{i}" for i in range(32)]).alias("s"))
-    each = F.expr("transform(s, (x, i) -> if(2 * (x & 4294967295L) >= n, shiftleft(1L, i), 0L) | if(2 * shiftrightunsigned(x, 32) >= n, shiftleft(1L, i + 32), 0L))")
-    return bits.select("id", "line_no", "line", F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)).alias("sim"))
+    ship(df.sparkSession)
+
+    def run(batches):
+        known = WordHashes()
+        for batch in batches:
+            rows, numbers, hashes, counts, ids = [], [], [], [], []
+            for at, text in enumerate(batch.column(1)):
+                for number, line in enumerate(text_lines(text.as_py())):
+                    words = line.split()
+                    if words:
+                        rows.append(at)
+                        numbers.append(number)
+                        hashes.append(line_hash(normal(line, words)))
+                        counts.append(len(words))
+                        ids.extend(map(known.__getitem__, words))
+                        if len(ids) > AT_ONCE:
+                            yield made(batch, rows, numbers, hashes, known.simhash(np.array(ids), np.array(counts)))
+                            rows, numbers, hashes, counts, ids = [], [], [], [], []
+            if rows:
+                yield made(batch, rows, numbers, hashes, known.simhash(np.array(ids), np.array(counts)))
+
+    def made(batch, rows, numbers, hashes, sims):
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(sims)], names=["id", "line_no", "line", "sim"])
+
+    fields = [StructField("id", df.schema[id_col].dataType), StructField("line_no", IntegerType()), StructField("line", LongType()), StructField("sim", LongType())]
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, StructType(fields)).distinct()
 
 
 def _keys(sim: Column) -> Column:
     """(table, key) under each pair of blocks."""
-    parts, at = [], 0
-    for width in WIDTHS:
-        parts.append(F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1)))
-        at += width
-    pairs = list(itertools.combinations(range(BLOCKS), BLOCKS - DISTANCE))
-    return F.array(*[(F.lit(t) * (1 << 26) + parts[i] * (1 << 13) + parts[j]).cast("bigint") for t, (i, j) in enumerate(pairs)])
-
-
-def _near(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
+    parts = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in zip(STARTS, WIDTHS, strict=True)]
+    return F.array(*[(F.lit(t) * (1 << 26) + parts[i] * (1 << 13) + parts[j]).cast("bigint") for t, (i, j) in enumerate(TABLES)])
+
+
+def _first_table(differ: np.ndarray) -> np.ndarray:
+    """The first pair of blocks in which no bit differs."""
+    same = [(differ >> np.uint64(at)) & np.uint64((1 << width) - 1) == 0 for at, width in zip(STARTS, WIDTHS, strict=True)]
+    return np.argmax([same[i] & same[j] for i, j in TABLES], axis=0)
+
+
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """Edit distances of the pairs; those over ``k`` (even) come out as some number over k.
+
+    Anti-diagonals of all pairs at once: a cell (i, j) lies on the diagonal d = j - i, only |d| <= k are kept.
+    """
+    p, q = (np.array([len(x[side]) for x in pairs]) for side in (0, 1))
+    ends: dict[int, list[int]] = {}
+    for at, total in enumerate((p + q).tolist()):
+        ends.setdefault(total, []).append(at)
+    last, half = max(ends), k // 2
+    kind, far = (np.int16, 8000) if last + k < 8000 else (np.int32, 1 << 29)
+    # texts stand in columns: the first backwards from row ``base``, the second from row ``pad``, so that a diagonal's cells are adjacent
+    pad, base = k + 2, last + k + 4
+    a, b = np.full((base + pad + 2, len(pairs)), -1, np.int32), np.full((base + pad + 2, len(pairs)), -2, np.int32)
+    for at, (x, y) in enumerate(pairs):
+        a[base - len(x) : base, at] = x[::-1]
+        b[pad + 1 : pad + 1 + len(y), at] = y
+    even, odd = np.full((k + 1, len(pairs)), far, kind), np.full((k + 2, len(pairs)), far, kind)  # odd: one more at either end
+    even[half] = 0
+    found = np.full(len(pairs), far, np.int64)
+    for s in range(last + 1):
+        if s % 2:
+            i, j, cells = (s - 1) // 2 + half, (s + 1) // 2 - half, k
+            own, around = odd[1:-1], np.minimum(even[:-1], even[1:])
+        else:
+            i, j, cells = s // 2 + half, s // 2 - half, k + 1
+            own, around = even, np.minimum(odd[:-1], odd[1:])
+        if s:
+            around += 1
+            own += a[base - i : base - i + cells] != b[pad + j : pad + j + cells]
+            np.minimum(own, around, out=own)
+            np.minimum(own, far, out=own)
+        if s in ends:
+            at = np.array(ends[s])
+            d = q[at] - p[at]
+            inside = np.abs(d) <= k
+            at, d = at[inside], d[inside]
+            found[at] = own[(d + k - s % 2) // 2, at]
+    return found
+
+
+def close(first: list[str], second: list[str]) -> np.ndarray:
+    """Whether the edit similarity of each pair is high enough."""
+    out = np.zeros(len(first), bool)
+    rest = []  # (cells, most, pair)
+    for at, (s, t) in enumerate(zip(first, second, strict=True)):
+        longer = max(len(s), len(t))
+        most = int((1 - SIMILARITY) * longer + 1e-9)
+        if abs(len(s) - len(t)) > most:
+            continue
+        x, y = (np.frombuffer(z.encode("utf-32-le", "surrogatepass"), np.int32) for z in (s, t))
+        n = min(len(x), len(y))
+        differ = x[:n] != y[:n]
+        head = int(differ.argmax()) if differ.any() else n
+        x, y, n = x[head:], y[head:], n - head
+        differ = x[len(x) - n :][::-1] != y[len(y) - n :][::-1]
+        tail = int(differ.argmax()) if differ.any() else n
+        x, y = x[: len(x) - tail], y[: len(y) - tail]
+        if not len(x) or not len(y):
+            out[at] = max(len(x), len(y)) <= most
+        else:
+            rest.append((len(x) + len(y), most, at, (x, y)))
+    k = BAND
+    while rest:
+        rest.sort(key=lambda r: r[0])
+        left, lo = [], 0
+        while lo < len(rest):
+            hi = lo + 1
+            while hi < len(rest) and hi - lo < 1024 and (hi - lo) * (rest[hi][0] + 2 * k) < 2_000_000:
+                hi += 1
+            for r, d in zip(rest[lo:hi], _banded([r[3] for r in rest[lo:hi]], k).tolist(), strict=True):
+                if d <= k:
+                    out[r[2]] = d <= r[1]
+                elif r[1] > k:
+                    left.append(r)
+            lo = hi
+        rest, k = left, 4 * k
+    return out
 
 
 def _texts(df: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(line, norm) of the needed (line, id): each is read again from one document that holds it."""
-    ids = needed.select("id").distinct()
+    """(line, norm) of the needed (line, first): each is read again from one document that holds it."""
+    spark = df.sparkSession
+    needed = cut(needed.select("line", F.col("first.b").alias("want"), F.col("first.c").alias("number")))
+    places = needed.groupBy("want").agg(F.collect_set(F.struct("number", "line")).alias("places"))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["id"].eqNullSafe(ids["id"]), "left_semi")
-    lines = split_lines(docs, "id", "text").select(F.xxhash64("words").alias("line"), F.concat_ws(" ", "words").alias("norm"))
-    return lines.join(needed.select("line").distinct(), "line", "left_semi").dropDuplicates(["line"])
+    docs = docs.join(F.broadcast(places) if needed.count() <= BROADCAST_ROWS else places, docs["id"].eqNullSafe(places["want"]))
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            hashes, norms = [], []
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                found = text_lines(text.as_py())
+                for place in wanted.as_py():
+                    if place["number"] < len(found):
+                        line = found[place["number"]]
+                        norm = normal(line, line.split())
+                        if line_hash(norm) == place["line"]:  # another row may have the same id
+                            hashes.append(place["line"])
+                            norms.append(norm.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(norms, pa.string())], names=["line", "norm"])
+
+    return cut(docs.select("text", "places").mapInArrow(run, "line bigint, norm string"))
 
 
 def _verified(df: DataFrame, pairs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose edit similarity is high enough."""
     pairs = cut(pairs)
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    texts = cut(_texts(df, lines.select("line", "id").join(ends, "line"), id_col, text_col))
+    texts = _texts(df, lines.join(ends, "line"), id_col, text_col)
     # an explicit number of partitions: the work lies in the comparison, not in the bytes
     pairs = pairs.repartition(4 * shuffle_partitions(df.sparkSession), "a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("line").alias(side), F.col("norm").alias(f"t{side}")), side)
-    pairs = pairs.withColumn("most", F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - SIMILARITY) + 1e-9).cast("int"))
-    close = (F.abs(F.length("ta") - F.length("tb")) <= F.col("most")) & F.expr("levenshtein(ta, tb, most) >= 0")
-    return cut(pairs.where(close).select("a", "b"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAIRS):
+                a, b, ta, tb = (batch.column(i).slice(lo, PAIRS) for i in range(4))
+                good = pa.array(close(ta.to_pylist(), tb.to_pylist()))
+                yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
+
+    return cut(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
+
+
+def _deal(rows: DataFrame, *more: str) -> DataFrame:
+    """Each pair of parts of a bucket's lines adjacent: key, p, q, part, line, sim, component, lead, more."""
+    count = F.ceil(F.col("size") / PART).cast("int")
+    return (
+        rows.withColumn("part", F.pmod(F.xxhash64("line"), count).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "line", "sim", "component", "lead", *more)
+        .repartition("key", "p", "q")
+        .sortWithinPartitions("key", "p", "q")
+    )
+
+
+def _whole_blocks(batches) -> Iterator[pa.Table]:
+    """Tables of whole blocks, with at most one block more than a batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        key, p, q = (held.column(i).to_numpy() for i in range(3))
+        others = np.flatnonzero((key != key[-1]) | (p != p[-1]) | (q != q[-1]))
+        if len(others):
+            yield held.slice(0, int(others[-1]) + 1)
+            held = held.slice(int(others[-1]) + 1)
+    if held is not None:
+        yield held
+
+
+def _near_pairs(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near lines of different components, each pair in the first bucket that it shares."""
+    key, p, q, part, line, sim, component, lead = (block.column(i).to_numpy() for i in range(8))
+    sim, free = sim.view(np.uint64), line != lead  # a bucket's smallest line has met all others
+    number = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+    at, step = np.arange(len(key)), 1
+    while True:
+        at = at[at + step < len(key)]
+        at = at[number[at] == number[at + step]]
+        if not len(at):
+            return
+        i, j = at, at + step
+        differ = sim[i] ^ sim[j]
+        good = (np.bitwise_count(differ) <= DISTANCE) & (component[i] != component[j]) & free[i] & free[j] & ((p[i] == q[i]) | (part[i] != part[j]))
+        i, j, differ = i[good], j[good], differ[good]
+        if len(i):
+            first = _first_table(differ) == key[i] >> 26
+            yield i[first], j[first]
+        step += 1
+
+
+def _with_partner(dealt: DataFrame) -> DataFrame:
+    """(key, line) of the lines that have a near partner in another component."""
+
+    def run(batches):
+        for block in _whole_blocks(batches):
+            some = np.zeros(block.num_rows, bool)
+            for i, j in _near_pairs(block):
+                some[i] = some[j] = True
+            yield from block.select(["key", "line"]).filter(pa.array(some)).to_batches()
+
+    return dealt.mapInArrow(run, "key bigint, line bigint")
+
+
+def _joining(dealt: DataFrame) -> DataFrame:
+    """Links (a, b) that join components; pairs whose components are joined already are passed over."""
+
+    def run(batches):
+        for block in _whole_blocks(batches):
+            line, component, norm = block.column("line").to_numpy(), block.column("component").to_numpy(), block.column("norm")
+            parent: dict[int, int] = {}
+            out: list[tuple[int, int]] = []
+
+            def root(x):
+                while (y := parent.get(x, x)) != x:
+                    parent[x] = parent.get(y, y)
+                    x = y
+                return x
+
+            def compare(pairs):
+                for (i, j), good in zip(pairs, close(*(norm.take(pa.array([x[side] for x in pairs])).to_pylist() for side in (0, 1))), strict=True):
+                    x, y = root(int(component[i])), root(int(component[j]))
+                    if good and x != y:
+                        parent[x] = y
+                        out.append((int(line[i]), int(line[j])))
+
+            held = []
+            for i, j in _near_pairs(block):
+                for pair in zip(i.tolist(), j.tolist(), strict=True):
+                    if root(int(component[pair[0]])) != root(int(component[pair[1]])):
+                        held.append(pair)
+                        if len(held) == PAIRS:
+                            compare(held)
+                            held = []
+            if held:
+                compare(held)
+            yield pa.RecordBatch.from_arrays([pa.array([x[side] for x in out], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line with words: id_col, line_no, group_id (its smallest line hash), group_size (occurrences), kept."""
     found = cut(simhashes(df, id_col, text_col))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("line_no").alias("c"))
-    lines = cut(found.groupBy("line", "sim").agg(F.min(order).alias("_o"), F.count("*").alias("n")).select("line", "sim", F.col("_o.b").alias("id"), F.col("_o").alias("first"), "n"))
+    lines = cut(found.groupBy("line", "sim").agg(F.min(order).alias("first"), F.count("*").alias("n")))
 
     members = lines.select("line", "sim", F.explode(_keys(F.col("sim"))).alias("key"))
     # a bucket of two is its least and its greatest line; only larger ones are joined back to their members
-    buckets = members.groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1")
-    buckets = cut(buckets)
-    hits = cut(members.join(buckets.where("size > 2").drop("last"), "key"))
+    buckets = cut(members.groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1"))
+    large = buckets.where("size > 2").drop("last")
+    hits = cut(members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "key"))
     sims = lines.select("line", "sim")
     twos = buckets.where("size = 2").select("lead", F.col("last").alias("line")).distinct().join(sims, "line")
     stars = hits.where("line <> lead").select("lead", "line", "sim").unionByName(twos).distinct()
-    stars = stars.join(sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim")), "lead").where(_near(F.col("sim"), F.col("lead_sim")))
+    stars = stars.join(sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim")), "lead")
+    stars = stars.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= DISTANCE)
     links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")), lines, id_col, text_col)
     groups = cut(components(links))
 
     label = groups.select(F.col("node").alias("line"), "component")
     still = hits.join(label, "line", "left").withColumn("component", F.coalesce("component", "line"))
     mixed = still.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    count = F.ceil(F.col("size") / PART).cast("int")
-    dealt = (
-        still.join(mixed, "key", "left_semi")
-        .withColumn("part", F.pmod(F.xxhash64("line"), count).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", F.struct("line", "sim", "component", "lead").alias("m"))
-    )
-    one = F.collect_list(F.when(F.col("part") == F.col("p"), F.col("m")))
-    two = F.collect_list(F.when(F.col("part") == F.col("q"), F.col("m")))
-    blocks = dealt.groupBy("key", "p", "q").agg(one.alias("one"), two.alias("two"))  # at most 2 x PART lines or so each
-
-    def first_key(x: Column, y: Column) -> Column:
-        return F.get(F.array_intersect(_keys(x), _keys(y)), 0)
-
-    def against(x):
-        def fits(y):
-            return (x["line"] < y["line"]) | (F.col("p") < F.col("q"))
-
-        def wanted(y):
-            return fits(y) & (x["component"] != y["component"]) & _near(x["sim"], y["sim"]) & (x["line"] != x["lead"]) & (y["line"] != y["lead"])
-
-        near = F.filter("two", wanted)
-        return F.transform(F.filter(near, lambda y: first_key(x["sim"], y["sim"]) == F.col("key")), lambda y: F.struct(x["line"].alias("a"), y["line"].alias("b")))
-
-    late = blocks.select(F.explode(F.flatten(F.transform("one", against))).alias("e")).select("e.a", "e.b").distinct()
-    more = _verified(df, late, lines, id_col, text_col)
-    if more.take(1):
+    still = cut(still.join(mixed, "key", "left_semi"))
+    partnered = cut(_with_partner(_deal(still)).distinct())
+    if partnered.take(1):
+        texts = _texts(df, lines.join(partnered.select("line").distinct(), "line"), id_col, text_col)
+        open_lines = still.join(partnered, ["key", "line"]).join(texts, "line")
+        more = cut(_joining(_deal(open_lines, "norm")))
         groups = cut(components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
         label = groups.select(F.col("node").alias("line"), "component")
 

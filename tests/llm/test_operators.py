@@ -345,3 +345,70 @@ def test_pipeline(spark):
     assert decontaminate.contamination(kept, spark.read.parquet(f"{sf}/benchmark.parquet")).where("n_hit > 0").count() == 0
     assert minhash.near_duplicates(kept).where("not kept").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash", "decontamination", "byte_bpe"]
+
+
+def test_edit_similarity():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rnd = random.Random(8)
+    pairs = [("", ""), ("", "a"), ("ab", "ab"), ("a" * 30, "a" * 33), ("a" * 30, "a" * 34), ("é" * 20, "é" * 19 + "x")]
+    for _ in range(400):
+        a = [rnd.choice("abc𝄞é") for _ in range(rnd.randint(1, 250))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 30)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 1)] = [rnd.choice("abcx")] * rnd.randint(0, 2)
+        pairs.append(("".join(a), "".join(b)))
+    got = lines.close(*map(list, zip(*pairs, strict=True)))
+    for (a, b), near in zip(pairs, got, strict=True):
+        assert near == (distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)), (a, b)
+        x, y = (np.array([ord(c) for c in t], np.int32) for t in (a, b))
+        for k in (8, 32, 128):
+            d = lines._banded([(x, y), (y, x), (x, x)], k)
+            assert d[2] == 0 and d[0] == d[1] and (d[0] == distance(a, b) or d[0] > k < distance(a, b))
+    assert got.any() and not got.all()
+
+
+def test_simhash_of_long_lines():
+    rnd = random.Random(9)
+    known, words = lines.WordHashes(), [[rnd.choice([b"a", b"b", b"c", b"dd"]) for _ in range(n)] for n in (1, 3, 255, 256, 700, 511)]
+    got = known.simhash(np.array([known[w] for line in words for w in line]), np.array([len(line) for line in words]))
+    for line, sim in zip(words, got, strict=True):
+        h = [known.hashes[known[w]] for w in line]
+        assert sim.view(np.uint64) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) >= len(line))
+
+
+def test_lines_of_open_buckets(spark):
+    # lines that share a hash and differ as texts: buckets stay open after the stars, and in parts
+    rnd = random.Random(10)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        order = rnd.sample(words, len(words))
+        texts += [" ".join(order), " ".join(order[:-1] + [order[-1] + "s"])] if rnd.random() < 0.5 else [" ".join(order)]
+        texts.append(" ".join(order[:5] + [order[5][:-1] + "x"] + order[6:]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    sims = {r.id: (r.line, r.sim & (2**64 - 1)) for r in lines.simhashes(frame, "doc_id", "text").collect()}
+    label = {h: h for h, _ in sims.values()}
+    pairs = [(a, b) for a in sims for b in range(a) if sims[a][0] != sims[b][0] and (sims[a][1] ^ sims[b][1]).bit_count() <= 3]
+    links = [p for p, good in zip(pairs, lines.close([texts[a] for a, _ in pairs], [texts[b] for _, b in pairs]), strict=True) if good]
+    assert links and len(links) < len(pairs) / 2
+    for _ in range(30):
+        for a, b in links:
+            x, y = sims[a][0], sims[b][0]
+            label[x] = label[y] = min(label[x], label[y])
+    before = lines.PART
+    try:
+        for part in (16, before):
+            lines.PART = part
+            got = {r.doc_id: r.group_id for r in lines.line_groups(frame).collect()}
+            assert got == {i: label[h] for i, (h, _) in sims.items()}
+    finally:
+        lines.PART = before
