@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,38 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+class Store:
+    """Intermediate tables of one operator as Parquet in the shared folder: smaller than checkpoints, and removed on demand.
+
+    A table's shuffle files go as soon as it is written; nothing reads them again.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, "false")
+        self.count += 1
+        path = f"{self.base}/{self.count}"
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of which nothing more will be read."""
+        jvm = self.spark._jvm
+        for table_ in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table_)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

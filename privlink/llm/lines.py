@@ -19,110 +19,146 @@ not looked at.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import cut, ship, shuffle_partitions
+from .common import Store, ship, shuffle_partitions
 from .graph import components
 
 DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.9
 #: Lines of a bucket that meet another such part at once.
-PART = 1024
+PART = 8192
 #: Lines whose places are broadcast to fetch their texts, and buckets that are broadcast to their members (tens of bytes
 #: each); beyond it these are shuffled joins.
 BROADCAST_ROWS = 1_000_000
-#: Words whose hashes a worker remembers, words and pairs that are counted or compared at once.
-REMEMBER, AT_ONCE, PAIRS = 200_000, 500_000, 4096
+#: Bytes that are scanned and pairs that are compared at once.
+PIECE, PAIRS = 1 << 20, 4096
 #: First half-width of the band in edit distances; each further one is four times as wide, up to what the similarity allows.
 BAND = 8
+#: Length of the q-grams that rule out pairs before their distance is formed.
+GRAM, GRAM_STEPS = 4, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: What stands for a byte: letters and digits themselves, lower-cased, all other ASCII but the line's end a space.
 TABLE = bytes(c if c >= 128 or c == 10 or chr(c).isalnum() else 32 for c in range(256))
+# Odd multipliers for hashing.
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+BASE, STEP = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = tuple(itertools.accumulate(WIDTHS, initial=0))[:BLOCKS]
 TABLES = tuple(itertools.combinations(range(BLOCKS), BLOCKS - DISTANCE))
 
 
-def text_lines(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(TABLE).split(b"\n")
+def folded(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(TABLE)
 
 
-def normal(line: bytes, words: list[bytes]) -> bytes:
+def normal(line: bytes) -> bytes:
     """The words, single spaces between them; separators at an end leave one there."""
-    return (b" " if line[:1] == b" " else b"") + b" ".join(words) + (b" " if line[-1:] == b" " else b"")
-
-
-def line_hash(norm: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(norm)
-    return h - (1 << 64) if h >> 63 else h
-
-
-class WordHashes(dict):
-    """word -> place of its hash; 64 bits stand in 64 bytes, so that up to 255 words are summed in 8 long integers."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes: list[int] = []
-        self.lanes = np.empty((0, 8), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return at
-
-    def simhash(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """SimHashes of adjacent lines of ``counts`` words (none without any)."""
-        fresh = np.array(self.hashes[len(self.lanes) :], np.uint64)
-        if len(fresh):
-            bits = np.unpackbits(fresh.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
-            self.lanes = np.concatenate([self.lanes, bits])
-        pieces = -(-counts // 255)
-        first = np.cumsum(pieces) - pieces
-        starts = np.repeat(np.cumsum(counts) - counts - 255 * first, pieces) + 255 * np.arange(pieces.sum())
-        sums = np.empty((len(starts), 8), np.uint64)
-        for k in range(8):
-            sums[:, k] = np.add.reduceat(np.take(self.lanes[:, k], ids), starts)
-        ones = np.add.reduceat(sums.view(np.uint8).astype(np.int64), first, axis=0)
-        if len(self) > REMEMBER:
-            self.clear()
-            self.hashes.clear()
-            self.lanes = self.lanes[:0]
-        return np.packbits(2 * ones >= counts[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    return (b" " if line[:1] == b" " else b"") + b" ".join(line.split()) + (b" " if line[-1:] == b" " else b"")
+
+
+@functools.lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * M1
+    x = (x ^ (x >> np.uint64(29))) * M2
+    return x ^ (x >> np.uint64(32))
+
+
+def _sizes(n: int) -> int:
+    return 1 << max(n, 1 << 16).bit_length()
+
+
+def _words(b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, code points, 64-bit hash) of each word: sums of bytes times powers, less what comes before the word."""
+    word = np.r_[False, b > 32, False]
+    starts, ends = np.flatnonzero(~word[:-1] & word[1:]), np.flatnonzero(word[:-1] & ~word[1:])
+    n = _sizes(len(b))
+    sums = np.r_[np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n)[: len(b)])]
+    chars = np.r_[0, np.cumsum((b & 0xC0) != 0x80)]
+    return starts, ends, chars[ends] - chars[starts], _mixed((sums[ends] - sums[starts]) * _powers(pow(BASE, -1, 1 << 64), n)[starts])
+
+
+def _simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHashes of adjacent lines of ``counts`` words: bits stand in bytes, so that 255 words are summed in 8 long integers."""
+    lanes = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+    pieces = -(-counts // 255)
+    first = np.cumsum(pieces) - pieces
+    starts = np.repeat(np.cumsum(counts) - counts - 255 * first, pieces) + 255 * np.arange(pieces.sum())
+    sums = np.empty((len(starts), 8), np.uint64)
+    for k in range(8):
+        sums[:, k] = np.add.reduceat(np.ascontiguousarray(lanes[:, k]), starts)
+    ones = np.add.reduceat(sums.view(np.uint8).astype(np.int64), first, axis=0)
+    return np.packbits(2 * ones >= counts[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def scan(text: bytes) -> tuple[np.ndarray, ...]:
+    """(line number, line hash, code points once normalised, SimHash) of each line with words of a folded text."""
+    b = np.frombuffer(text, np.uint8)
+    found, lo = [], 0
+    while lo < len(b):  # pieces end between words
+        hi = min(lo + PIECE, len(b))
+        while hi < len(b) and b[hi] > 32:
+            hi += 1
+        starts, ends, chars, hashes = _words(b[lo:hi])
+        found.append((starts + lo, ends + lo, chars, hashes))
+        lo = hi
+    starts, ends, chars, hashes = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
+    if not len(starts):
+        return (np.empty(0, np.int64),) * 4
+    breaks = np.flatnonzero(b == 10)
+    number = np.searchsorted(breaks, starts)
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    counts = np.diff(np.r_[first, len(starts)])
+    number = number[first]
+    lead = starts[first] > np.r_[0, breaks + 1][number]
+    trail = ends[first + counts - 1] < np.r_[breaks, len(b)][number]
+    place = np.arange(len(starts)) - np.repeat(first, counts)
+    lines = np.add.reduceat(hashes * _powers(STEP, _sizes(int(counts.max())))[place], first)
+    lines = _mixed(lines + (4 * counts + 2 * lead + trail).astype(np.uint64) * M1)
+    length = np.add.reduceat(chars, first) + counts - 1 + lead + trail
+    sims, lo = [], 0
+    bounds = np.cumsum(counts)
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(bounds, (bounds[lo - 1] if lo else 0) + PIECE // 4, "right")))
+        sims.append(_simhash(hashes[bounds[lo] - counts[lo] : bounds[hi - 1]], counts[lo:hi]))
+        lo = hi
+    return number, lines.view(np.int64), length, np.concatenate(sims)
 
 
 def simhashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line, sim) of each line with words; line is a 64-bit hash of its words."""
+    """(id, line_no, line, chars, sim) of each line with words; line is a 64-bit hash of its words, chars its length."""
     ship(df.sparkSession)
 
+    def made(ids, at, texts):
+        number, line, chars, sim = scan(b"\n".join(texts))
+        first = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
+        row = np.searchsorted(first, number, "right") - 1
+        columns = [ids.take(pa.array(row + at)), pa.array((number - first[row]).astype(np.int32)), pa.array(line, pa.int64()), pa.array(chars.astype(np.int32)), pa.array(sim, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "line", "chars", "sim"])
+
     def run(batches):
-        known = WordHashes()
         for batch in batches:
-            rows, numbers, hashes, counts, ids = [], [], [], [], []
-            for at, text in enumerate(batch.column(1)):
-                for number, line in enumerate(text_lines(text.as_py())):
-                    words = line.split()
-                    if words:
-                        rows.append(at)
-                        numbers.append(number)
-                        hashes.append(line_hash(normal(line, words)))
-                        counts.append(len(words))
-                        ids.extend(map(known.__getitem__, words))
-                        if len(ids) > AT_ONCE:
-                            yield made(batch, rows, numbers, hashes, known.simhash(np.array(ids), np.array(counts)))
-                            rows, numbers, hashes, counts, ids = [], [], [], [], []
-            if rows:
-                yield made(batch, rows, numbers, hashes, known.simhash(np.array(ids), np.array(counts)))
-
-    def made(batch, rows, numbers, hashes, sims):
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(sims)], names=["id", "line_no", "line", "sim"])
-
-    fields = [StructField("id", df.schema[id_col].dataType), StructField("line_no", IntegerType()), StructField("line", LongType()), StructField("sim", LongType())]
+            texts, size, at = [], 0, 0
+            for k, text in enumerate(batch.column(1)):
+                texts.append(folded(text.as_py()))
+                size += len(texts[-1])
+                if size >= PIECE or k + 1 == batch.num_rows:
+                    yield made(batch.column(0), at, texts)
+                    texts, size, at = [], 0, k + 1
+
+    fields = [StructField("id", df.schema[id_col].dataType), StructField("line_no", IntegerType()), StructField("line", LongType()), StructField("chars", IntegerType()), StructField("sim", LongType())]
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, StructType(fields)).distinct()
 
 
@@ -179,6 +215,20 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     return found
 
 
+def _grams_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """By how many q-grams (in bins) two texts differ; an edit changes at most q of either."""
+    if min(len(x), len(y)) < GRAM:
+        return 0
+    counts = []
+    for t in (x, y):
+        t = t.astype(np.uint32)
+        grams = t[GRAM - 1 :].copy()
+        for k in range(GRAM - 1):
+            grams += t[k : len(t) - GRAM + 1 + k] * np.uint32(GRAM_STEPS[k])
+        counts.append(np.bincount((grams * np.uint32(GRAM_STEPS[0])) >> np.uint32(21), minlength=2048))
+    return int(np.abs(counts[0] - counts[1]).sum())
+
+
 def close(first: list[str], second: list[str]) -> np.ndarray:
     """Whether the edit similarity of each pair is high enough."""
     out = np.zeros(len(first), bool)
@@ -198,7 +248,7 @@ def close(first: list[str], second: list[str]) -> np.ndarray:
         x, y = x[: len(x) - tail], y[: len(y) - tail]
         if not len(x) or not len(y):
             out[at] = max(len(x), len(y)) <= most
-        else:
+        elif _grams_apart(x, y) <= 2 * GRAM * most:
             rest.append((len(x) + len(y), most, at, (x, y)))
     k = BAND
     while rest:
@@ -214,45 +264,45 @@ def close(first: list[str], second: list[str]) -> np.ndarray:
                 elif r[1] > k:
                     left.append(r)
             lo = hi
-        rest, k = left, 4 * k
+        rest, k = left, min(4 * k, max((r[1] + 1) // 2 * 2 for r in left) if left else 0)
     return out
 
 
-def _texts(df: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, store: Store) -> DataFrame:
     """(line, norm) of the needed (line, first): each is read again from one document that holds it."""
-    spark = df.sparkSession
-    needed = cut(needed.select("line", F.col("first.b").alias("want"), F.col("first.c").alias("number")))
+    needed = store.put(needed.select("line", F.col("first.b").alias("want"), F.col("first.c").alias("number")))
     places = needed.groupBy("want").agg(F.collect_set(F.struct("number", "line")).alias("places"))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = docs.join(F.broadcast(places) if needed.count() <= BROADCAST_ROWS else places, docs["id"].eqNullSafe(places["want"]))
-    ship(spark)
 
     def run(batches):
         for batch in batches:
-            hashes, norms = [], []
+            hashes, chosen = [], []
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                found = text_lines(text.as_py())
+                found = folded(text.as_py()).split(b"\n")
                 for place in wanted.as_py():
                     if place["number"] < len(found):
-                        line = found[place["number"]]
-                        norm = normal(line, line.split())
-                        if line_hash(norm) == place["line"]:  # another row may have the same id
-                            hashes.append(place["line"])
-                            norms.append(norm.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(norms, pa.string())], names=["line", "norm"])
-
-    return cut(docs.select("text", "places").mapInArrow(run, "line bigint, norm string"))
+                        hashes.append(place["line"])
+                        chosen.append(found[place["number"]])
+            number, line, *_ = scan(b"\n".join(chosen))
+            same = number[line == np.array(hashes, np.int64)[number]]  # another row may have the same id
+            norms = [normal(chosen[k]).decode("utf-8", "replace") for k in same.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[same], pa.int64()), pa.array(norms, pa.string())], names=["line", "norm"])
+
+    out = store.put(docs.select("text", "places").mapInArrow(run, "line bigint, norm string"))
+    store.drop(needed)
+    return out
 
 
-def _verified(df: DataFrame, pairs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(df: DataFrame, pairs: DataFrame, lines: DataFrame, id_col: str, text_col: str, store: Store) -> DataFrame:
     """The pairs (a, b) whose edit similarity is high enough."""
-    pairs = cut(pairs)
+    pairs = store.put(pairs)
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    texts = _texts(df, lines.join(ends, "line"), id_col, text_col)
+    texts = _texts(df, lines.join(ends, "line"), id_col, text_col, store)
     # an explicit number of partitions: the work lies in the comparison, not in the bytes
-    pairs = pairs.repartition(4 * shuffle_partitions(df.sparkSession), "a", "b")
+    both = pairs.repartition(4 * shuffle_partitions(df.sparkSession), "a", "b")
     for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("line").alias(side), F.col("norm").alias(f"t{side}")), side)
+        both = both.join(texts.select(F.col("line").alias(side), F.col("norm").alias(f"t{side}")), side)
 
     def run(batches):
         for batch in batches:
@@ -261,16 +311,18 @@ def _verified(df: DataFrame, pairs: DataFrame, lines: DataFrame, id_col: str, te
                 good = pa.array(close(ta.to_pylist(), tb.to_pylist()))
                 yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
 
-    return cut(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
+    out = store.put(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
+    store.drop(pairs, texts)
+    return out
 
 
 def _deal(rows: DataFrame, *more: str) -> DataFrame:
-    """Each pair of parts of a bucket's lines adjacent: key, p, q, part, line, sim, component, lead, more."""
+    """Each pair of parts of a bucket's lines adjacent: key, p, q, part, line, sim, chars, component, lead, more."""
     count = F.ceil(F.col("size") / PART).cast("int")
     return (
         rows.withColumn("part", F.pmod(F.xxhash64("line"), count).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "line", "sim", "component", "lead", *more)
+        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "line", "sim", "chars", "component", "lead", *more)
         .repartition("key", "p", "q")
         .sortWithinPartitions("key", "p", "q")
     )
@@ -295,7 +347,7 @@ def _whole_blocks(batches) -> Iterator[pa.Table]:
 
 def _near_pairs(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of near lines of different components, each pair in the first bucket that it shares."""
-    key, p, q, part, line, sim, component, lead = (block.column(i).to_numpy() for i in range(8))
+    key, p, q, part, line, sim, chars, component, lead = (block.column(i).to_numpy() for i in range(9))
     sim, free = sim.view(np.uint64), line != lead  # a bucket's smallest line has met all others
     number = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
     at, step = np.arange(len(key)), 1
@@ -306,7 +358,8 @@ def _near_pairs(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return
         i, j = at, at + step
         differ = sim[i] ^ sim[j]
-        good = (np.bitwise_count(differ) <= DISTANCE) & (component[i] != component[j]) & free[i] & free[j] & ((p[i] == q[i]) | (part[i] != part[j]))
+        good = (np.bitwise_count(differ) <= DISTANCE) & (component[i] != component[j]) & free[i] & free[j]
+        good &= ((p[i] == q[i]) | (part[i] != part[j])) & (np.abs(chars[i] - chars[j]) <= np.floor((1 - SIMILARITY) * np.maximum(chars[i], chars[j]) + 1e-9))
         i, j, differ = i[good], j[good], differ[good]
         if len(i):
             first = _first_table(differ) == key[i] >> 26
@@ -328,11 +381,11 @@ def _with_partner(dealt: DataFrame) -> DataFrame:
 
 
 def _joining(dealt: DataFrame) -> DataFrame:
-    """Links (a, b) that join components; pairs whose components are joined already are passed over."""
+    """Pairs (a, b) of components that a link joins; pairs whose components are joined already are passed over."""
 
     def run(batches):
         for block in _whole_blocks(batches):
-            line, component, norm = block.column("line").to_numpy(), block.column("component").to_numpy(), block.column("norm")
+            component, norm = block.column("component").to_numpy(), block.column("norm")
             parent: dict[int, int] = {}
             out: list[tuple[int, int]] = []
 
@@ -347,7 +400,7 @@ def _joining(dealt: DataFrame) -> DataFrame:
                     x, y = root(int(component[i])), root(int(component[j]))
                     if good and x != y:
                         parent[x] = y
-                        out.append((int(line[i]), int(line[j])))
+                        out.append((int(component[i]), int(component[j])))
 
             held = []
             for i, j in _near_pairs(block):
@@ -366,38 +419,38 @@ def _joining(dealt: DataFrame) -> DataFrame:
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line with words: id_col, line_no, group_id (its smallest line hash), group_size (occurrences), kept."""
-    found = cut(simhashes(df, id_col, text_col))
+    store = Store(df.sparkSession)
+    found = store.put(simhashes(df, id_col, text_col))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("line_no").alias("c"))
-    lines = cut(found.groupBy("line", "sim").agg(F.min(order).alias("first"), F.count("*").alias("n")))
+    lines = store.put(found.groupBy("line", "sim", "chars").agg(F.min(order).alias("first"), F.count("*").alias("n")))
 
-    members = lines.select("line", "sim", F.explode(_keys(F.col("sim"))).alias("key"))
+    members = lines.select("line", "sim", "chars", F.explode(_keys(F.col("sim"))).alias("key"))
     # a bucket of two is its least and its greatest line; only larger ones are joined back to their members
-    buckets = cut(members.groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1"))
+    buckets = store.put(members.groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1"))
     large = buckets.where("size > 2").drop("last")
-    hits = cut(members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "key"))
-    sims = lines.select("line", "sim")
+    hits = store.put(members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "key"))
+    sims = lines.select("line", "sim", "chars")
     twos = buckets.where("size = 2").select("lead", F.col("last").alias("line")).distinct().join(sims, "line")
-    stars = hits.where("line <> lead").select("lead", "line", "sim").unionByName(twos).distinct()
-    stars = stars.join(sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim")), "lead")
-    stars = stars.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= DISTANCE)
-    links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")), lines, id_col, text_col)
-    groups = cut(components(links))
-
-    label = groups.select(F.col("node").alias("line"), "component")
-    still = hits.join(label, "line", "left").withColumn("component", F.coalesce("component", "line"))
+    stars = hits.where("line <> lead").select("line", "lead", "sim", "chars").distinct().unionByName(twos)
+    stars = stars.join(sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim"), F.col("chars").alias("lead_chars")), "lead")
+    longer = F.greatest("chars", "lead_chars")
+    stars = stars.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= DISTANCE) & (F.abs(F.col("chars") - F.col("lead_chars")) <= F.floor(longer * (1 - SIMILARITY) + 1e-9)))
+    links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")).distinct(), lines, id_col, text_col, store)
+    groups = store.put(components(links).select(F.col("node").alias("line"), "component"))
+
+    still = store.put(hits.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line")))
+    store.drop(buckets, hits)
     mixed = still.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    still = cut(still.join(mixed, "key", "left_semi"))
-    partnered = cut(_with_partner(_deal(still)).distinct())
-    if partnered.take(1):
-        texts = _texts(df, lines.join(partnered.select("line").distinct(), "line"), id_col, text_col)
-        open_lines = still.join(partnered, ["key", "line"]).join(texts, "line")
-        more = cut(_joining(_deal(open_lines, "norm")))
-        groups = cut(components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-        label = groups.select(F.col("node").alias("line"), "component")
-
-    grouped = lines.join(label, "line", "left").withColumn("component", F.coalesce("component", "line"))
-    best = grouped.groupBy("component").agg(F.min("first").alias("_best"), F.sum("n").alias("group_size"))
-    decided = grouped.select("line", "component").join(best, "component").where("group_size > 1")
+    partnered = store.put(_with_partner(_deal(still.join(mixed, "key", "left_semi"))).distinct())
+    texts = _texts(df, lines.join(partnered.select("line").distinct(), "line"), id_col, text_col, store)
+    more = store.put(_joining(_deal(still.join(partnered, ["key", "line"]).join(texts, "line"), "norm")))
+    joined = store.put(components(more))  # of components
+    store.drop(still, partnered, texts)
+
+    grouped = lines.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line"))
+    grouped = grouped.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    best = grouped.groupBy("component").agg(F.min("first").alias("_best"), F.sum("n").alias("group_size")).where("group_size > 1")
+    decided = grouped.select("line", "component").join(best, "component")
     out = found.select("id", "line_no", "line").join(decided, "line", "left")
     kept = F.col("_best").isNull() | (F.col("id").eqNullSafe(F.col("_best.b")) & (F.col("line_no") == F.col("_best.c")))
     return out.select(

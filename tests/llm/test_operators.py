@@ -376,13 +376,22 @@ def test_edit_similarity():
     assert got.any() and not got.all()
 
 
-def test_simhash_of_long_lines():
+def test_scan_of_long_lines(monkeypatch):
     rnd = random.Random(9)
-    known, words = lines.WordHashes(), [[rnd.choice([b"a", b"b", b"c", b"dd"]) for _ in range(n)] for n in (1, 3, 255, 256, 700, 511)]
-    got = known.simhash(np.array([known[w] for line in words for w in line]), np.array([len(line) for line in words]))
-    for line, sim in zip(words, got, strict=True):
-        h = [known.hashes[known[w]] for w in line]
-        assert sim.view(np.uint64) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) >= len(line))
+    texts = [" ".join(rnd.choice(["a", "b", "c", "dd", "é" * 40]) for _ in range(n)) for n in (1, 3, 255, 256, 700, 511)]
+    texts += ["", " ", texts[1] + ".", " " + texts[1], texts[1].upper().replace(" ", " - "), "b", "x" * 3000]
+    blob = lines.folded("\n".join(texts))
+    whole = lines.scan(blob)
+    monkeypatch.setattr(lines, "PIECE", 100)
+    assert all((x == y).all() for x, y in zip(whole, lines.scan(blob), strict=True))
+    number, line, chars, sim = whole
+    assert number.tolist() == [0, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12] and not len(lines.scan(b"")[0]) and not len(lines.scan(b" \n ")[0])
+    assert line[8] == line[1] and len(set(line.tolist())) == len({lines.normal(lines.folded(texts[k])) for k in number.tolist()})
+    for k, h, n, s in zip(number.tolist(), line, chars, sim, strict=True):
+        folded = lines.folded(texts[k])
+        assert n == len(lines.normal(folded).decode()) and lines.scan(folded)[1][0] == h
+        words = [int(lines._words(np.frombuffer(w, np.uint8))[3][0]) for w in folded.split()]
+        assert s.view(np.uint64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in words) >= len(words))
 
 
 def test_lines_of_open_buckets(spark):
