@@ -396,22 +396,27 @@ def _joining(dealt: DataFrame) -> DataFrame:
                 return x
 
             def compare(pairs):
-                for (i, j), good in zip(pairs, close(*(norm.take(pa.array([x[side] for x in pairs])).to_pylist() for side in (0, 1))), strict=True):
-                    x, y = root(int(component[i])), root(int(component[j]))
-                    if good and x != y:
-                        parent[x] = y
-                        out.append((int(component[i]), int(component[j])))
+                while pairs:  # one pair of each two components at a time
+                    now, later = {}, []
+                    for pair in pairs:
+                        x, y = root(int(component[pair[0]])), root(int(component[pair[1]]))
+                        if x != y and now.setdefault((min(x, y), max(x, y)), pair) is not pair:
+                            later.append(pair)
+                    some = list(now.values())
+                    for (i, j), good in zip(some, close(*(norm.take(pa.array([x[side] for x in some], pa.int64())).to_pylist() for side in (0, 1))), strict=True):
+                        x, y = root(int(component[i])), root(int(component[j]))
+                        if good and x != y:
+                            parent[x] = y
+                            out.append((int(component[i]), int(component[j])))
+                    pairs = later
 
             held = []
             for i, j in _near_pairs(block):
-                for pair in zip(i.tolist(), j.tolist(), strict=True):
-                    if root(int(component[pair[0]])) != root(int(component[pair[1]])):
-                        held.append(pair)
-                        if len(held) == PAIRS:
-                            compare(held)
-                            held = []
-            if held:
-                compare(held)
+                held += zip(i.tolist(), j.tolist(), strict=True)
+                if len(held) >= PAIRS:
+                    compare(held)
+                    held = []
+            compare(held)
             yield pa.RecordBatch.from_arrays([pa.array([x[side] for x in out], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -424,24 +429,31 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("line_no").alias("c"))
     lines = store.put(found.groupBy("line", "sim", "chars").agg(F.min(order).alias("first"), F.count("*").alias("n")))
 
-    members = lines.select("line", "sim", "chars", F.explode(_keys(F.col("sim"))).alias("key"))
-    # a bucket of two is its least and its greatest line; only larger ones are joined back to their members
-    buckets = store.put(members.groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1"))
-    large = buckets.where("size > 2").drop("last")
-    hits = store.put(members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "key"))
+    key = F.explode(_keys(F.col("sim"))).alias("key")
+    buckets = lines.select("line", key).groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1")
     sims = lines.select("line", "sim", "chars")
-    twos = buckets.where("size = 2").select("lead", F.col("last").alias("line")).distinct().join(sims, "line")
-    stars = hits.where("line <> lead").select("line", "lead", "sim", "chars").distinct().unionByName(twos)
-    stars = stars.join(sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim"), F.col("chars").alias("lead_chars")), "lead")
-    longer = F.greatest("chars", "lead_chars")
-    stars = stars.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= DISTANCE) & (F.abs(F.col("chars") - F.col("lead_chars")) <= F.floor(longer * (1 - SIMILARITY) + 1e-9)))
-    links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")).distinct(), lines, id_col, text_col, store)
+    leads = sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim"), F.col("chars").alias("lead_chars"))
+    buckets = store.put(buckets.join(leads, "lead"))
+    # a bucket of two is its least and its greatest line; only larger ones are joined back to their members
+    large = buckets.where("size > 2").select("key", "lead", "lead_sim", "lead_chars", F.col("size").cast("int").alias("size"))
+    few = large.count() <= BROADCAST_ROWS
+    fits = F.abs(F.col("chars") - F.col("lead_chars")) <= F.floor(F.greatest("chars", "lead_chars") * (1 - SIMILARITY) + 1e-9)
+    near = (F.col("line") != F.col("lead")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= DISTANCE) & fits
+    hits = sims.select("line", "sim", "chars", key).join(F.broadcast(large) if few else large, "key")
+    twos = buckets.where("size = 2").withColumnRenamed("last", "line").join(sims, "line")
+    stars = hits.where(near).select("lead", "line").unionByName(twos.where(near).select("lead", "line")).distinct()
+    links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")), lines, id_col, text_col, store)
     groups = store.put(components(links).select(F.col("node").alias("line"), "component"))
 
-    still = store.put(hits.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line")))
-    store.drop(buckets, hits)
-    mixed = still.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    partnered = store.put(_with_partner(_deal(still.join(mixed, "key", "left_semi"))).distinct())
+    # lines take their component along before they are entered under their keys
+    named = sims.join(groups, "line", "left").select("line", "sim", "chars", F.coalesce("component", "line").alias("component"))
+    large = large.select("key", "lead", "size")
+    still = named.select("line", "sim", "chars", "component", key).join(F.broadcast(large) if few else large, "key")
+    # a bucket of many parts is left out where its lines are in one component already; a small one shows that when it is read
+    many = still.where(F.col("size") > PART).groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x = y").select("key")
+    still = store.put(still.join(many, "key", "left_anti"))
+    store.drop(buckets)
+    partnered = store.put(_with_partner(_deal(still)).distinct())
     texts = _texts(df, lines.join(partnered.select("line").distinct(), "line"), id_col, text_col, store)
     more = store.put(_joining(_deal(still.join(partnered, ["key", "line"]).join(texts, "line"), "norm")))
     joined = store.put(components(more))  # of components
