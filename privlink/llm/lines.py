@@ -6,7 +6,7 @@ Two different normalised lines are linked if their SimHashes differ in at most `
 the smallest (id, line number).
 
 Pigeonhole: of ``BLOCKS`` blocks of the hash at least BLOCKS - DISTANCE = 2 are equal, so each line is entered under each
-pair of blocks; no link is missed.  As in the MinHash operator a bucket's lines are held against its smallest line, and
+pair of blocks, with the octave of its length; no link is missed.  As in the MinHash operator a bucket's lines are held against its smallest line, and
 only buckets whose lines are not in one component yet are compared further, in parts of at most ``PART`` lines or so, each
 pair in the first bucket that it shares.  A first pass over these parts looks at hashes alone and gives the lines that have
 a near partner in another component; a second one takes just their texts along and gives the links that join components.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -162,10 +162,17 @@ def simhashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, StructType(fields)).distinct()
 
 
-def _keys(sim: Column) -> Column:
-    """(table, key) under each pair of blocks."""
-    parts = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in zip(STARTS, WIDTHS, strict=True)]
-    return F.array(*[(F.lit(t) * (1 << 26) + parts[i] * (1 << 13) + parts[j]).cast("bigint") for t, (i, j) in enumerate(TABLES)])
+def _entered(lines: DataFrame, *columns: str) -> DataFrame:
+    """columns and a key for each (octave, table, pair of blocks) of lines (sim, chars).
+
+    Texts of n and at most n / SIMILARITY characters lie in one octave of lengths or in two adjacent ones; a line whose
+    longer partners may lie in the next one is entered there too.
+    """
+    parts = [F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in zip(STARTS, WIDTHS, strict=True)]
+    pairs = F.array(*[(F.lit(t) * (1 << 26) + parts[i] * (1 << 13) + parts[j]).cast("bigint") for t, (i, j) in enumerate(TABLES)])
+    octave = [F.floor(F.log2(n)).cast("bigint") for n in (F.col("chars"), F.ceil(F.col("chars") / SIMILARITY) + 1)]
+    both = lines.withColumn("octave", F.explode(F.array_distinct(F.array(*octave))))
+    return both.withColumn("key", F.explode(pairs)).select(*columns, (F.col("octave") * (1 << 30) + F.col("key")).alias("key"))
 
 
 def _first_table(differ: np.ndarray) -> np.ndarray:
@@ -362,7 +369,7 @@ def _near_pairs(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         good &= ((p[i] == q[i]) | (part[i] != part[j])) & (np.abs(chars[i] - chars[j]) <= np.floor((1 - SIMILARITY) * np.maximum(chars[i], chars[j]) + 1e-9))
         i, j, differ = i[good], j[good], differ[good]
         if len(i):
-            first = _first_table(differ) == key[i] >> 26
+            first = _first_table(differ) == (key[i] >> 26) & 15
             yield i[first], j[first]
         step += 1
 
@@ -396,27 +403,22 @@ def _joining(dealt: DataFrame) -> DataFrame:
                 return x
 
             def compare(pairs):
-                while pairs:  # one pair of each two components at a time
-                    now, later = {}, []
-                    for pair in pairs:
-                        x, y = root(int(component[pair[0]])), root(int(component[pair[1]]))
-                        if x != y and now.setdefault((min(x, y), max(x, y)), pair) is not pair:
-                            later.append(pair)
-                    some = list(now.values())
-                    for (i, j), good in zip(some, close(*(norm.take(pa.array([x[side] for x in some], pa.int64())).to_pylist() for side in (0, 1))), strict=True):
-                        x, y = root(int(component[i])), root(int(component[j]))
-                        if good and x != y:
-                            parent[x] = y
-                            out.append((int(component[i]), int(component[j])))
-                    pairs = later
+                for (i, j), good in zip(pairs, close(*(norm.take(pa.array([x[side] for x in pairs])).to_pylist() for side in (0, 1))), strict=True):
+                    x, y = root(int(component[i])), root(int(component[j]))
+                    if good and x != y:
+                        parent[x] = y
+                        out.append((int(component[i]), int(component[j])))
 
             held = []
             for i, j in _near_pairs(block):
-                held += zip(i.tolist(), j.tolist(), strict=True)
-                if len(held) >= PAIRS:
-                    compare(held)
-                    held = []
-            compare(held)
+                for pair in zip(i.tolist(), j.tolist(), strict=True):
+                    if root(int(component[pair[0]])) != root(int(component[pair[1]])):
+                        held.append(pair)
+                        if len(held) == PAIRS // 4:
+                            compare(held)
+                            held = []
+            if held:
+                compare(held)
             yield pa.RecordBatch.from_arrays([pa.array([x[side] for x in out], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -429,8 +431,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("line_no").alias("c"))
     lines = store.put(found.groupBy("line", "sim", "chars").agg(F.min(order).alias("first"), F.count("*").alias("n")))
 
-    key = F.explode(_keys(F.col("sim"))).alias("key")
-    buckets = lines.select("line", key).groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1")
+    buckets = _entered(lines, "line").groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1")
     sims = lines.select("line", "sim", "chars")
     leads = sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim"), F.col("chars").alias("lead_chars"))
     buckets = store.put(buckets.join(leads, "lead"))
@@ -439,7 +440,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     few = large.count() <= BROADCAST_ROWS
     fits = F.abs(F.col("chars") - F.col("lead_chars")) <= F.floor(F.greatest("chars", "lead_chars") * (1 - SIMILARITY) + 1e-9)
     near = (F.col("line") != F.col("lead")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= DISTANCE) & fits
-    hits = sims.select("line", "sim", "chars", key).join(F.broadcast(large) if few else large, "key")
+    hits = _entered(sims, "line", "sim", "chars").join(F.broadcast(large) if few else large, "key")
     twos = buckets.where("size = 2").withColumnRenamed("last", "line").join(sims, "line")
     stars = hits.where(near).select("lead", "line").unionByName(twos.where(near).select("lead", "line")).distinct()
     links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")), lines, id_col, text_col, store)
@@ -448,7 +449,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # lines take their component along before they are entered under their keys
     named = sims.join(groups, "line", "left").select("line", "sim", "chars", F.coalesce("component", "line").alias("component"))
     large = large.select("key", "lead", "size")
-    still = named.select("line", "sim", "chars", "component", key).join(F.broadcast(large) if few else large, "key")
+    still = _entered(named, "line", "sim", "chars", "component").join(F.broadcast(large) if few else large, "key")
     # a bucket of many parts is left out where its lines are in one component already; a small one shows that when it is read
     many = still.where(F.col("size") > PART).groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x = y").select("key")
     still = store.put(still.join(many, "key", "left_anti"))
