@@ -458,7 +458,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = _texts(df, lines.join(partnered.select("line").distinct(), "line"), id_col, text_col, store)
     more = store.put(_joining(_deal(still.join(partnered, ["key", "line"]).join(texts, "line"), "norm")))
     joined = store.put(components(more))  # of components
-    store.drop(still, partnered, texts)
+    store.drop(links, still, partnered, texts, more)
 
     grouped = lines.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line"))
     grouped = grouped.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").withColumn("component", F.coalesce("whole", "component"))
