@@ -5,6 +5,12 @@ Two different normalised lines are linked if their SimHashes differ in at most `
 (1 - Levenshtein distance / longer length) is at least ``SIMILARITY``.  One occurrence of each connected group is kept,
 the smallest (id, line number).
 
+That hash passes over most lines that only their edit similarity joins.  With ``grams`` it has no say: a link is a pair of that
+edit similarity, and candidates are lines that share one of ``BANDS`` bands of ``ROWS`` minima of hashed byte n-grams: of 3
+bytes up to ``SHORT`` characters, of 6 bytes from the least length on that links to a longer text (lines between are
+entered under both).  Bits of the minima stand for the SimHash there; pairs that differ in more than ``APART`` of them are
+passed over.  At n-gram similarity j a pair shares no band with probability (1 - j^3)^20: 3e-2 at 0.55, 4e-4 at 0.7.
+
 Pigeonhole: of ``BLOCKS`` blocks of the hash at least BLOCKS - DISTANCE = 2 are equal, so each line is entered under each
 pair of blocks, with the octave of its length; no link is missed.  As in the MinHash operator a bucket's lines are held against its smallest line, and
 only buckets whose lines are not in one component yet are compared further, in parts of at most ``PART`` lines or so, each
@@ -33,6 +39,7 @@ from .common import Store, ship, shuffle_partitions
 from .graph import components
 
 DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.9
+BANDS, ROWS, SHORT, APART = 20, 3, 64, 24
 #: Lines of a bucket that meet another such part at once.
 PART = 8192
 #: Lines whose places are broadcast to fetch their texts, and buckets that are broadcast to their members (tens of bytes
@@ -103,8 +110,45 @@ def _simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones >= counts[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
-def scan(text: bytes) -> tuple[np.ndarray, ...]:
-    """(line number, line hash, code points once normalised, SimHash) of each line with words of a folded text."""
+@functools.cache
+def _minima_seeds() -> np.ndarray:
+    draw = np.random.RandomState(20240503).randint(0, 2**32, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint32)
+    draw[1] |= np.uint32(1)
+    return draw
+
+
+def gram_minima(text: bytes, number: np.ndarray, chars: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(places in number, kind, bits of the minima, bands) of the lines of a folded text that ``scan`` found, for each kind of n-gram."""
+    b = np.frombuffer(b"\n" + text + b"\n", np.uint8)
+    b = b[~((b == 32) & (np.r_[np.uint8(0), b[:-1]] == 32))]
+    breaks = np.flatnonzero(b == 10)
+    start, size = breaks[number], breaks[number + 1] - breaks[number] - 1
+    w = np.r_[b, np.zeros(5, np.uint8)].astype(np.uint32)
+    three = (w[:-2] | w[1:-1] << np.uint32(8) | w[2:] << np.uint32(16)) * np.uint32(GRAM_STEPS[0])
+    three ^= three >> np.uint32(15)
+    six = (three[:-3] * np.uint32(GRAM_STEPS[1])) ^ (three[3:] * np.uint32(GRAM_STEPS[2]))
+    least = int((1 - SIMILARITY) * (SHORT + 1) + 1e-9)
+    # the first kind takes the line's ends along
+    for kind, grams, rows, lead, less in ((0, three, chars <= SHORT, 0, 0), (1, six, chars >= SHORT + 1 - least, 1, 5)):
+        rows = np.flatnonzero(rows)
+        if not len(rows):
+            continue
+        counts = size[rows] - less
+        first = np.cumsum(counts) - counts
+        g = grams[np.repeat(start[rows] + lead - first, counts) + np.arange(counts.sum())]
+        g *= np.uint32(GRAM_STEPS[1])
+        g ^= g >> np.uint32(13)
+        minima = np.array([np.minimum.reduceat((g ^ c) * m, first) for c, m in _minima_seeds().T])
+        bits = np.zeros((len(rows), 64), np.uint8)
+        bits[:, : BANDS * ROWS] = ((minima * np.uint32(GRAM_STEPS[0])) >> np.uint32(31)).T
+        bands = np.zeros((BANDS, len(rows)), np.uint64)
+        for k in range(ROWS):
+            bands = _mixed(bands * M2 + minima[k::ROWS] + np.uint64(1))
+        yield rows, np.full(len(rows), kind, np.int32), np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel(), (bands >> np.uint64(32)).astype(np.uint32).T
+
+
+def scan(text: bytes, sims: bool = True) -> tuple[np.ndarray, ...]:
+    """(line number, line hash, code points once normalised, SimHash or 0) of each line with words of a folded text."""
     b = np.frombuffer(text, np.uint8)
     found, lo = [], 0
     while lo < len(b):  # pieces end between words
@@ -128,6 +172,8 @@ def scan(text: bytes) -> tuple[np.ndarray, ...]:
     lines = np.add.reduceat(hashes * _powers(STEP, _sizes(int(counts.max())))[place], first)
     lines = _mixed(lines + (4 * counts + 2 * lead + trail).astype(np.uint64) * M1)
     length = np.add.reduceat(chars, first) + counts - 1 + lead + trail
+    if not sims:
+        return number, lines.view(np.int64), length, np.zeros(len(number), np.int64)
     sims, lo = [], 0
     bounds = np.cumsum(counts)
     while lo < len(counts):
@@ -137,26 +183,51 @@ def scan(text: bytes) -> tuple[np.ndarray, ...]:
     return number, lines.view(np.int64), length, np.concatenate(sims)
 
 
-def simhashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _pieces(batches) -> Iterator[tuple[pa.Array, int, list[bytes]]]:
+    """(first column, place, folded texts from there) of batches whose last column is a text."""
+    for batch in batches:
+        texts, size, at = [], 0, 0
+        for k, text in enumerate(batch.column(batch.num_columns - 1)):
+            texts.append(folded(text.as_py()))
+            size += len(texts[-1])
+            if size >= PIECE or k + 1 == batch.num_rows:
+                yield batch.column(0), at, texts
+                texts, size, at = [], 0, k + 1
+
+
+def sketches(df: DataFrame, text_col: str) -> DataFrame:
+    """(line, kind, chars, sim, bands) of each different line with words and each kind of n-gram."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for _, _, texts in _pieces(batches):
+            whole = b"\n".join(texts)
+            number, line, chars, _ = scan(whole, False)
+            if not len(number):
+                continue
+            for rows, kind, sim, bands in gram_minima(whole, number, chars):
+                rows, place = (rows[k := np.unique(line[rows], return_index=True)[1]], k)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(bands[place]).view(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(line[rows]), pa.array(kind[place]), pa.array(chars[rows].astype(np.int32)), pa.array(sim[place]), flat], names=["line", "kind", "chars", "sim", "bands"])
+
+    made = df.select(F.col(text_col).alias("text")).mapInArrow(run, "line bigint, kind int, chars int, sim bigint, bands array<int>")
+    return made.dropDuplicates(["line", "kind"])
+
+
+def simhashes(df: DataFrame, id_col: str, text_col: str, sims: bool = True) -> DataFrame:
     """(id, line_no, line, chars, sim) of each line with words; line is a 64-bit hash of its words, chars its length."""
     ship(df.sparkSession)
 
     def made(ids, at, texts):
-        number, line, chars, sim = scan(b"\n".join(texts))
+        number, line, chars, sim = scan(b"\n".join(texts), sims)
         first = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
         row = np.searchsorted(first, number, "right") - 1
         columns = [ids.take(pa.array(row + at)), pa.array((number - first[row]).astype(np.int32)), pa.array(line, pa.int64()), pa.array(chars.astype(np.int32)), pa.array(sim, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "line", "chars", "sim"])
 
     def run(batches):
-        for batch in batches:
-            texts, size, at = [], 0, 0
-            for k, text in enumerate(batch.column(1)):
-                texts.append(folded(text.as_py()))
-                size += len(texts[-1])
-                if size >= PIECE or k + 1 == batch.num_rows:
-                    yield made(batch.column(0), at, texts)
-                    texts, size, at = [], 0, k + 1
+        for piece in _pieces(batches):
+            yield made(*piece)
 
     fields = [StructField("id", df.schema[id_col].dataType), StructField("line_no", IntegerType()), StructField("line", LongType()), StructField("chars", IntegerType()), StructField("sim", LongType())]
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, StructType(fields)).distinct()
@@ -166,8 +237,12 @@ def _entered(lines: DataFrame, *columns: str) -> DataFrame:
     """columns and a key for each (octave, table, pair of blocks) of lines (sim, chars).
 
     Texts of n and at most n / SIMILARITY characters lie in one octave of lengths or in two adjacent ones; a line whose
-    longer partners may lie in the next one is entered there too.
+    longer partners may lie in the next one is entered there too.  Lines with bands are entered under each of these instead.
     """
+    if "bands" in lines.columns:
+        band = lines.select("*", F.posexplode("bands").alias("_band", "_value"))
+        key = (F.col("kind") * BANDS + F.col("_band")).cast("bigint") * (1 << 32) + F.col("_value")
+        return band.withColumn("key", key).select(*columns, "key")
     parts = [F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in zip(STARTS, WIDTHS, strict=True)]
     pairs = F.array(*[(F.lit(t) * (1 << 26) + parts[i] * (1 << 13) + parts[j]).cast("bigint") for t, (i, j) in enumerate(TABLES)])
     octave = [F.floor(F.log2(n)).cast("bigint") for n in (F.col("chars"), F.ceil(F.col("chars") / SIMILARITY) + 1)]
@@ -355,6 +430,7 @@ def _whole_blocks(batches) -> Iterator[pa.Table]:
 def _near_pairs(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of near lines of different components, each pair in the first bucket that it shares."""
     key, p, q, part, line, sim, chars, component, lead = (block.column(i).to_numpy() for i in range(9))
+    bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if "bands" in block.column_names else None
     sim, free = sim.view(np.uint64), line != lead  # a bucket's smallest line has met all others
     number = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
     at, step = np.arange(len(key)), 1
@@ -365,11 +441,14 @@ def _near_pairs(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return
         i, j = at, at + step
         differ = sim[i] ^ sim[j]
-        good = (np.bitwise_count(differ) <= DISTANCE) & (component[i] != component[j]) & free[i] & free[j]
+        good = (np.bitwise_count(differ) <= (DISTANCE if bands is None else APART)) & (component[i] != component[j]) & free[i] & free[j]
         good &= ((p[i] == q[i]) | (part[i] != part[j])) & (np.abs(chars[i] - chars[j]) <= np.floor((1 - SIMILARITY) * np.maximum(chars[i], chars[j]) + 1e-9))
         i, j, differ = i[good], j[good], differ[good]
         if len(i):
-            first = _first_table(differ) == (key[i] >> 26) & 15
+            if bands is None:
+                first = _first_table(differ) == (key[i] >> 26) & 15
+            else:  # a value's sign borrows from the band
+                first = (bands[i] == bands[j]).argmax(1) == ((key[i] + (1 << 31)) >> 32) % BANDS
             yield i[first], j[first]
         step += 1
 
@@ -424,41 +503,45 @@ def _joining(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line with words: id_col, line_no, group_id (its smallest line hash), group_size (occurrences), kept."""
+def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: bool = False) -> DataFrame:
+    """One row per line with words: id_col, line_no, group_id (its smallest line hash), group_size (occurrences), kept.
+
+    ``grams``: links by edit similarity alone, candidates by n-grams, instead of SimHashes.
+    """
     store = Store(df.sparkSession)
-    found = store.put(simhashes(df, id_col, text_col))
+    found = store.put(simhashes(df, id_col, text_col, not grams))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("line_no").alias("c"))
     lines = store.put(found.groupBy("line", "sim", "chars").agg(F.min(order).alias("first"), F.count("*").alias("n")))
 
-    buckets = _entered(lines, "line").groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1")
-    sims = lines.select("line", "sim", "chars")
-    leads = sims.select(F.col("line").alias("lead"), F.col("sim").alias("lead_sim"), F.col("chars").alias("lead_chars"))
-    buckets = store.put(buckets.join(leads, "lead"))
+    sims = store.put(sketches(df, text_col)) if grams else lines.select("line", F.lit(0).alias("kind"), "chars", "sim")
+    more_columns = ["bands"] if grams else []
+    buckets = _entered(sims, "line", "kind").groupBy("key", "kind").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1")
+    leads = sims.select(F.col("line").alias("lead"), "kind", F.col("sim").alias("lead_sim"), F.col("chars").alias("lead_chars"))
+    buckets = store.put(buckets.join(leads, ["lead", "kind"]))
     # a bucket of two is its least and its greatest line; only larger ones are joined back to their members
     large = buckets.where("size > 2").select("key", "lead", "lead_sim", "lead_chars", F.col("size").cast("int").alias("size"))
     few = large.count() <= BROADCAST_ROWS
     fits = F.abs(F.col("chars") - F.col("lead_chars")) <= F.floor(F.greatest("chars", "lead_chars") * (1 - SIMILARITY) + 1e-9)
-    near = (F.col("line") != F.col("lead")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= DISTANCE) & fits
+    near = (F.col("line") != F.col("lead")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= (APART if grams else DISTANCE)) & fits
     hits = _entered(sims, "line", "sim", "chars").join(F.broadcast(large) if few else large, "key")
-    twos = buckets.where("size = 2").withColumnRenamed("last", "line").join(sims, "line")
+    twos = buckets.where("size = 2").withColumnRenamed("last", "line").join(sims, ["line", "kind"])
     stars = hits.where(near).select("lead", "line").unionByName(twos.where(near).select("lead", "line")).distinct()
     links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")), lines, id_col, text_col, store)
     groups = store.put(components(links).select(F.col("node").alias("line"), "component"))
 
     # lines take their component along before they are entered under their keys
-    named = sims.join(groups, "line", "left").select("line", "sim", "chars", F.coalesce("component", "line").alias("component"))
+    named = sims.join(groups, "line", "left").select("line", "kind", "sim", "chars", F.coalesce("component", "line").alias("component"), *more_columns)
     large = large.select("key", "lead", "size")
-    still = _entered(named, "line", "sim", "chars", "component").join(F.broadcast(large) if few else large, "key")
+    still = _entered(named, "line", "sim", "chars", "component", *more_columns).join(F.broadcast(large) if few else large, "key")
     # a bucket of many parts is left out where its lines are in one component already; a small one shows that when it is read
     many = still.where(F.col("size") > PART).groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x = y").select("key")
     still = store.put(still.join(many, "key", "left_anti"))
     store.drop(buckets)
-    partnered = store.put(_with_partner(_deal(still)).distinct())
+    partnered = store.put(_with_partner(_deal(still, *more_columns)).distinct())
     texts = _texts(df, lines.join(partnered.select("line").distinct(), "line"), id_col, text_col, store)
-    more = store.put(_joining(_deal(still.join(partnered, ["key", "line"]).join(texts, "line"), "norm")))
+    more = store.put(_joining(_deal(still.join(partnered, ["key", "line"]).join(texts, "line"), "norm", *more_columns)))
     joined = store.put(components(more))  # of components
-    store.drop(links, still, partnered, texts, more)
+    store.drop(links, still, partnered, texts, more, *([sims] if grams else []))
 
     grouped = lines.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line"))
     grouped = grouped.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").withColumn("component", F.coalesce("whole", "component"))
@@ -471,9 +554,9 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: bool = False) -> DataFrame:
     """df with the lines that are not kept taken out of its texts."""
-    gone = line_groups(df, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("_gid")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = line_groups(df, id_col, text_col, grams).where("not kept").groupBy(F.col(id_col).alias("_gid")).agg(F.collect_set("line_no").alias("_gone"))
     joined = df.join(gone, df[id_col].eqNullSafe(F.col("_gid")), "left")
     left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_gone", i.cast("bigint")), F.lit(False)))
     return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*df.columns)

@@ -59,7 +59,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_groups(table(spark, sf_dir, "documents"))
+    return lines.line_groups(table(spark, sf_dir, "documents"), grams=True)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

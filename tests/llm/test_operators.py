@@ -421,3 +421,31 @@ def test_lines_of_open_buckets(spark):
             assert got == {i: label[h] for i, (h, _) in sims.items()}
     finally:
         lines.PART = before
+
+
+def test_lines_by_edit_similarity(spark, monkeypatch):
+    """Lines with typos of words are joined as all pairs by edit similarity alone would be, across both kinds of n-gram."""
+    rnd = random.Random(12)
+    make = lambda: "".join(rnd.choice("abcdefghijklmnoprstu") for _ in range(rnd.randint(4, 9)))
+    texts = []
+    for n in (3, 6, 8, 9, 10, 20, 30, 60) * 6:
+        base = [make() for _ in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(3):  # a letter in one word; up to a letter in every fifth
+            other = list(base)
+            for at in rnd.sample(range(n), rnd.randint(1, max(1, n // 5))):
+                k = rnd.randrange(len(other[at]))
+                other[at] = other[at][:k] + rnd.choice(["", "x", other[at][k] + "q"]) + other[at][k + 1 :]
+            texts.append(" ".join(other))
+    label = list(range(len(texts)))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    links = [p for p, good in zip(pairs, lines.close([texts[a] for a, _ in pairs], [texts[b] for _, b in pairs]), strict=True) if good]
+    for _ in range(10):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    sims = [int(x) & (2**64 - 1) for x in lines.scan("\n".join(texts).encode())[3]]
+    assert sum((sims[a] ^ sims[b]).bit_count() <= 3 for a, b in links) < len(links) / 2  # SimHashes alone miss most
+    monkeypatch.setattr(lines, "PART", 16)
+    got = {r.doc_id: r.kept for r in lines.line_groups(frame, grams=True).collect()}
+    assert got == {i: label[i] == i for i in range(len(texts))}
