@@ -5,8 +5,9 @@ buckets; each bucket keeps its least remaining value as the count of leading zer
 one (two bytes in all).  An empty bucket borrows from the first filled bucket of a fixed random order of its own, so short
 texts have full sketches as well.
 
-*Candidates.*  Equal sets are one class, known by its smallest id.  ``BANDS`` bands of ``ROWS`` registers are hashed; at
-the threshold similarity 0.85 two sets share no band with probability (1 - 0.85^8)^48 = 2.4e-7.
+*Candidates.*  Equal sets are one class, known by its smallest id.  Bands of registers are hashed, of as many rows (at most
+``ROWS``) as leave two sets at the threshold without a shared band with probability ``MISS`` at most: 48 bands of 8 at 0.85,
+(1 - 0.85^8)^48 = 2.4e-7; 51 bands of 6 at 0.80, (1 - 0.8^6)^51 = 1.9e-7.
 
 *Links*, without forming the pairs of a bucket:
 1. each member of a bucket is held against the bucket's smallest member (a star): estimate from the registers, corrected
@@ -26,6 +27,7 @@ table; other columns are not looked at.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +40,9 @@ from .common import cut, ship
 from .graph import components
 
 WORDS = 5
-#: Links are pairs with PERCENT * union <= 100 * intersection.
+#: Links are pairs with percent * union <= 100 * intersection; this is the percent unless the caller gives another.
 PERCENT = 85
-BANDS, ROWS, MANTISSA = 48, 8, 10
-REGISTERS = BANDS * ROWS
+REGISTERS, ROWS, MISS, MANTISSA = 384, 8, 2.5e-7, 10
 #: Members of a bucket that meet the members of another such part in one call.
 BLOCK = 256
 #: Parts that the copies of a class are dealt over when they learn their representative.
@@ -111,14 +112,27 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _band_seeds() -> np.ndarray:
-    return np.random.RandomState(20240502).randint(0, 2**63, BANDS, dtype=np.int64).astype(np.uint64)
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) for a threshold: the most rows whose bands the registers hold."""
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+        if bands * rows <= REGISTERS:
+            return bands, rows
+    raise ValueError(f"{REGISTERS} registers are too few for a threshold of {percent} percent")
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+@functools.cache
+def _band_seeds(bands: int) -> np.ndarray:
+    return np.random.RandomState(20240502).randint(0, 2**63, bands, dtype=np.int64).astype(np.uint64)
+
+
+def band_keys(registers: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """A 64-bit key for each band."""
-    x = registers.view(np.uint64).reshape(BANDS, ROWS // 4)
-    k = _band_seeds().copy()
+    bands, rows = banding(percent)
+    x = np.zeros((bands, -(-rows // 4) * 4), np.uint16)
+    x[:, :rows] = registers[: bands * rows].reshape(bands, rows)
+    x = x.view(np.uint64)
+    k = _band_seeds(bands).copy()
     for i in range(x.shape[1]):
         k = (k ^ x[:, i]) * M1
         k ^= k >> np.uint64(29)
@@ -126,7 +140,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return (k ^ (k >> np.uint64(32))).view(np.int64)
 
 
-def passes(equal: np.ndarray, either: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def passes(equal: np.ndarray, either: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether an estimate leaves the threshold possible.
 
     equal: registers filled in either sketch that agree; either: registers filled in either.  Registers of different
@@ -135,17 +149,17 @@ def passes(equal: np.ndarray, either: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     ratio = n_a / np.maximum(n_b, 1)
     c = 0.169919487159739 * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA)
     j = (equal / np.maximum(either, 1) - c) / (1 - c)
-    t = PERCENT / 100
-    sizes = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    t = percent / 100
+    sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     return sizes & (j >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(either, 1)))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _signatures(df: DataFrame) -> DataFrame:
+def _signatures(df: DataFrame, percent: int) -> DataFrame:
     """(id, n, class, bands) of rows (id, text)."""
 
     def run(batches):
@@ -156,7 +170,7 @@ def _signatures(df: DataFrame) -> DataFrame:
                 h = shingles(text.as_py() or "", known)
                 ns.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                bands.append(band_keys(sketch(h)[0]) if len(h) else np.empty(0, np.int64))
+                bands.append(band_keys(sketch(h)[0], percent) if len(h) else np.empty(0, np.int64))
             at = np.r_[0, np.cumsum([len(x) for x in bands])].astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, type=pa.int64()), pa.array(digests, type=pa.binary()), flat], names=["id", "n", "class", "bands"])
@@ -181,7 +195,7 @@ def _sets(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id bigint, n bigint, filled binary, registers binary, hashes binary")
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
+def _stars(pairs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among pairs that carry both sketches and sets."""
 
     def run(batches):
@@ -193,8 +207,8 @@ def _stars(pairs: DataFrame) -> DataFrame:
                 r_a, r_b = (_matrix(part[x].to_pylist(), np.uint16, REGISTERS) for x in ("registers_a", "registers_b"))
                 f_a, f_b = (np.unpackbits(_matrix(part[x].to_pylist(), np.uint8, REGISTERS // 8), axis=1).astype(bool) for x in ("filled_a", "filled_b"))
                 either = f_a | f_b
-                good = passes(((r_a == r_b) & either).sum(1), either.sum(1), n_a, n_b)
-                out = [i for i in np.flatnonzero(good) if linked(*(np.frombuffer(part[x][int(i)].as_py(), np.uint64) for x in ("hashes_a", "hashes_b")))]
+                good = passes(((r_a == r_b) & either).sum(1), either.sum(1), n_a, n_b, percent)
+                out = [i for i in np.flatnonzero(good) if linked(*(np.frombuffer(part[x][int(i)].as_py(), np.uint64) for x in ("hashes_a", "hashes_b")), percent)]
                 yield pa.RecordBatch.from_arrays([part[x].take(pa.array(out, type=pa.int64())) for x in ("a", "b")], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
@@ -204,10 +218,11 @@ def _matrix(rows: list[bytes], kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), width)
 
 
-def _block_links(block: list[tuple], first: int, second: int) -> Iterator[tuple[int, int]]:
+def _block_links(block: list[tuple], first: int, second: int, percent: int) -> Iterator[tuple[int, int]]:
     """Links between members of different components of a bucket's parts ``first`` and ``second``."""
     # a row: band, part, id, component, lead, n, filled, registers, hashes
     band = block[0][0]
+    bands, rows = banding(percent)
     left, right = [r for r in block if r[1] == first], [r for r in block if r[1] == second]
     if not left or not right:
         return
@@ -223,14 +238,14 @@ def _block_links(block: list[tuple], first: int, second: int) -> Iterator[tuple[
             continue
         own = np.frombuffer(r[7], np.uint16)
         same, either = registers[k] == own, filled[k] | np.unpackbits(np.frombuffer(r[6], np.uint8)).astype(bool)
-        good = passes((same & either).sum(1), either.sum(1), np.full(len(k), r[5]), ns[k])
-        shared = same.reshape(len(k), BANDS, ROWS).all(2).argmax(1)  # the first band that the pair shares
+        good = passes((same & either).sum(1), either.sum(1), np.full(len(k), r[5]), ns[k], percent)
+        shared = same[:, : bands * rows].reshape(len(k), bands, rows).all(2).argmax(1)  # the first band that the pair shares
         for i in k[good & (shared == band)]:
-            if linked(np.frombuffer(r[8], np.uint64), np.frombuffer(right[i][8], np.uint64)):
+            if linked(np.frombuffer(r[8], np.uint64), np.frombuffer(right[i][8], np.uint64), percent):
                 yield r[2], int(ids[i])
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Links within blocks; rows of one block are adjacent: key, p, q, band, part, id, component, lead, n, ..."""
 
     def run(batches):
@@ -239,14 +254,14 @@ def _blocks(rows: DataFrame) -> DataFrame:
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 if row[:3] != at:
                     if block:
-                        out += _block_links(block, at[1], at[2])
+                        out += _block_links(block, at[1], at[2], percent)
                     at, block = row[:3], []
                 block.append(row[3:])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
                 out = []
         if block:
-            out += _block_links(block, at[1], at[2])
+            out += _block_links(block, at[1], at[2], percent)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -258,11 +273,11 @@ def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (smallest id reachable by links), kept."""
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(_signatures(rows))
+    signed = cut(_signatures(rows, percent))
     known = signed.where("id is not null and n > 0")
 
     # classes of equal sets; the smallest id stands for its class
@@ -280,7 +295,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = hits.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "filled", "registers", "hashes")]), side)
-    links = cut(_stars(pairs).unionByName(spread.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    links = cut(_stars(pairs, percent).unionByName(spread.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     found = cut(components(links))
 
     label = found.select(F.col("node").alias("id"), "component")
@@ -297,7 +312,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .repartition("key", "p", "q")
         .sortWithinPartitions("key", "p", "q")
     )
-    late = cut(_blocks(dealt).distinct())
+    late = cut(_blocks(dealt, percent).distinct())
     if late.take(1):
         found = cut(components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
@@ -307,7 +322,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of df whose id is the smallest of its component, with all their columns."""
-    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    gone = near_duplicates(df, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
     return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")

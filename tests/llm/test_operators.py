@@ -449,3 +449,34 @@ def test_lines_by_edit_similarity(spark, monkeypatch):
     monkeypatch.setattr(lines, "PART", 16)
     got = {r.doc_id: r.kept for r in lines.line_groups(frame, grams=True).collect()}
     assert got == {i: label[i] == i for i in range(len(texts))}
+
+
+def test_near_copies_of_the_pipeline(spark, monkeypatch):
+    """The stage links at 0.80, in stars and in open buckets alike."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rnd = random.Random(14)
+    texts = []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for _ in range(10):
+            t = list(base)
+            for k in rnd.sample(range(120), rnd.randint(0, 3)):
+                t[k] = f"v{rnd.randrange(10**6)}"
+            texts.append(" ".join(t))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+
+    def roots(percent):
+        label = list(range(len(texts)))
+        for _ in range(12):
+            for i in range(len(texts)):
+                for j in range(i):
+                    if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                        label[i] = label[j] = min(label[i], label[j])
+        return set(label)
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert roots(80) < roots(85)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()} == roots(80)
+    assert minhash.banding(85) == (48, 8) and minhash.banding(80) == (51, 6)
