@@ -178,13 +178,15 @@ def _terms(texts: DataFrame, pos: int, neg: int) -> tuple[list[str], list[str]]:
     spread = functools.reduce(DataFrame.unionByName, every).join(F.broadcast(good), ["k", "t"]).groupBy("k", "t", "p").agg(F.countDistinct("before").alias("c"))
     top = spread.where(F.col("c") >= F.greatest(F.lit(MIN_TEXTS), F.col("p") / 3)).orderBy(F.desc("p"), "k", "t").collect()  # at most 2 x MAX_TERMS
     whole_words = [r.t for r in top if r.k == 0]
-    # A stem stands for several whole terms; the shortest that is good enough replaces them.
+    # A stem stands for several whole terms; the shortest that is good enough is taken.
     picked: list[str] = []
     for r in sorted((r for r in top if r.k), key=lambda r: (len(r.t), r.t)):
         if not any(r.t.startswith(s) for s in picked) and sum(w.startswith(r.t) for w in whole_words) >= STEM_TERMS:
             picked.append(r.t)
-    whole_words = [w for w in whole_words if not any(w.startswith(s) for s in picked)]
-    return whole_words[:MAX_TERMS], picked[:MAX_TERMS]
+    # Terms that a stem covers stay beside it, so that a misspelling within the stem is met; they take no other term's place.
+    covered = [w for w in whole_words if any(w.startswith(s) for s in picked)]
+    others = [w for w in whole_words if not any(w.startswith(s) for s in picked)]
+    return others[:MAX_TERMS] + covered, picked[:MAX_TERMS]
 
 
 def _weights(x: np.ndarray, y: np.ndarray) -> list[float]:

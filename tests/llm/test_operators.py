@@ -480,3 +480,21 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
     assert roots(80) < roots(85)
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()} == roots(80)
     assert minhash.banding(85) == (48, 8) and minhash.banding(80) == (51, 6)
+
+
+def test_misspelled_stems(spark):
+    """A misspelling within the letters of a learned stem still meets the whole terms that the stem covers."""
+    rnd = random.Random(15)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    family, data = ["wretcho", "wretchos", "wretchoic", "wretcholy", "wretchor"], []
+    for i in range(600):
+        w = [rnd.choice(vocabulary) for _ in range(40)]
+        if i % 6 == 0:
+            for k in rnd.sample(range(40), 3):
+                w[k] = rnd.choice(family)
+        data.append((i, " ".join(w), int(i % 6 == 0)))
+    df = spark.createDataFrame(data, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert any("wretchoic".startswith(s) for s in model.stems)
+    for word, kind in {"wretchoic": "stem", "wretchoness": "stem", "wxetchoic": "fuzzy", "rwetchos": "fuzzy", "wetcholy": "fuzzy"}.items():
+        assert toxicity.match(model.trie, word) == kind, word
