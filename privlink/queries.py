@@ -218,6 +218,15 @@ def csv_import(spark, sf_dir):
     return made.withColumn("size", F.coalesce(F.nanvl("size", F.lit(-1.0)), F.lit(-1.0)))
 
 
+def csv_import_customers(spark, sf_dir):
+    """Lines of a whole table, with cells that are empty and a last one that keeps its commas."""
+    k = F.col("c_custkey")
+    some = lambda n, c: F.when(k % n != 0, c.cast("string")).otherwise("")
+    cells = [k.cast("string"), some(3, F.col("c_name")), some(5, F.col("c_nationkey")), some(7, k / 4), some(2, F.lit("True")), some(11, F.concat_ws(",", "c_mktsegment", "c_name", F.lit("")))]
+    made = files.parse_csv(_read(spark, sf_dir, "customer").select(F.concat_ws(",", *cells).alias("value")), "id bigint, name string, nation int, size double, flag boolean, rest string")
+    return made.withColumn("size", F.coalesce(F.nanvl("size", F.lit(-1.0)), F.lit(-1.0)))
+
+
 def linkage_quality(spark, sf_dir):
     a, b = _clk(spark, sf_dir), _clk(spark, sf_dir, True)
     freq = fps_frequent(spark, sf_dir)
@@ -247,7 +256,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         qgram_bag, qgram_unique, qgram_number, qgram_boolean, profile_fields, hmac_positions, clk_native, private_similarity, hamming_native, lsh_keys, lsh_key_statistics, lsh_buckets,
         lsh_candidates, fps_frequent, blocking_summary, optimal_parameters, clear_similarity, jaro_matches, vector_histogram, linkage_scores, em_estimate, field_weights, pair_ranks, sort_with_uid,
-        csv_import, linkage_quality, distance_statistics, stable_sample,
+        csv_import, csv_import_customers, linkage_quality, distance_statistics, stable_sample,
     )
     out = {f.__name__: f for f in plain}
     out |= {f"{n}_encode": _encoded(s) for n, s in (("clk", clk_spec()), ("fbf", fbf_spec()), ("rbf", rbf_spec()))}
@@ -406,6 +415,9 @@ def oracle_sql() -> dict[str, str]:
         "pair_ranks": f"SELECT a.n_nationkey AS n_nationkey_a, b.n_nationkey AS n_nationkey_b, CAST(b.n_nationkey * (b.n_nationkey - 1) // 2 + a.n_nationkey AS BIGINT) AS pair_rank FROM {pairs}",
         "sort_with_uid": "SELECT row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) - 1 AS uid, c_custkey, c_name, c_mktsegment FROM customer",
         "csv_import": "SELECT * FROM (VALUES (1, 'ann', 3.5::DOUBLE, true, 'a,b'), (2, '-NA-', -1, false, '-NA-'), (3, 'bob', 7, false, 'x')) t(id, name, size, flag, rest)",
+        "csv_import_customers": """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '-NA-' ELSE c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_nationkey END AS nation,
+            CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_custkey / 4.0::DOUBLE END AS size, c_custkey % 2 <> 0 AS flag,
+            CASE WHEN c_custkey % 11 = 0 THEN '-NA-' ELSE c_mktsegment || ',' || c_name || ',' END AS rest FROM customer""",
         "linkage_quality": f"""{blocked}, t(threshold) AS (VALUES {", ".join(f"({x}::DOUBLE)" for x in THRESHOLDS)}),
             q AS (SELECT threshold, count(*) FILTER (round(j, 9) >= threshold AND aid = bid) AS tm, count(*) FILTER (round(j, 9) >= threshold AND aid <> bid) AS fm,
                          count(*) FILTER (round(j, 9) < threshold AND aid <> bid) AS tn, count(*) FILTER (round(j, 9) < threshold AND aid = bid) AS fn FROM judged CROSS JOIN t GROUP BY threshold)
