@@ -28,11 +28,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    Where it is unset (tests in local mode) a temporary folder of this process stands in.
+    Where it is unset, in local mode, a temporary folder of this process stands in; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is unset, and {master} needs a folder that the driver and all executors see")
     if not _local_dir:
         _local_dir.append("file://" + tempfile.mkdtemp(prefix="privlink-"))
     return _local_dir[0]
@@ -57,14 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Intermediate tables of one operator as Parquet in the shared folder: smaller than checkpoints, and removed on demand.
+    """Intermediate tables of one operator as Parquet in the shared folder: smaller than checkpoints.
 
     A table's shuffle files go as soon as it is written; nothing reads them again.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -73,19 +75,25 @@ class Store:
         path = f"{self.base}/{self.count}"
         self.spark.conf.set(key, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables of which nothing more will be read."""
-        jvm = self.spark._jvm
-        for table_ in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table_)))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def bind(column: Column, use) -> Column:
+    """``use(value)`` with the column computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(column), lambda v: use(v)), 0)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores in front as keep them apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,562 +1,270 @@
-"""Fuzzy line dedup by SimHash, pigeonhole blocks and edit similarity.
-
-Lines (split at ``\\n``) are normalised to lower-cased words, bounded by ASCII other than letters and digits.  Each line gets a 64-bit SimHash of its words, in Arrow batches.
-Two different normalised lines are linked if their SimHashes differ in at most ``DISTANCE`` bits and their edit similarity
-(1 - Levenshtein distance / longer length) is at least ``SIMILARITY``.  One occurrence of each connected group is kept,
-the smallest (id, line number).
-
-That hash passes over most lines that only their edit similarity joins.  With ``grams`` it has no say: a link is a pair of that
-edit similarity, and candidates are lines that share one of ``BANDS`` bands of ``ROWS`` minima of hashed byte n-grams: of 3
-bytes up to ``SHORT`` characters, of 6 bytes from the least length on that links to a longer text (lines between are
-entered under both).  Bits of the minima stand for the SimHash there; pairs that differ in more than ``APART`` of them are
-passed over.  At n-gram similarity j a pair shares no band with probability (1 - j^3)^20: 3e-2 at 0.55, 4e-4 at 0.7.
-
-Pigeonhole: of ``BLOCKS`` blocks of the hash at least BLOCKS - DISTANCE = 2 are equal, so each line is entered under each
-pair of blocks, with the octave of its length; no link is missed.  As in the MinHash operator a bucket's lines are held against its smallest line, and
-only buckets whose lines are not in one component yet are compared further, in parts of at most ``PART`` lines or so, each
-pair in the first bucket that it shares.  A first pass over these parts looks at hashes alone and gives the lines that have
-a near partner in another component; a second one takes just their texts along and gives the links that join components.
-Neither gives the pairs of a bucket.
-
-Defined results: null text has one empty line; lines without words are never dropped; equal lines (after normalisation)
-are one node however often they occur; rows that repeat an id and its text give each line once; null ids come after all others; an empty table gives an empty table; other columns are
-not looked at.
+"""Fuzzy line dedup by SimHash, pigeonhole blocks and edit similarity, with DataFrame operations only.
+
+*Normalised lines.*  Texts are split at ``\\n``; a line is its lower-cased words, bounded by ASCII other than letters and
+digits, with one space between them.  Equal lines are one node, known by two 64-bit hashes.
+
+*SimHash.*  A line's features are its pairs of neighbouring words, and for lines of under ``FEW`` words its runs of ``GRAM``
+characters.  The SimHash has ``BLOCKS`` blocks of 64 bits, each the bitwise majority of ``SHARE`` features: those that
+follow the block's point on the circle of feature hashes.  A SimHash of all
+features in every bit loses most bits that a join could use when one word in twenty changes (measured: 3 of 64 bits hold a
+third of the lines of edit similarity 0.9); here a changed word spoils only the blocks that drew on it.
+
+*Candidates.*  Pigeonhole: changes that spoil fewer than BLOCKS blocks leave one equal, so lines are joined on equal
+blocks.  Pairs whose SimHashes differ in more than ``DISTANCE`` of the BLOCKS x 64 bits are passed over (lines that have
+nothing to do with each other differ in half of them); the others are links if their edit similarity (1 - Levenshtein
+distance / longer length) is at least ``SIMILARITY``.
+
+*Links*, without forming the pairs of a bucket: its least and its greatest line are held against all others.  Buckets of up
+to three lines are decided by that.  In larger ones whose lines are not in one component then, lines of different components
+meet in parts of about ``PART``, and only pairs with near SimHashes leave the join.  Nothing is capped or dropped; a bucket
+with any share of the rows is dealt over many parts.
+
+Of each connected group the smallest occurrence (id, line number) is kept.
+
+Defined results: null text has one empty line; lines without words are in no row and are never dropped; lines of under ten
+characters are in a group with equal ones alone (an edit would be too much); rows that repeat an id and its text are
+answered row by row (all or none of them are kept); null ids come after all others; an empty table gives an empty table;
+other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
-from collections.abc import Iterator
+import operator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import Store, ship, shuffle_partitions
+from .common import Store, bind, fresh_names
 from .graph import components
 
-DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.9
-BANDS, ROWS, SHORT, APART = 20, 3, 64, 24
+SIMILARITY = 0.9
+#: Blocks of a SimHash, features of a block, and bits of BLOCKS x 64 in which linked lines may differ.
+BLOCKS, SHARE, DISTANCE = 8, 3, 160
+#: Lines of under FEW words have runs of GRAM characters as features, others pairs of words.
+FEW, GRAM = 12, 4
 #: Lines of a bucket that meet another such part at once.
-PART = 8192
-#: Lines whose places are broadcast to fetch their texts, and buckets that are broadcast to their members (tens of bytes
-#: each); beyond it these are shuffled joins.
-BROADCAST_ROWS = 1_000_000
-#: Bytes that are scanned and pairs that are compared at once.
-PIECE, PAIRS = 1 << 20, 4096
-#: First half-width of the band in edit distances; each further one is four times as wide, up to what the similarity allows.
-BAND = 8
-#: Length of the q-grams that rule out pairs before their distance is formed.
-GRAM, GRAM_STEPS = 4, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
-#: What stands for a byte: letters and digits themselves, lower-cased, all other ASCII but the line's end a space.
-TABLE = bytes(c if c >= 128 or c == 10 or chr(c).isalnum() else 32 for c in range(256))
-# Odd multipliers for hashing.
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-BASE, STEP = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
-WIDTHS = (13, 13, 13, 13, 12)
-STARTS = tuple(itertools.accumulate(WIDTHS, initial=0))[:BLOCKS]
-TABLES = tuple(itertools.combinations(range(BLOCKS), BLOCKS - DISTANCE))
-
-
-def folded(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(TABLE)
-
-
-def normal(line: bytes) -> bytes:
-    """The words, single spaces between them; separators at an end leave one there."""
-    return (b" " if line[:1] == b" " else b"") + b" ".join(line.split()) + (b" " if line[-1:] == b" " else b"")
-
-
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * M1
-    x = (x ^ (x >> np.uint64(29))) * M2
-    return x ^ (x >> np.uint64(32))
-
-
-def _sizes(n: int) -> int:
-    return 1 << max(n, 1 << 16).bit_length()
-
-
-def _words(b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, end, code points, 64-bit hash) of each word: sums of bytes times powers, less what comes before the word."""
-    word = np.r_[False, b > 32, False]
-    starts, ends = np.flatnonzero(~word[:-1] & word[1:]), np.flatnonzero(word[:-1] & ~word[1:])
-    n = _sizes(len(b))
-    sums = np.r_[np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n)[: len(b)])]
-    chars = np.r_[0, np.cumsum((b & 0xC0) != 0x80)]
-    return starts, ends, chars[ends] - chars[starts], _mixed((sums[ends] - sums[starts]) * _powers(pow(BASE, -1, 1 << 64), n)[starts])
-
-
-def _simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """SimHashes of adjacent lines of ``counts`` words: bits stand in bytes, so that 255 words are summed in 8 long integers."""
-    lanes = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
-    pieces = -(-counts // 255)
-    first = np.cumsum(pieces) - pieces
-    starts = np.repeat(np.cumsum(counts) - counts - 255 * first, pieces) + 255 * np.arange(pieces.sum())
-    sums = np.empty((len(starts), 8), np.uint64)
-    for k in range(8):
-        sums[:, k] = np.add.reduceat(np.ascontiguousarray(lanes[:, k]), starts)
-    ones = np.add.reduceat(sums.view(np.uint8).astype(np.int64), first, axis=0)
-    return np.packbits(2 * ones >= counts[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-
-
-@functools.cache
-def _minima_seeds() -> np.ndarray:
-    draw = np.random.RandomState(20240503).randint(0, 2**32, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint32)
-    draw[1] |= np.uint32(1)
-    return draw
-
-
-def gram_minima(text: bytes, number: np.ndarray, chars: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(places in number, kind, bits of the minima, bands) of the lines of a folded text that ``scan`` found, for each kind of n-gram."""
-    b = np.frombuffer(b"\n" + text + b"\n", np.uint8)
-    b = b[~((b == 32) & (np.r_[np.uint8(0), b[:-1]] == 32))]
-    breaks = np.flatnonzero(b == 10)
-    start, size = breaks[number], breaks[number + 1] - breaks[number] - 1
-    w = np.r_[b, np.zeros(5, np.uint8)].astype(np.uint32)
-    three = (w[:-2] | w[1:-1] << np.uint32(8) | w[2:] << np.uint32(16)) * np.uint32(GRAM_STEPS[0])
-    three ^= three >> np.uint32(15)
-    six = (three[:-3] * np.uint32(GRAM_STEPS[1])) ^ (three[3:] * np.uint32(GRAM_STEPS[2]))
-    least = int((1 - SIMILARITY) * (SHORT + 1) + 1e-9)
-    # the first kind takes the line's ends along
-    for kind, grams, rows, lead, less in ((0, three, chars <= SHORT, 0, 0), (1, six, chars >= SHORT + 1 - least, 1, 5)):
-        rows = np.flatnonzero(rows)
-        if not len(rows):
-            continue
-        counts = size[rows] - less
-        first = np.cumsum(counts) - counts
-        g = grams[np.repeat(start[rows] + lead - first, counts) + np.arange(counts.sum())]
-        g *= np.uint32(GRAM_STEPS[1])
-        g ^= g >> np.uint32(13)
-        minima = np.array([np.minimum.reduceat((g ^ c) * m, first) for c, m in _minima_seeds().T])
-        bits = np.zeros((len(rows), 64), np.uint8)
-        bits[:, : BANDS * ROWS] = ((minima * np.uint32(GRAM_STEPS[0])) >> np.uint32(31)).T
-        bands = np.zeros((BANDS, len(rows)), np.uint64)
-        for k in range(ROWS):
-            bands = _mixed(bands * M2 + minima[k::ROWS] + np.uint64(1))
-        yield rows, np.full(len(rows), kind, np.int32), np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel(), (bands >> np.uint64(32)).astype(np.uint32).T
-
-
-def scan(text: bytes, sims: bool = True) -> tuple[np.ndarray, ...]:
-    """(line number, line hash, code points once normalised, SimHash or 0) of each line with words of a folded text."""
-    b = np.frombuffer(text, np.uint8)
-    found, lo = [], 0
-    while lo < len(b):  # pieces end between words
-        hi = min(lo + PIECE, len(b))
-        while hi < len(b) and b[hi] > 32:
-            hi += 1
-        starts, ends, chars, hashes = _words(b[lo:hi])
-        found.append((starts + lo, ends + lo, chars, hashes))
-        lo = hi
-    starts, ends, chars, hashes = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
-    if not len(starts):
-        return (np.empty(0, np.int64),) * 4
-    breaks = np.flatnonzero(b == 10)
-    number = np.searchsorted(breaks, starts)
-    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-    counts = np.diff(np.r_[first, len(starts)])
-    number = number[first]
-    lead = starts[first] > np.r_[0, breaks + 1][number]
-    trail = ends[first + counts - 1] < np.r_[breaks, len(b)][number]
-    place = np.arange(len(starts)) - np.repeat(first, counts)
-    lines = np.add.reduceat(hashes * _powers(STEP, _sizes(int(counts.max())))[place], first)
-    lines = _mixed(lines + (4 * counts + 2 * lead + trail).astype(np.uint64) * M1)
-    length = np.add.reduceat(chars, first) + counts - 1 + lead + trail
-    if not sims:
-        return number, lines.view(np.int64), length, np.zeros(len(number), np.int64)
-    sims, lo = [], 0
-    bounds = np.cumsum(counts)
-    while lo < len(counts):
-        hi = max(lo + 1, int(np.searchsorted(bounds, (bounds[lo - 1] if lo else 0) + PIECE // 4, "right")))
-        sims.append(_simhash(hashes[bounds[lo] - counts[lo] : bounds[hi - 1]], counts[lo:hi]))
-        lo = hi
-    return number, lines.view(np.int64), length, np.concatenate(sims)
-
-
-def _pieces(batches) -> Iterator[tuple[pa.Array, int, list[bytes]]]:
-    """(first column, place, folded texts from there) of batches whose last column is a text."""
-    for batch in batches:
-        texts, size, at = [], 0, 0
-        for k, text in enumerate(batch.column(batch.num_columns - 1)):
-            texts.append(folded(text.as_py()))
-            size += len(texts[-1])
-            if size >= PIECE or k + 1 == batch.num_rows:
-                yield batch.column(0), at, texts
-                texts, size, at = [], 0, k + 1
-
-
-def sketches(df: DataFrame, text_col: str) -> DataFrame:
-    """(line, kind, chars, sim, bands) of each different line with words and each kind of n-gram."""
-    ship(df.sparkSession)
-
-    def run(batches):
-        for _, _, texts in _pieces(batches):
-            whole = b"\n".join(texts)
-            number, line, chars, _ = scan(whole, False)
-            if not len(number):
-                continue
-            for rows, kind, sim, bands in gram_minima(whole, number, chars):
-                rows, place = (rows[k := np.unique(line[rows], return_index=True)[1]], k)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(bands[place]).view(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(line[rows]), pa.array(kind[place]), pa.array(chars[rows].astype(np.int32)), pa.array(sim[place]), flat], names=["line", "kind", "chars", "sim", "bands"])
-
-    made = df.select(F.col(text_col).alias("text")).mapInArrow(run, "line bigint, kind int, chars int, sim bigint, bands array<int>")
-    return made.dropDuplicates(["line", "kind"])
-
-
-def simhashes(df: DataFrame, id_col: str, text_col: str, sims: bool = True) -> DataFrame:
-    """(id, line_no, line, chars, sim) of each line with words; line is a 64-bit hash of its words, chars its length."""
-    ship(df.sparkSession)
-
-    def made(ids, at, texts):
-        number, line, chars, sim = scan(b"\n".join(texts), sims)
-        first = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
-        row = np.searchsorted(first, number, "right") - 1
-        columns = [ids.take(pa.array(row + at)), pa.array((number - first[row]).astype(np.int32)), pa.array(line, pa.int64()), pa.array(chars.astype(np.int32)), pa.array(sim, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "line", "chars", "sim"])
-
-    def run(batches):
-        for piece in _pieces(batches):
-            yield made(*piece)
-
-    fields = [StructField("id", df.schema[id_col].dataType), StructField("line_no", IntegerType()), StructField("line", LongType()), StructField("chars", IntegerType()), StructField("sim", LongType())]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, StructType(fields)).distinct()
-
-
-def _entered(lines: DataFrame, *columns: str) -> DataFrame:
-    """columns and a key for each (octave, table, pair of blocks) of lines (sim, chars).
-
-    Texts of n and at most n / SIMILARITY characters lie in one octave of lengths or in two adjacent ones; a line whose
-    longer partners may lie in the next one is entered there too.  Lines with bands are entered under each of these instead.
+PART = 1024
+#: Rows of a few longs, and bytes of texts, up to which a side is broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Words of the runs that hold two lines together when their distance is bounded, and the first band of long ones.
+ANCHOR, STEP = 3, 1024
+#: What separates words, but the line's end (a fixed value): ASCII other than letters and digits, once lower-cased.
+SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+# Fixed value: an odd multiplier that tells blocks of different places apart.
+MIX = 0x1E3779B97F4A7C15 >> 4
+
+
+def normal_lines(text: Column) -> Column:
+    """The normalised lines of a text; lines without words are empty."""
+    folded = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " ")
+    return F.split(folded, "\n", -1)
+
+
+def _features(norm: Column) -> Column:
+    """64-bit hashes of what stands for a line."""
+    words, gap = F.split(norm, " "), F.array(F.lit(""))
+    pairs = bind(words, lambda w: F.zip_with(F.concat(gap, w), F.concat(w, gap), lambda a, b: F.xxhash64(a, b)))
+    runs = F.transform(F.sequence(F.lit(1), F.char_length(norm) - GRAM + 1), lambda at: F.xxhash64(F.substring(norm, at, F.lit(GRAM))))
+    spaces = F.char_length(norm) - F.char_length(F.replace(norm, F.lit(" "), F.lit("")))
+    return F.when(spaces + 1 < FEW, runs).otherwise(pairs)
+
+
+def simhash(norm: Column) -> Column:
+    """The SimHash blocks of a normalised line; null where an edit would be too much."""
+
+    def starts(arcs: Column) -> Column:
+        """For each block the place (from 0) of the first hash on its arc of the circle, or on the next arc that holds any."""
+        first = [F.nullif(F.array_position(arcs, F.lit(t - BLOCKS // 2).cast("bigint")), F.lit(0).cast("bigint")) for t in range(BLOCKS)]
+        return F.array(*[(F.coalesce(*first[t:], F.lit(1).cast("bigint")) - 1).cast("int") for t in range(BLOCKS)])
+
+    def block(s: Column, at: Column, t: Column) -> Column:
+        x, y, z = (F.get(s, F.pmod(at + k, F.size(s))) for k in range(SHARE))
+        return x.bitwiseAND(y).bitwiseOR(x.bitwiseAND(z)).bitwiseOR(y.bitwiseAND(z)).bitwiseXOR((t + 1).cast("bigint") * F.lit(MIX))
+
+    def blocks(s: Column) -> Column:
+        arcs = F.transform(s, lambda x: F.shiftright(x, 64 - (BLOCKS - 1).bit_length()))
+        return F.transform(bind(arcs, starts), lambda at, t: block(s, at, t))
+
+    made = bind(F.sort_array(F.array_distinct(_features(norm))), blocks)
+    return F.when(F.char_length(norm) * (1 - SIMILARITY) + 1e-9 >= 1, made)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two SimHashes differ."""
+    return functools.reduce(operator.add, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BLOCKS)])
+
+
+def _most(a: str, b: str) -> Column:
+    """The edit distance that the similarity allows to texts of so many characters."""
+    return F.floor(F.greatest(a, b) * (1 - SIMILARITY) + 1e-9).cast("int")
+
+
+def _fits(a: str, b: str) -> Column:
+    return F.abs(F.col(a) - F.col(b)) <= _most(a, b)
+
+
+def close(a: str, b: str, most: Column) -> Column:
+    """Whether the edit distance of two normalised lines is at most ``most``.
+
+    Two bounds from above settle most links: the words that differ in place; and where the runs of ANCHOR words that either line
+    has once stand in one order, the distances of what lies between the first words of those runs, summed.  For all others,
+    what the lines have in common at their ends goes, and the distance of the rest is formed within a band.
     """
-    if "bands" in lines.columns:
-        band = lines.select("*", F.posexplode("bands").alias("_band", "_value"))
-        key = (F.col("kind") * BANDS + F.col("_band")).cast("bigint") * (1 << 32) + F.col("_value")
-        return band.withColumn("key", key).select(*columns, "key")
-    parts = [F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in zip(STARTS, WIDTHS, strict=True)]
-    pairs = F.array(*[(F.lit(t) * (1 << 26) + parts[i] * (1 << 13) + parts[j]).cast("bigint") for t, (i, j) in enumerate(TABLES)])
-    octave = [F.floor(F.log2(n)).cast("bigint") for n in (F.col("chars"), F.ceil(F.col("chars") / SIMILARITY) + 1)]
-    both = lines.withColumn("octave", F.explode(F.array_distinct(F.array(*octave))))
-    return both.withColumn("key", F.explode(pairs)).select(*columns, (F.col("octave") * (1 << 30) + F.col("key")).alias("key"))
 
+    def distance(x: Column, y: Column, most: Column) -> Column:
+        """Their distance if it is at most ``most``, else a number over it."""
+        found = F.call_function("levenshtein", x, y, most)
+        return bind(found, lambda d: F.when(d < 0, most + 1).otherwise(d))
+
+    def total(costs: Column) -> Column:
+        return F.aggregate(costs, F.lit(0), lambda n, c: n + c)
+
+    def in_place(r: Column) -> Column:
+        cost = F.zip_with(r.x, r.y, lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.char_length(p), F.char_length(q))))
+        return (F.size(r.x) == F.size(r.y)) & (total(cost) <= r.most)
+
+    def runs(w: Column) -> Column:
+        return F.transform(w, lambda v, i: F.xxhash64(*[F.get(w, i + k) for k in range(ANCHOR)]))
+
+    def once(hashes: Column) -> Column:
+        alone = lambda s, i, x: F.coalesce(F.get(s, i - 1) != x, F.lit(True)) & F.coalesce(F.get(s, i + 1) != x, F.lit(True))
+        return bind(F.sort_array(hashes), lambda s: F.filter(s, lambda x, i: alone(s, i, x)))
+
+    def anchored(r: Column) -> Column:
+        """Gaps and anchors of either line, then the bound."""
+
+        def marked(w: Column, hashes: Column, both: Column) -> Column:
+            return F.zip_with(w, hashes, lambda v, h: F.struct(v.alias("w"), F.array_contains(both, h).alias("held")))
+
+        def parts(m: Column) -> Column:
+            text = F.array_join(F.transform(m, lambda e: F.when(e.held, F.lit("\n")).otherwise(e.w)), " ")
+            return F.struct(F.split(text, "\n").alias("gaps"), F.transform(F.filter(m, lambda e: e.held), lambda e: e.w).alias("anchors"))
+
+        def sides(h: Column) -> Column:
+            return bind(F.array_intersect(once(h.x), once(h.y)), lambda both: F.struct(*[parts(marked(w, g, both)).alias(n) for n, w, g in (("x", r.x, h.x), ("y", r.y, h.y))]))
 
-def _first_table(differ: np.ndarray) -> np.ndarray:
-    """The first pair of blocks in which no bit differs."""
-    same = [(differ >> np.uint64(at)) & np.uint64((1 << width) - 1) == 0 for at, width in zip(STARTS, WIDTHS, strict=True)]
-    return np.argmax([same[i] & same[j] for i, j in TABLES], axis=0)
+        def bound(s: Column) -> Column:
+            costs = F.zip_with(s.x.gaps, s.y.gaps, lambda p, q: F.when(p == q, 0).otherwise(distance(p, q, r.most)))
+            return F.when(s.x.anchors == s.y.anchors, total(costs) <= r.most).otherwise(False)
 
+        return bind(bind(F.struct(runs(r.x).alias("x"), runs(r.y).alias("y")), sides), bound)
 
-def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-    """Edit distances of the pairs; those over ``k`` (even) come out as some number over k.
+    def common(x: Column, y: Column) -> Column:
+        """Words at which two lists begin alike."""
+        return F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), F.lit(False)).cast("int") - 1
 
-    Anti-diagonals of all pairs at once: a cell (i, j) lies on the diagonal d = j - i, only |d| <= k are kept.
+    def trimmed(r: Column) -> Column:
+        head = common(r.x, r.y)
+        tail = F.least(common(F.reverse(r.x), F.reverse(r.y)), F.least(F.size(r.x), F.size(r.y)) - head)
+        left = lambda w, e: F.array_join(F.slice(w, e.h + 1, F.size(w) - e.h - e.t), " ")
+        rest = bind(F.struct(head.alias("h"), tail.alias("t")), lambda e: F.struct(left(r.x, e).alias("x"), left(r.y, e).alias("y")))
+        # where nothing is left of one line, the distance is the difference of the lengths
+        return bind(rest, lambda e: (e.x == "") | (e.y == "") | F.when(r.most > STEP, distance(e.x, e.y, F.lit(STEP)) <= STEP).otherwise(False) | (distance(e.x, e.y, r.most) <= r.most))
+
+    words = F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"), most.alias("most"))
+    fits = F.abs(F.char_length(a) - F.char_length(b)) <= most
+    return (F.col(a) == F.col(b)) | (fits & bind(words, lambda r: F.when(in_place(r), True).when(anchored(r), True).otherwise(trimmed(r))))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, store: Store) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    pairs = store.put(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
+    ends = _few(store.put(ends))
+    texts = store.put(lines.select("lid", "norm", "chars", "sim").join(ends, "lid", "left_semi"))
+    sides = [texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]).withColumnRenamed(f"lid_{s}", s) for s in ("a", "b")]
+    # a bucket's ends meet all its lines: they are few
+    firsts = sides[0].join(_few(store.put(pairs.select("a").distinct())), "a", "left_semi")
+    size = firsts.agg(F.sum(F.octet_length("norm_a") + 200)).first()[0] or 0
+    both = pairs.join(sides[1], "b").join(F.broadcast(firsts) if size <= BROADCAST_BYTES else firsts, "a")
+    near = _fits("chars_a", "chars_b") & (_apart("sim_a", "sim_b") <= DISTANCE)
+    return store.put(both.where(near).where(close("norm_a", "norm_b", _most("chars_a", "chars_b"))).select("a", "b"))
+
+
+def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _across(members: DataFrame, lines: DataFrame, found: DataFrame, store: Store) -> DataFrame:
+    """Pairs (a, b) with near SimHashes among the lines of different components of a bucket.
+
+    The bucket's ends are left out: they have met all others.
     """
-    p, q = (np.array([len(x[side]) for x in pairs]) for side in (0, 1))
-    ends: dict[int, list[int]] = {}
-    for at, total in enumerate((p + q).tolist()):
-        ends.setdefault(total, []).append(at)
-    last, half = max(ends), k // 2
-    kind, far = (np.int16, 8000) if last + k < 8000 else (np.int32, 1 << 29)
-    # texts stand in columns: the first backwards from row ``base``, the second from row ``pad``, so that a diagonal's cells are adjacent
-    pad, base = k + 2, last + k + 4
-    a, b = np.full((base + pad + 2, len(pairs)), -1, np.int32), np.full((base + pad + 2, len(pairs)), -2, np.int32)
-    for at, (x, y) in enumerate(pairs):
-        a[base - len(x) : base, at] = x[::-1]
-        b[pad + 1 : pad + 1 + len(y), at] = y
-    even, odd = np.full((k + 1, len(pairs)), far, kind), np.full((k + 2, len(pairs)), far, kind)  # odd: one more at either end
-    even[half] = 0
-    found = np.full(len(pairs), far, np.int64)
-    for s in range(last + 1):
-        if s % 2:
-            i, j, cells = (s - 1) // 2 + half, (s + 1) // 2 - half, k
-            own, around = odd[1:-1], np.minimum(even[:-1], even[1:])
-        else:
-            i, j, cells = s // 2 + half, s // 2 - half, k + 1
-            own, around = even, np.minimum(odd[:-1], odd[1:])
-        if s:
-            around += 1
-            own += a[base - i : base - i + cells] != b[pad + j : pad + j + cells]
-            np.minimum(own, around, out=own)
-            np.minimum(own, far, out=own)
-        if s in ends:
-            at = np.array(ends[s])
-            d = q[at] - p[at]
-            inside = np.abs(d) <= k
-            at, d = at[inside], d[inside]
-            found[at] = own[(d + k - s % 2) // 2, at]
-    return found
-
-
-def _grams_apart(x: np.ndarray, y: np.ndarray) -> int:
-    """By how many q-grams (in bins) two texts differ; an edit changes at most q of either."""
-    if min(len(x), len(y)) < GRAM:
-        return 0
-    counts = []
-    for t in (x, y):
-        t = t.astype(np.uint32)
-        grams = t[GRAM - 1 :].copy()
-        for k in range(GRAM - 1):
-            grams += t[k : len(t) - GRAM + 1 + k] * np.uint32(GRAM_STEPS[k])
-        counts.append(np.bincount((grams * np.uint32(GRAM_STEPS[0])) >> np.uint32(21), minlength=2048))
-    return int(np.abs(counts[0] - counts[1]).sum())
-
-
-def close(first: list[str], second: list[str]) -> np.ndarray:
-    """Whether the edit similarity of each pair is high enough."""
-    out = np.zeros(len(first), bool)
-    rest = []  # (cells, most, pair)
-    for at, (s, t) in enumerate(zip(first, second, strict=True)):
-        longer = max(len(s), len(t))
-        most = int((1 - SIMILARITY) * longer + 1e-9)
-        if abs(len(s) - len(t)) > most:
-            continue
-        x, y = (np.frombuffer(z.encode("utf-32-le", "surrogatepass"), np.int32) for z in (s, t))
-        n = min(len(x), len(y))
-        differ = x[:n] != y[:n]
-        head = int(differ.argmax()) if differ.any() else n
-        x, y, n = x[head:], y[head:], n - head
-        differ = x[len(x) - n :][::-1] != y[len(y) - n :][::-1]
-        tail = int(differ.argmax()) if differ.any() else n
-        x, y = x[: len(x) - tail], y[: len(y) - tail]
-        if not len(x) or not len(y):
-            out[at] = max(len(x), len(y)) <= most
-        elif _grams_apart(x, y) <= 2 * GRAM * most:
-            rest.append((len(x) + len(y), most, at, (x, y)))
-    k = BAND
-    while rest:
-        rest.sort(key=lambda r: r[0])
-        left, lo = [], 0
-        while lo < len(rest):
-            hi = lo + 1
-            while hi < len(rest) and hi - lo < 1024 and (hi - lo) * (rest[hi][0] + 2 * k) < 2_000_000:
-                hi += 1
-            for r, d in zip(rest[lo:hi], _banded([r[3] for r in rest[lo:hi]], k).tolist(), strict=True):
-                if d <= k:
-                    out[r[2]] = d <= r[1]
-                elif r[1] > k:
-                    left.append(r)
-            lo = hi
-        rest, k = left, min(4 * k, max((r[1] + 1) // 2 * 2 for r in left) if left else 0)
-    return out
-
-
-def _texts(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, store: Store) -> DataFrame:
-    """(line, norm) of the needed (line, first): each is read again from one document that holds it."""
-    needed = store.put(needed.select("line", F.col("first.b").alias("want"), F.col("first.c").alias("number")))
-    places = needed.groupBy("want").agg(F.collect_set(F.struct("number", "line")).alias("places"))
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = docs.join(F.broadcast(places) if needed.count() <= BROADCAST_ROWS else places, docs["id"].eqNullSafe(places["want"]))
-
-    def run(batches):
-        for batch in batches:
-            hashes, chosen = [], []
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                found = folded(text.as_py()).split(b"\n")
-                for place in wanted.as_py():
-                    if place["number"] < len(found):
-                        hashes.append(place["line"])
-                        chosen.append(found[place["number"]])
-            number, line, *_ = scan(b"\n".join(chosen))
-            same = number[line == np.array(hashes, np.int64)[number]]  # another row may have the same id
-            norms = [normal(chosen[k]).decode("utf-8", "replace") for k in same.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[same], pa.int64()), pa.array(norms, pa.string())], names=["line", "norm"])
-
-    out = store.put(docs.select("text", "places").mapInArrow(run, "line bigint, norm string"))
-    store.drop(needed)
-    return out
-
-
-def _verified(df: DataFrame, pairs: DataFrame, lines: DataFrame, id_col: str, text_col: str, store: Store) -> DataFrame:
-    """The pairs (a, b) whose edit similarity is high enough."""
-    pairs = store.put(pairs)
-    ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    texts = _texts(df, lines.join(ends, "line"), id_col, text_col, store)
-    # an explicit number of partitions: the work lies in the comparison, not in the bytes
-    both = pairs.repartition(4 * shuffle_partitions(df.sparkSession), "a", "b")
-    for side in ("a", "b"):
-        both = both.join(texts.select(F.col("line").alias(side), F.col("norm").alias(f"t{side}")), side)
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, PAIRS):
-                a, b, ta, tb = (batch.column(i).slice(lo, PAIRS) for i in range(4))
-                good = pa.array(close(ta.to_pylist(), tb.to_pylist()))
-                yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
-
-    out = store.put(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
-    store.drop(pairs, texts)
-    return out
-
-
-def _deal(rows: DataFrame, *more: str) -> DataFrame:
-    """Each pair of parts of a bucket's lines adjacent: key, p, q, part, line, sim, chars, component, lead, more."""
-    count = F.ceil(F.col("size") / PART).cast("int")
-    return (
-        rows.withColumn("part", F.pmod(F.xxhash64("line"), count).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "line", "sim", "chars", "component", "lead", *more)
-        .repartition("key", "p", "q")
-        .sortWithinPartitions("key", "p", "q")
+    named = members.join(found.select(F.col("node").alias("lid"), "component"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    named = store.put(named)
+    mixed = store.put(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    open_ = named.join(_few(mixed), "key", "left_semi").where("lid <> low and lid <> high")
+    dealt = open_.join(lines.select("lid", "chars", "sim"), "lid").withColumn("part", F.pmod(F.xxhash64("lid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "lid", "chars", "component", "sim")
+    dealt = store.put(dealt)
+    left, right = (dealt.select("key", "p", "q", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "lid", "chars", "component", "sim")]) for s in ("a", "b"))
+    met = (
+        (F.col("lid_a") < F.col("lid_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & ((F.col("p") == F.col("q")) | (F.col("part_a") != F.col("part_b")))
+        & _fits("chars_a", "chars_b")
+        & (_apart("sim_a", "sim_b") <= DISTANCE)
     )
+    return left.join(right, ["key", "p", "q"]).where(met).select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b"))
 
 
-def _whole_blocks(batches) -> Iterator[pa.Table]:
-    """Tables of whole blocks, with at most one block more than a batch."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        key, p, q = (held.column(i).to_numpy() for i in range(3))
-        others = np.flatnonzero((key != key[-1]) | (p != p[-1]) | (q != q[-1]))
-        if len(others):
-            yield held.slice(0, int(others[-1]) + 1)
-            held = held.slice(int(others[-1]) + 1)
-    if held is not None:
-        yield held
-
-
-def _near_pairs(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of near lines of different components, each pair in the first bucket that it shares."""
-    key, p, q, part, line, sim, chars, component, lead = (block.column(i).to_numpy() for i in range(9))
-    bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if "bands" in block.column_names else None
-    sim, free = sim.view(np.uint64), line != lead  # a bucket's smallest line has met all others
-    number = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
-    at, step = np.arange(len(key)), 1
-    while True:
-        at = at[at + step < len(key)]
-        at = at[number[at] == number[at + step]]
-        if not len(at):
-            return
-        i, j = at, at + step
-        differ = sim[i] ^ sim[j]
-        good = (np.bitwise_count(differ) <= (DISTANCE if bands is None else APART)) & (component[i] != component[j]) & free[i] & free[j]
-        good &= ((p[i] == q[i]) | (part[i] != part[j])) & (np.abs(chars[i] - chars[j]) <= np.floor((1 - SIMILARITY) * np.maximum(chars[i], chars[j]) + 1e-9))
-        i, j, differ = i[good], j[good], differ[good]
-        if len(i):
-            if bands is None:
-                first = _first_table(differ) == (key[i] >> 26) & 15
-            else:  # a value's sign borrows from the band
-                first = (bands[i] == bands[j]).argmax(1) == ((key[i] + (1 << 31)) >> 32) % BANDS
-            yield i[first], j[first]
-        step += 1
-
-
-def _with_partner(dealt: DataFrame) -> DataFrame:
-    """(key, line) of the lines that have a near partner in another component."""
-
-    def run(batches):
-        for block in _whole_blocks(batches):
-            some = np.zeros(block.num_rows, bool)
-            for i, j in _near_pairs(block):
-                some[i] = some[j] = True
-            yield from block.select(["key", "line"]).filter(pa.array(some)).to_batches()
-
-    return dealt.mapInArrow(run, "key bigint, line bigint")
-
-
-def _joining(dealt: DataFrame) -> DataFrame:
-    """Pairs (a, b) of components that a link joins; pairs whose components are joined already are passed over."""
-
-    def run(batches):
-        for block in _whole_blocks(batches):
-            component, norm = block.column("component").to_numpy(), block.column("norm")
-            parent: dict[int, int] = {}
-            out: list[tuple[int, int]] = []
-
-            def root(x):
-                while (y := parent.get(x, x)) != x:
-                    parent[x] = parent.get(y, y)
-                    x = y
-                return x
-
-            def compare(pairs):
-                for (i, j), good in zip(pairs, close(*(norm.take(pa.array([x[side] for x in pairs])).to_pylist() for side in (0, 1))), strict=True):
-                    x, y = root(int(component[i])), root(int(component[j]))
-                    if good and x != y:
-                        parent[x] = y
-                        out.append((int(component[i]), int(component[j])))
-
-            held = []
-            for i, j in _near_pairs(block):
-                for pair in zip(i.tolist(), j.tolist(), strict=True):
-                    if root(int(component[pair[0]])) != root(int(component[pair[1]])):
-                        held.append(pair)
-                        if len(held) == PAIRS // 4:
-                            compare(held)
-                            held = []
-            if held:
-                compare(held)
-            yield pa.RecordBatch.from_arrays([pa.array([x[side] for x in out], pa.int64()) for side in (0, 1)], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: bool = False) -> DataFrame:
-    """One row per line with words: id_col, line_no, group_id (its smallest line hash), group_size (occurrences), kept.
-
-    ``grams``: links by edit similarity alone, candidates by n-grams, instead of SimHashes.
-    """
+def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per line with words: id_col, line_no (from 0), keep_id and keep_line (the occurrence that its group keeps),
+    group_size (occurrences), kept."""
     store = Store(df.sparkSession)
-    found = store.put(simhashes(df, id_col, text_col, not grams))
-    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("line_no").alias("c"))
-    lines = store.put(found.groupBy("line", "sim", "chars").agg(F.min(order).alias("first"), F.count("*").alias("n")))
-
-    sims = store.put(sketches(df, text_col)) if grams else lines.select("line", F.lit(0).alias("kind"), "chars", "sim")
-    more_columns = ["bands"] if grams else []
-    buckets = _entered(sims, "line", "kind").groupBy("key", "kind").agg(F.min("line").alias("lead"), F.max("line").alias("last"), F.count("*").alias("size")).where("size > 1")
-    leads = sims.select(F.col("line").alias("lead"), "kind", F.col("sim").alias("lead_sim"), F.col("chars").alias("lead_chars"))
-    buckets = store.put(buckets.join(leads, ["lead", "kind"]))
-    # a bucket of two is its least and its greatest line; only larger ones are joined back to their members
-    large = buckets.where("size > 2").select("key", "lead", "lead_sim", "lead_chars", F.col("size").cast("int").alias("size"))
-    few = large.count() <= BROADCAST_ROWS
-    fits = F.abs(F.col("chars") - F.col("lead_chars")) <= F.floor(F.greatest("chars", "lead_chars") * (1 - SIMILARITY) + 1e-9)
-    near = (F.col("line") != F.col("lead")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("lead_sim"))) <= (APART if grams else DISTANCE)) & fits
-    hits = _entered(sims, "line", "sim", "chars").join(F.broadcast(large) if few else large, "key")
-    twos = buckets.where("size = 2").withColumnRenamed("last", "line").join(sims, ["line", "kind"])
-    stars = hits.where(near).select("lead", "line").unionByName(twos.where(near).select("lead", "line")).distinct()
-    links = _verified(df, stars.select(F.col("lead").alias("a"), F.col("line").alias("b")), lines, id_col, text_col, store)
-    groups = store.put(components(links).select(F.col("node").alias("line"), "component"))
-
-    # lines take their component along before they are entered under their keys
-    named = sims.join(groups, "line", "left").select("line", "kind", "sim", "chars", F.coalesce("component", "line").alias("component"), *more_columns)
-    large = large.select("key", "lead", "size")
-    still = _entered(named, "line", "sim", "chars", "component", *more_columns).join(F.broadcast(large) if few else large, "key")
-    # a bucket of many parts is left out where its lines are in one component already; a small one shows that when it is read
-    many = still.where(F.col("size") > PART).groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x = y").select("key")
-    still = store.put(still.join(many, "key", "left_anti"))
-    store.drop(buckets)
-    partnered = store.put(_with_partner(_deal(still, *more_columns)).distinct())
-    texts = _texts(df, lines.join(partnered.select("line").distinct(), "line"), id_col, text_col, store)
-    more = store.put(_joining(_deal(still.join(partnered, ["key", "line"]).join(texts, "line"), "norm", *more_columns)))
-    joined = store.put(components(more))  # of components
-    store.drop(links, still, partnered, texts, more, *([sims] if grams else []))
-
-    grouped = lines.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line"))
-    grouped = grouped.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").withColumn("component", F.coalesce("whole", "component"))
-    best = grouped.groupBy("component").agg(F.min("first").alias("_best"), F.sum("n").alias("group_size")).where("group_size > 1")
-    decided = grouped.select("line", "component").join(best, "component")
-    out = found.select("id", "line_no", "line").join(decided, "line", "left")
-    kept = F.col("_best").isNull() | (F.col("id").eqNullSafe(F.col("_best.b")) & (F.col("line_no") == F.col("_best.c")))
+    each = df.select(df[id_col].alias("id"), F.posexplode(normal_lines(df[text_col])).alias("line_no", "norm"))
+    each = each.select("id", F.col("line_no").cast("bigint").alias("line_no"), F.trim("norm").alias("norm")).where("norm <> ''")
+    each = each.select("id", "line_no", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("k"), "norm")
+    found = store.put(each)
+
+    # different lines, with a number of their own once they are written
+    lines = found.groupBy("h", "k", "norm").agg(F.count("*").alias("times"))
+    lines = lines.select(F.monotonically_increasing_id().alias("lid"), "h", "k", "norm", F.char_length("norm").alias("chars"), "times", simhash(F.col("norm")).alias("sim"))
+    lines = store.put(lines)
+    entered = lines.select("lid", F.explode("sim").alias("key"))
+    buckets = entered.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.bit_xor("lid").alias("all"), F.count("*").alias("n"))
+    buckets = store.put(buckets.where("n > 1"))
+    third = F.col("low").bitwiseXOR(F.col("high")).bitwiseXOR(F.col("all"))  # the line between, in a bucket of three
+    three = buckets.where("n = 3").withColumn("lid", third)
+    members = store.put(entered.join(_few(buckets.where("n > 3").select("key", "low", "high", "n")), "key"))
+    pairs = [_ordered(buckets.where("n <= 3"), "low", "high"), *[_ordered(m, "lid", end) for m in (three, members) for end in ("low", "high")]]
+    links = _verified(functools.reduce(DataFrame.unionByName, pairs), lines, store)
+    groups = store.put(components(links))
+
+    more = _verified(_across(members, lines, groups, store), lines, store)
+    if more.take(1):
+        groups = store.put(components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+
+    # a group of more than one line is known by its component's number, of one by the line itself; lines that occur once are left out
+    roots = lines.select("lid", "h", "k", "times").join(_few(groups.select(F.col("node").alias("lid"), "component")), "lid", "left").where("component is not null or times > 1")
+    roots = store.put(roots.select("h", "k", F.coalesce("component", "h").alias("g"), F.when(F.col("component").isNull(), F.col("k")).alias("own")))
+    found = found.select("id", "line_no", "h", "k")
+    grouped = store.put(found.join(_few(roots), ["h", "k"], "left").select("id", "line_no", "g", "own"))
+    first = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("id"), F.col("line_no").alias("line_no"))
+    best = grouped.where("g is not null").groupBy("g", "own").agg(F.min(first).alias("best"), F.count("*").alias("group_size"))
+    best = store.put(best.withColumnsRenamed({"g": "g_b", "own": "own_b"}))
+    out = grouped.join(best, (F.col("g") == F.col("g_b")) & F.col("own").eqNullSafe(F.col("own_b")), "left")
+    mine = F.col("best").isNull() | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("line_no") == F.col("best.line_no")))
     return out.select(
-        F.col("id").alias(id_col), F.col("line_no").cast("bigint").alias("line_no"), F.coalesce("component", "line").alias("group_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), kept.alias("kept")
+        F.col("id").alias(id_col),
+        "line_no",
+        F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
+        F.when(F.col("best").isNull(), F.col("line_no")).otherwise(F.col("best.line_no")).alias("keep_line"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        mine.alias("kept"),
     )
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: bool = False) -> DataFrame:
-    """df with the lines that are not kept taken out of its texts."""
-    gone = line_groups(df, id_col, text_col, grams).where("not kept").groupBy(F.col(id_col).alias("_gid")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = df.join(gone, df[id_col].eqNullSafe(F.col("_gid")), "left")
-    left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_gone", i.cast("bigint")), F.lit(False)))
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*df.columns)
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with the lines that are not kept taken out of its texts; null texts stay null."""
+    gid, gone = fresh_names(df, "gid", "gone")
+    dropped = line_groups(df, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias(gid)).agg(F.collect_set("line_no").alias(gone))
+    joined = df.join(dropped, df[id_col].eqNullSafe(F.col(gid)), "left")
+    left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(gone, i.cast("bigint")), F.lit(False)))
+    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*df.columns)
