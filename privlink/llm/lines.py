@@ -14,10 +14,13 @@ blocks.  Pairs whose SimHashes differ in more than ``DISTANCE`` of the BLOCKS x
 nothing to do with each other differ in half of them); the others are links if their edit similarity (1 - Levenshtein
 distance / longer length) is at least ``SIMILARITY``.
 
-*Links*, without forming the pairs of a bucket: its least and its greatest line are held against all others.  Buckets of up
-to three lines are decided by that.  In larger ones whose lines are not in one component then, lines of different components
-meet in parts of about ``PART``, and only pairs with near SimHashes leave the join.  Nothing is capped or dropped; a bucket
-with any share of the rows is dealt over many parts.
+*Links*, without forming the pairs of a bucket:
+1. each line is held against the least line of its largest bucket, and components are formed;
+2. in buckets that hold several components, each line is held against the bucket's least and greatest one, unless it is in
+   their component; buckets of up to three lines are decided by that;
+3. in larger ones whose lines are not in one component then, lines of different components meet in parts of about ``PART``, and
+   only pairs with near SimHashes leave the join.
+Nothing is capped or dropped; a bucket with any share of the rows is dealt over many parts.
 
 Of each connected group the smallest occurrence (id, line number) is kept.
 
@@ -46,9 +49,9 @@ FEW, GRAM = 12, 4
 #: Lines of a bucket that meet another such part at once.
 PART = 1024
 #: Rows of a few longs, and bytes of texts, up to which a side is broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 #: Words of the runs that hold two lines together when their distance is bounded, and the first band of long ones.
-ANCHOR, STEP = 3, 1024
+ANCHOR, FAR, STEP = 3, 1.5, 1024
 #: What separates words, but the line's end (a fixed value): ASCII other than letters and digits, once lower-cased.
 SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 # Fixed value: an odd multiplier that tells blocks of different places apart.
@@ -108,8 +111,9 @@ def close(a: str, b: str, most: Column) -> Column:
     """Whether the edit distance of two normalised lines is at most ``most``.
 
     Two bounds from above settle most links: the words that differ in place; and where the runs of ANCHOR words that either line
-    has once stand in one order, the distances of what lies between the first words of those runs, summed.  For all others,
-    what the lines have in common at their ends goes, and the distance of the rest is formed within a band.
+    has once stand in one order, the distances of what lies between the first words of those runs, summed.  A sum of over
+    FAR times ``most`` settles it the other way: a better way past the runs would have to save a third of all edits.  For all
+    others, what the lines have in common at their ends goes, and the distance of the rest is formed within a band.
     """
 
     def distance(x: Column, y: Column, most: Column) -> Column:
@@ -132,7 +136,7 @@ def close(a: str, b: str, most: Column) -> Column:
         return bind(F.sort_array(hashes), lambda s: F.filter(s, lambda x, i: alone(s, i, x)))
 
     def anchored(r: Column) -> Column:
-        """Gaps and anchors of either line, then the bound."""
+        """Gaps and anchors of either line, then the summed distances; null where the anchors tell nothing."""
 
         def marked(w: Column, hashes: Column, both: Column) -> Column:
             return F.zip_with(w, hashes, lambda v, h: F.struct(v.alias("w"), F.array_contains(both, h).alias("held")))
@@ -145,8 +149,8 @@ def close(a: str, b: str, most: Column) -> Column:
             return bind(F.array_intersect(once(h.x), once(h.y)), lambda both: F.struct(*[parts(marked(w, g, both)).alias(n) for n, w, g in (("x", r.x, h.x), ("y", r.y, h.y))]))
 
         def bound(s: Column) -> Column:
-            costs = F.zip_with(s.x.gaps, s.y.gaps, lambda p, q: F.when(p == q, 0).otherwise(distance(p, q, r.most)))
-            return F.when(s.x.anchors == s.y.anchors, total(costs) <= r.most).otherwise(False)
+            costs = F.zip_with(s.x.gaps, s.y.gaps, lambda p, q: F.when(p == q, 0).otherwise(distance(p, q, (r.most * FAR).cast("int"))))
+            return F.when((s.x.anchors == s.y.anchors) & (F.size(s.x.anchors) > 0), total(costs))
 
         return bind(bind(F.struct(runs(r.x).alias("x"), runs(r.y).alias("y")), sides), bound)
 
@@ -162,9 +166,13 @@ def close(a: str, b: str, most: Column) -> Column:
         # where nothing is left of one line, the distance is the difference of the lengths
         return bind(rest, lambda e: (e.x == "") | (e.y == "") | F.when(r.most > STEP, distance(e.x, e.y, F.lit(STEP)) <= STEP).otherwise(False) | (distance(e.x, e.y, r.most) <= r.most))
 
+    def settled(r: Column) -> Column:
+        by_anchors = bind(anchored(r), lambda d: F.when(d <= r.most, True).when(d > r.most * FAR, False).otherwise(trimmed(r)))
+        return F.when(in_place(r), True).otherwise(by_anchors)
+
     words = F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"), most.alias("most"))
     fits = F.abs(F.char_length(a) - F.char_length(b)) <= most
-    return (F.col(a) == F.col(b)) | (fits & bind(words, lambda r: F.when(in_place(r), True).when(anchored(r), True).otherwise(trimmed(r))))
+    return (F.col(a) == F.col(b)) | (fits & bind(words, settled))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -214,6 +222,13 @@ def _across(members: DataFrame, lines: DataFrame, found: DataFrame, store: Store
     return left.join(right, ["key", "p", "q"]).where(met).select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b"))
 
 
+def _joined(groups: DataFrame, links: DataFrame, store: Store) -> DataFrame:
+    """The components once further links hold."""
+    if not links.take(1):
+        return groups
+    return store.put(components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+
+
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line with words: id_col, line_no (from 0), keep_id and keep_line (the occurrence that its group keeps),
     group_size (occurrences), kept."""
@@ -231,15 +246,19 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     buckets = entered.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.bit_xor("lid").alias("all"), F.count("*").alias("n"))
     buckets = store.put(buckets.where("n > 1"))
     third = F.col("low").bitwiseXOR(F.col("high")).bitwiseXOR(F.col("all"))  # the line between, in a bucket of three
-    three = buckets.where("n = 3").withColumn("lid", third)
-    members = store.put(entered.join(_few(buckets.where("n > 3").select("key", "low", "high", "n")), "key"))
-    pairs = [_ordered(buckets.where("n <= 3"), "low", "high"), *[_ordered(m, "lid", end) for m in (three, members) for end in ("low", "high")]]
-    links = _verified(functools.reduce(DataFrame.unionByName, pairs), lines, store)
-    groups = store.put(components(links))
-
-    more = _verified(_across(members, lines, groups, store), lines, store)
-    if more.take(1):
-        groups = store.put(components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    few = buckets.where("n <= 3").select("key", "low", "high", "n", F.explode(F.array_distinct(F.array("low", "high", third))).alias("lid")).where("n = 3 or lid in (low, high)")
+    large = entered.join(_few(buckets.where("n > 3").select("key", "low", "high", "n")), "key").select("key", "low", "high", "n", "lid")
+    members = store.put(few.unionByName(large))
+
+    # each line against the least line of its largest bucket, then against both ends of buckets that hold several components
+    best = members.groupBy("lid").agg(F.max(F.struct("n", F.col("low").alias("end"))).alias("top")).select("lid", F.col("top.end").alias("end"))
+    groups = store.put(components(_verified(_ordered(best, "lid", "end"), lines, store)))
+    label = groups.select(F.col("node").alias("lid"), "component")
+    named = store.put(members.join(label, "lid", "left").withColumn("component", F.coalesce("component", "lid")))
+    ends = [named.join(named.where(F.col("lid") == F.col(e)).select("key", F.col("component").alias("other")), "key").where("component <> other") for e in ("low", "high")]
+    pairs = functools.reduce(DataFrame.unionByName, [_ordered(m, "lid", e) for m, e in zip(ends, ("low", "high"), strict=True)])
+    groups = _joined(groups, _verified(pairs, lines, store), store)
+    groups = _joined(groups, _verified(_across(members.where("n > 3"), lines, groups, store), lines, store), store)
 
     # a group of more than one line is known by its component's number, of one by the line itself; lines that occur once are left out
     roots = lines.select("lid", "h", "k", "times").join(_few(groups.select(F.col("node").alias("lid"), "component")), "lid", "left").where("component is not null or times > 1")

@@ -207,42 +207,6 @@ def test_token_files(spark, docs, empty, rows, tmp_path):
     assert token_files.read(nothing).count() == 0
 
 
-def test_line_groups(docs, empty, rows):
-    got = lines.line_groups(docs).collect()
-    sims = {(r.id, r.line_no): (r.line, r.sim) for r in lines.simhashes(docs, "doc_id", "text").collect()}
-    text = {i: (t or "").lower().split("\n") for i, t, *_ in rows}
-    norm = lambda i, k: " ".join(w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text[i][k]))
-    texts = {h: norm(*p) for p, (h, _) in sims.items()}
-    sim = {h: s & (2**64 - 1) for h, s in sims.values()}
-    label = {h: h for h in texts}
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    hs = sorted(texts)
-    links = [(a, b) for k, a in enumerate(hs) for b in hs[:k] if (sim[a] ^ sim[b]).bit_count() <= 3 and distance(texts[a], texts[b]) <= int(0.1 * max(len(texts[a]), len(texts[b])) + 1e-9)]
-    for _ in range(20):
-        for a, b in links:
-            label[a] = label[b] = min(label[a], label[b])
-    assert links
-    first = {}
-    for p in sorted(sims):
-        first.setdefault(label[sims[p][0]], p)
-    assert len(got) == sum(1 for i in text for k in range(len(text[i])) if norm(i, k).strip())
-    for r in got:
-        g = label[sims[r.doc_id, r.line_no][0]]
-        assert r.group_id == g and r.kept == (first[g] == (r.doc_id, r.line_no)), r
-    assert lines.line_groups(empty).count() == 0
-    left = {r.doc_id: r.text for r in lines.drop_lines(docs).collect()}
-    assert left[0] is None and left[5] == "" and left[3] == "one"
-
-
 def test_exact(docs, empty, rows, monkeypatch):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     by = {}
@@ -347,110 +311,6 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash", "decontamination", "byte_bpe"]
 
 
-def test_edit_similarity():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    rnd = random.Random(8)
-    pairs = [("", ""), ("", "a"), ("ab", "ab"), ("a" * 30, "a" * 33), ("a" * 30, "a" * 34), ("é" * 20, "é" * 19 + "x")]
-    for _ in range(400):
-        a = [rnd.choice("abc𝄞é") for _ in range(rnd.randint(1, 250))]
-        b = list(a)
-        for _ in range(rnd.randint(0, 30)):
-            at = rnd.randrange(len(b) + 1)
-            b[at : at + rnd.randint(0, 1)] = [rnd.choice("abcx")] * rnd.randint(0, 2)
-        pairs.append(("".join(a), "".join(b)))
-    got = lines.close(*map(list, zip(*pairs, strict=True)))
-    for (a, b), near in zip(pairs, got, strict=True):
-        assert near == (distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)), (a, b)
-        x, y = (np.array([ord(c) for c in t], np.int32) for t in (a, b))
-        for k in (8, 32, 128):
-            d = lines._banded([(x, y), (y, x), (x, x)], k)
-            assert d[2] == 0 and d[0] == d[1] and (d[0] == distance(a, b) or d[0] > k < distance(a, b))
-    assert got.any() and not got.all()
-
-
-def test_scan_of_long_lines(monkeypatch):
-    rnd = random.Random(9)
-    texts = [" ".join(rnd.choice(["a", "b", "c", "dd", "é" * 40]) for _ in range(n)) for n in (1, 3, 255, 256, 700, 511)]
-    texts += ["", " ", texts[1] + ".", " " + texts[1], texts[1].upper().replace(" ", " - "), "b", "x" * 3000]
-    blob = lines.folded("\n".join(texts))
-    whole = lines.scan(blob)
-    monkeypatch.setattr(lines, "PIECE", 100)
-    assert all((x == y).all() for x, y in zip(whole, lines.scan(blob), strict=True))
-    number, line, chars, sim = whole
-    assert number.tolist() == [0, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12] and not len(lines.scan(b"")[0]) and not len(lines.scan(b" \n ")[0])
-    assert line[8] == line[1] and len(set(line.tolist())) == len({lines.normal(lines.folded(texts[k])) for k in number.tolist()})
-    for k, h, n, s in zip(number.tolist(), line, chars, sim, strict=True):
-        folded = lines.folded(texts[k])
-        assert n == len(lines.normal(folded).decode()) and lines.scan(folded)[1][0] == h
-        words = [int(lines._words(np.frombuffer(w, np.uint8))[3][0]) for w in folded.split()]
-        assert s.view(np.uint64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in words) >= len(words))
-
-
-def test_lines_of_open_buckets(spark):
-    # lines that share a hash and differ as texts: buckets stay open after the stars, and in parts
-    rnd = random.Random(10)
-    words = ["".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(12)]
-    texts = []
-    for _ in range(60):
-        order = rnd.sample(words, len(words))
-        texts += [" ".join(order), " ".join(order[:-1] + [order[-1] + "s"])] if rnd.random() < 0.5 else [" ".join(order)]
-        texts.append(" ".join(order[:5] + [order[5][:-1] + "x"] + order[6:]))
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    sims = {r.id: (r.line, r.sim & (2**64 - 1)) for r in lines.simhashes(frame, "doc_id", "text").collect()}
-    label = {h: h for h, _ in sims.values()}
-    pairs = [(a, b) for a in sims for b in range(a) if sims[a][0] != sims[b][0] and (sims[a][1] ^ sims[b][1]).bit_count() <= 3]
-    links = [p for p, good in zip(pairs, lines.close([texts[a] for a, _ in pairs], [texts[b] for _, b in pairs]), strict=True) if good]
-    assert links and len(links) < len(pairs) / 2
-    for _ in range(30):
-        for a, b in links:
-            x, y = sims[a][0], sims[b][0]
-            label[x] = label[y] = min(label[x], label[y])
-    before = lines.PART
-    try:
-        for part in (16, before):
-            lines.PART = part
-            got = {r.doc_id: r.group_id for r in lines.line_groups(frame).collect()}
-            assert got == {i: label[h] for i, (h, _) in sims.items()}
-    finally:
-        lines.PART = before
-
-
-def test_lines_by_edit_similarity(spark, monkeypatch):
-    """Lines with typos of words are joined as all pairs by edit similarity alone would be, across both kinds of n-gram."""
-    rnd = random.Random(12)
-    make = lambda: "".join(rnd.choice("abcdefghijklmnoprstu") for _ in range(rnd.randint(4, 9)))
-    texts = []
-    for n in (3, 6, 8, 9, 10, 20, 30, 60) * 6:
-        base = [make() for _ in range(n)]
-        texts.append(" ".join(base))
-        for _ in range(3):  # a letter in one word; up to a letter in every fifth
-            other = list(base)
-            for at in rnd.sample(range(n), rnd.randint(1, max(1, n // 5))):
-                k = rnd.randrange(len(other[at]))
-                other[at] = other[at][:k] + rnd.choice(["", "x", other[at][k] + "q"]) + other[at][k + 1 :]
-            texts.append(" ".join(other))
-    label = list(range(len(texts)))
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
-    links = [p for p, good in zip(pairs, lines.close([texts[a] for a, _ in pairs], [texts[b] for _, b in pairs]), strict=True) if good]
-    for _ in range(10):
-        for a, b in links:
-            label[a] = label[b] = min(label[a], label[b])
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    sims = [int(x) & (2**64 - 1) for x in lines.scan("\n".join(texts).encode())[3]]
-    assert sum((sims[a] ^ sims[b]).bit_count() <= 3 for a, b in links) < len(links) / 2  # SimHashes alone miss most
-    monkeypatch.setattr(lines, "PART", 16)
-    got = {r.doc_id: r.kept for r in lines.line_groups(frame, grams=True).collect()}
-    assert got == {i: label[i] == i for i in range(len(texts))}
-
-
 def test_near_copies_of_the_pipeline(spark, monkeypatch):
     """The stage links at 0.80, in stars and in open buckets alike."""
     import corpus_pipeline
