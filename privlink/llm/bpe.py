@@ -58,9 +58,18 @@ def pieces(text: str, size: int = LONG) -> Iterator[str]:
 
 
 def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text.  A piece far beyond LONG (white space or one word without end) would exhaust the library's matcher:
+    it is split by the pattern here, and each match is encoded by itself, as the library does."""
     if len(text) <= LONG:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    ids: list[int] = []
+    for piece in pieces(text):
+        if len(piece) <= 2 * LONG:
+            ids += enc.encode_ordinary(piece)
+        else:
+            for m in regex.finditer(enc._pat_str, piece):
+                ids += enc._encode_single_piece(m[0])
+    return ids
 
 
 def encode_decode(

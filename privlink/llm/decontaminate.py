@@ -25,7 +25,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, bind, cut, fresh_names
 
 #: Words of a window, of a gram, and grams in a winnowing window.
 WINDOW, K = 10, 5
@@ -63,11 +63,6 @@ def _windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return each.select("len", F.concat_ws(" ", F.slice("w", F.col("at"), F.col("len"))).alias("window"), "item").distinct()
 
 
-def _bind(column: Column, use) -> Column:
-    """``use(value)`` with the column computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(column), lambda v: use(v)), 0)
-
-
 def _around(h: Column, n: int, k: int, back: int) -> Column:
     """Starts of the windows of n words that hold a matched gram: i - back .. i for a gram at i."""
 
@@ -96,13 +91,13 @@ def contamination(
     hashed = split.select("_id", "_key", F.size("_w").cast("bigint").alias("n_words"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
 
     def prints(h: Column) -> Column:
-        parts = [_bind(grams(h, K), lambda g: kept(g, W))] + [F.array_distinct(grams(h, n)) for n in short]
+        parts = [bind(grams(h, K), lambda g: kept(g, W))] + [F.array_distinct(grams(h, n)) for n in short]
         return F.concat(*parts) if short else parts[0]
 
     first = cut(hashed.select("_id", "_key", "n_words", prints(F.col("_h")).alias("_prints")))
 
     parts = windows.select("len", F.transform(F.split("window", " "), lambda x: F.xxhash64(x)).alias("_h"))
-    of_items = [parts.where(F.col("len") == WINDOW).select(F.explode(_bind(grams(F.col("_h"), K), lambda g: kept(g, W))).alias("_print"), F.lit(WINDOW).alias("_len"))]
+    of_items = [parts.where(F.col("len") == WINDOW).select(F.explode(bind(grams(F.col("_h"), K), lambda g: kept(g, W))).alias("_print"), F.lit(WINDOW).alias("_len"))]
     of_items += [parts.where(F.col("len") == n).select(F.explode(grams(F.col("_h"), n)).alias("_print"), F.lit(n).alias("_len")) for n in short]
     of_items = functools.reduce(DataFrame.unionByName, of_items).distinct()
 
@@ -150,6 +145,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The rows of ``df`` without any hit, with all their columns."""
-    hit = contamination(df, benchmark, id_col, text_col, **columns).where("n_hit > 0").select(F.col(id_col).alias("_hid"), F.col("text_key").alias("_hkey"))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return df.join(hit, df[id_col].eqNullSafe(F.col("_hid")) & (key == F.col("_hkey")), "left_anti")
+    hid, hkey = fresh_names(df, "hid", "hkey")
+    hit = contamination(df, benchmark, id_col, text_col, **columns).where("n_hit > 0").select(F.col(id_col).alias(hid), F.col("text_key").alias(hkey))
+    key = F.xxhash64(F.coalesce(df[text_col], F.lit("")))
+    return df.join(hit, df[id_col].eqNullSafe(hit[hid]) & (key == hit[hkey]), "left_anti")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, without_space
+from .common import cut, fresh_names, shuffle_partitions, without_space
 
 #: Runs that a heavy text is dealt over.
 SALTS = 64
@@ -82,9 +82,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; equal rows with one id stay once."""
-    stay = groups(df, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = df.withColumn("_sha", F.sha2(normalised(df[text_col]), 256))
-    both = marked.join(stay, marked[id_col].eqNullSafe(stay["_id"]) & (marked["_sha"] == stay["_sha"]), "left_semi")
+    sid, ssha, sha, rank = fresh_names(df, "sid", "ssha", "sha", "rank")
+    stay = groups(df, id_col, text_col).where("kept").select(F.col(id_col).alias(sid), F.col("text_sha256").alias(ssha))
+    marked = df.withColumn(sha, F.sha2(normalised(df[text_col]), 256))
+    both = marked.join(stay, marked[id_col].eqNullSafe(stay[sid]) & (marked[sha] == stay[ssha]), "left_semi")
     # a repeated id may carry the same normalised text in several rows; one of them is the row that stays
-    order = Window.partitionBy(id_col, "_sha").orderBy(F.desc(F.length(text_col)), *[F.col(c) for c, t in df.dtypes if c not in (id_col, text_col) and not t.startswith("map")])
-    return both.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*df.columns)
+    order = Window.partitionBy(id_col, sha).orderBy(F.desc(F.length(text_col)), *[F.col(c) for c, t in df.dtypes if c not in (id_col, text_col) and "map<" not in t and t != "variant"])
+    return both.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*df.columns)

@@ -41,7 +41,7 @@ class Encoder:
     """The library's tokenizer with a memory of pieces.
 
     Texts are cut in front of spaces, where a match of the split pattern always ends, and each distinct piece is encoded
-    once; a text in which such a cut could matter is encoded whole.
+    once; a text in which such a cut could matter, or with a special token's string, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -51,7 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        # where a text holds the string of a special token, the library gives that token's id
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         vocab = self.lib.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id: one character of a token is one byte
         self.bytes_of[list(vocab.values())] = [len(t) for t in vocab]
@@ -79,7 +81,7 @@ class Encoder:
         if len(self.known) > REMEMBER or self.held > REMEMBER_CHARS:
             self.known.clear()
             self.held = 0
-        cuts = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
+        cuts = [None if UNSAFE.search(t) or self.special.search(t) else t.split(" ") for t in texts]
         new: set[str] = set()
         for parts in cuts:
             if parts:
@@ -181,5 +183,11 @@ def read(manifest: DataFrame, with_ids: bool = True, with_crc: bool = False) ->
     return based.repartition(shuffle_partitions(spark), "path").mapInArrow(run, schema)
 
 
+def pick(spark: SparkSession, path: str, low: int, high: int, with_ids: bool = True) -> DataFrame:
+    """The rows of the documents low..high: row groups and pages of other ids, and without ``with_ids`` all ids, stay unread."""
+    rows = spark.read.parquet(path).where(F.col("doc_id").between(low, high))
+    return rows if with_ids else rows.drop("ids")
+
+
 def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
