@@ -41,6 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir[0]
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files; a lost executor costs no recomputation.
 

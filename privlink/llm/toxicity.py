@@ -35,8 +35,9 @@ from .common import cut, ship
 #: Bound on labelled rows that the lexicon and the weights are fitted on.
 SAMPLE = 12_000
 STEMS = (4, 5, 6)
-#: Bounds on learned terms, and the least log odds and number of toxic texts of a term.
-MAX_TERMS, MIN_ODDS, MIN_TEXTS = 2_000, 3.5, 4
+#: The least log odds and number of toxic texts of a term.  They bound the lexicon with the sample: a text of the sample holds so
+#: many different words at most, and MIN_TEXTS texts are needed for each term.
+MIN_ODDS, MIN_TEXTS = 3.5, 4
 STEM_TERMS = 4
 FUZZY_FROM = 5
 WINDOW = 6
@@ -44,6 +45,8 @@ REMEMBER = 300_000
 # Words that report speech, and quotation marks.
 REPORTING = frozenset("said says quote quoted quotes called calls term word slur wrote disse dit dijo sagte schrieb nannte".split())
 QUOTES = "\"'“”‘’«»„"
+#: A word of the lexicon: letters only, of any number.
+LETTERS = r"\p{L}+"
 WORD = re.compile(r"[^\W\d_]+(?:[\d@$!]+[^\W\d_]+)*")
 
 
@@ -129,7 +132,7 @@ def features(trie: dict, text: str, known: dict[str, str]) -> tuple[float, ...]:
 
 
 class Model:
-    """Lexicon and weights; small (at most 2 x MAX_TERMS terms), shipped with the scoring function."""
+    """Lexicon and weights; bounded by the sample that they were learned from, shipped with the scoring function."""
 
     def __init__(self, words: list[str], stems: list[str], weights: list[float]):
         self.words, self.stems, self.weights = words, stems, weights
@@ -157,8 +160,8 @@ def _map(df: DataFrame, keep: tuple[str, ...], text_col: str, trie: dict, made:
 
 def _terms(texts: DataFrame, pos: int, neg: int) -> tuple[list[str], list[str]]:
     """Words and stems with high log odds; their counts are aggregated before anything is shuffled or collected."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,40}"), F.lit(0)))
-    each = texts.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", words.alias("w"))  # a copy is no further evidence
+    each = texts.groupBy("text").agg(F.max("toxic").alias("toxic"))  # a copy is no further evidence
+    each = each.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("w"))
 
     def starts(k: int):
         return F.transform("w", lambda x: F.when(F.length(x) > k, F.struct(F.lit(k).alias("k"), F.substring(x, 1, k).alias("t"))))
@@ -169,24 +172,21 @@ def _terms(texts: DataFrame, pos: int, neg: int) -> tuple[list[str], list[str]]:
     found = rows.groupBy("e.k", "e.t").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg + 1))
     good = found.withColumn("o", odds).where((F.col("o") >= MIN_ODDS) & (F.col("p") >= max(MIN_TEXTS, pos // 100)) & (F.col("n") - F.col("p") <= 0.05 * F.col("n")))
-    good = good.orderBy(F.desc("p"), "k", "t").limit(2 * MAX_TERMS).select("k", "t", "p")
+    good = cut(good.select("k", "t", "p"))
     # A real term stands behind many different words; a word of one passage that was copied always follows the same one.
-    order = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,40}"), F.lit(0))
+    order = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
     after = F.transform("w", lambda x, i: F.struct(x.alias("t"), F.when(i > 0, F.get(F.col("w"), i - 1)).otherwise("").alias("before")))
     places = texts.where("toxic = 1").select(order.alias("w")).select(F.explode(after).alias("e")).select("e.*")
     every = [places.select(F.lit(0).alias("k"), "t", "before")] + [places.where(F.length("t") > k).select(F.lit(k).alias("k"), F.substring("t", 1, k).alias("t"), "before") for k in STEMS]
-    spread = functools.reduce(DataFrame.unionByName, every).join(F.broadcast(good), ["k", "t"]).groupBy("k", "t", "p").agg(F.countDistinct("before").alias("c"))
-    top = spread.where(F.col("c") >= F.greatest(F.lit(MIN_TEXTS), F.col("p") / 3)).orderBy(F.desc("p"), "k", "t").collect()  # at most 2 x MAX_TERMS
+    spread = functools.reduce(DataFrame.unionByName, every).join(good, ["k", "t"]).groupBy("k", "t", "p").agg(F.countDistinct("before").alias("c"))
+    top = spread.where(F.col("c") >= F.greatest(F.lit(MIN_TEXTS), F.col("p") / 3)).orderBy(F.desc("p"), "k", "t").collect()  # bounded by the sample
     whole_words = [r.t for r in top if r.k == 0]
     # A stem stands for several whole terms; the shortest that is good enough is taken.
     picked: list[str] = []
     for r in sorted((r for r in top if r.k), key=lambda r: (len(r.t), r.t)):
         if not any(r.t.startswith(s) for s in picked) and sum(w.startswith(r.t) for w in whole_words) >= STEM_TERMS:
             picked.append(r.t)
-    # Terms that a stem covers stay beside it, so that a misspelling within the stem is met; they take no other term's place.
-    covered = [w for w in whole_words if any(w.startswith(s) for s in picked)]
-    others = [w for w in whole_words if not any(w.startswith(s) for s in picked)]
-    return others[:MAX_TERMS] + covered, picked[:MAX_TERMS]
+    return whole_words, picked  # terms that a stem covers stay beside it, so that a misspelling within the stem is met
 
 
 def _weights(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -236,3 +236,10 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str,
 
     made = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return _map(df, keep, text_col, model.trie, made, of)
+
+
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df that are predicted clean, with all their columns."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    scored = score(df.toDF(*names), model, text_col=names[df.columns.index(text_col)], keep=tuple(names))
+    return scored.where("predicted = 0").select(*names).toDF(*df.columns)

@@ -6,14 +6,19 @@ skippable frame (the public "seekable format": magic 0x184D2A5E, one pair of siz
 decompressed frame, so ``fetch`` reads one frame for one record.
 
 Equal payloads: the record with the smallest id is the response; the others are revisits that refer to it and carry the
-digest and length of the full payload but no body.  Groups are formed by a partial aggregation over digests, and only
-groups of two or more rows come back in a join, so one payload may hold any share of the rows.
+digest and length of the full payload but no body.  Groups are formed by a partial aggregation over digests.  A payload with
+more than ``rows / (4 x shuffle partitions)`` rows is *heavy*; there are fewer than ``4 x shuffle partitions`` of them
+whatever the input, so their list is broadcast, and their rows are dealt over the tasks of the join by their page.
 
 A bundle's name carries a random part and the index only lists bundles of tasks that ended well, so retried or
 speculative tasks do no harm.  Files go to the shared folder through pyarrow's file systems.
 
+Record identifiers are made of page ids; rows that repeat an id, or have none, get random ones, and no record refers to those
+by identifier (by page it does).
+
 Defined results: null html is an empty payload; a null url leaves the target out; repeated rows of the first id are all
-responses; null ids never are the first of a group; an empty table writes no bundle; other columns are not looked at.
+responses; null ids never are the first of a group; an empty table writes no bundle; other columns are not looked at.  Ids
+are integers (or strings of digits): others are refused by the cast to bigint.
 """
 
 from __future__ import annotations
@@ -47,17 +52,18 @@ def digest(payload: bytes) -> str:
 
 
 def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+    """The identifier of a page's record; a random one for None."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, sha: str, size: int, first: int | None, date: str) -> bytes:
-    """One WARC/1.1 record.  ``first``: the id that a revisit refers to."""
+def make_record(identifier: str, page_id: int | None, url: str | None, payload: bytes, sha: str, size: int, first: int | None, date: str, refers: bool = True) -> bytes:
+    """One WARC/1.1 record.  ``first``: the id that a revisit refers to; ``refers``: its record is known by that id."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {identifier}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=SAFE_IN_URI)}")
     if first is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(first)}", f"X-Refers-To-Page: {first}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", *([f"WARC-Refers-To: {record_id(first)}"] if refers else []), f"X-Refers-To-Page: {first}"]
     body = http + payload if first is None else http
     head += [f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {size}", f"X-Page: {'' if page_id is None else page_id}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -88,8 +94,8 @@ class Bundle:
         self.uri, self.out = uri, store.open_output_stream(path, compression=None)
         self.zip, self.sizes, self.raw, self.waiting, self.at, self.rows = zstandard.ZstdCompressor(level=3), [], bytearray(), [], 0, []
 
-    def add(self, page_id: int | None, record: bytes) -> None:
-        self.waiting.append((page_id, len(self.raw), len(record)))
+    def add(self, page_id: int | None, identifier: str, record: bytes) -> None:
+        self.waiting.append((page_id, identifier, len(self.raw), len(record)))
         self.raw += record
         if len(self.raw) >= FRAME_BYTES or len(self.waiting) >= FRAME_RECORDS:
             self.flush()
@@ -99,7 +105,7 @@ class Bundle:
             return
         packed = self.zip.compress(bytes(self.raw))
         self.out.write(packed)
-        self.rows += [(p, record_id(p), self.uri, len(self.sizes), self.at, len(packed), o, n) for p, o, n in self.waiting]
+        self.rows += [(p, i, self.uri, len(self.sizes), self.at, len(packed), o, n) for p, i, o, n in self.waiting]
         self.sizes.append((len(packed), len(self.raw)))
         self.at += len(packed)
         self.raw, self.waiting = bytearray(), []
@@ -132,22 +138,31 @@ def record_types(df: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url
     """page_id, url, payload, sha, size and first (the id that a revisit refers to, else null)."""
     rows = df.select(df[id_col].cast("bigint").alias("page_id"), df[url_col].alias("url"), F.coalesce(df[html_col], F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("bigint"))
-    again = (
-        rows.select("sha", "size", "page_id")
-        .where(F.col("size") >= min_bytes)
-        .groupBy("sha", "size")
-        .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1 and _first is not null")
-        .drop("_n")
-    )
-    joined = rows.join(again, ["sha", "size"], "left")
+    light = rows.select("sha", "size", "page_id").where(F.col("size") >= min_bytes)
+    again = light.groupBy("sha", "size").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
+    again = cut(again)
+    most = max(64, df.count() // (4 * shuffle_partitions(df.sparkSession)))
+    heavy = again.where(F.col("_n") > most).select("sha", "size", F.col("_first").alias("_heavy"))
+    placed = rows.join(F.broadcast(heavy), ["sha", "size"], "left")
+    key = F.when(F.col("_heavy").isNull(), F.col("sha")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    rest = again.where(F.col("_n") <= most).select(F.col("sha").alias("_key"), "size", "_first")
+    joined = placed.withColumn("_key", key).join(rest, ["_key", "size"], "left").withColumn("_first", F.coalesce("_heavy", "_first"))
     return joined.select("page_id", "url", "payload", "sha", "size", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("first"))
 
 
+def _alone(typed: DataFrame, ids: DataFrame) -> DataFrame:
+    """typed with ``alone`` (no other row has the page_id, which is not null) and ``refers`` (the same of ``first``)."""
+    repeated = cut(ids.groupBy("_r").agg(F.count("*").alias("_n")).where("_n > 1 and _r is not null").select("_r"))
+    if not repeated.take(1):
+        return typed.withColumn("alone", F.col("page_id").isNotNull()).withColumn("refers", F.lit(True))
+    own = typed.join(repeated, F.col("page_id") == F.col("_r"), "left").withColumn("alone", F.col("page_id").isNotNull() & F.col("_r").isNull()).drop("_r")
+    return own.join(repeated, F.col("first") == F.col("_r"), "left").withColumn("refers", F.col("_r").isNull()).drop("_r")
+
+
 def write(df: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", **columns) -> DataFrame:
     """Write the bundles and return their index (cut from its lineage: the files are written once)."""
     ship(df.sparkSession)
-    typed = record_types(df, **columns)
+    typed = _alone(record_types(df, **columns), df.select(df[columns.get("id_col", "page_id")].cast("bigint").alias("_r")))
 
     def run(batches):
         store, root = fs.FileSystem.from_uri(folder)
@@ -160,13 +175,14 @@ def write(df: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", **colu
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.string() if n in ("record_id", "bundle") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
         for batch in batches:
-            cols = [batch.column(i) for i in range(6)]
+            cols = [batch.column(i) for i in range(8)]
             for i in range(batch.num_rows):
-                page_id, url, payload, _, size, first = (c[i].as_py() for c in cols)
+                page_id, url, payload, _, size, first, alone, refers = (c[i].as_py() for c in cols)
+                identifier = record_id(page_id if alone else None)
                 if bundle is None:
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                     bundle = Bundle(store, f"{root}/{name}", f"{folder}/{name}")
-                bundle.add(page_id, make_record(page_id, url, payload, digest(payload), size, first, date))
+                bundle.add(page_id, identifier, make_record(identifier, page_id, url, payload, digest(payload), size, first, date, refers))
                 if bundle.at >= BUNDLE_BYTES:
                     yield done(bundle)
                     bundle = None
@@ -210,8 +226,9 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                         frame = unzip.decompress(f.read(packed), max_output_size=raw)
                         yield _batch([_row(h, b) for _, _, h, b in parse_records(frame)], wanted)
 
-    # as many tasks as the session's shuffles have: a bundle is much work behind a short row
-    bundles = index.select("bundle").distinct().repartition(shuffle_partitions(index.sparkSession), "bundle")
+    # as many tasks as the session's shuffles have: a bundle is much work behind a short row.  The expression keeps the optimiser
+    # from taking the exchange of distinct(), which adaptive execution would merge, for this one.
+    bundles = index.select("bundle").distinct().repartition(shuffle_partitions(index.sparkSession), F.xxhash64("bundle"))
     return bundles.mapInArrow(run, schema)
 
 
