@@ -1,4 +1,8 @@
-"""Bit vectors: bit i is bit i % 8 of byte i // 8.  Similarities of two columns, compared batch by batch on words."""
+"""Bit vectors: bit i is bit i % 8 of byte i // 8.  Similarities of two columns, compared batch by batch on words.
+
+Defined results: a null filter has null similarities and matches nothing; two empty filters have no similarity either; filters
+of different sizes are refused; rows are answered one by one; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -38,32 +42,42 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), size)
 
 
-def _counts(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    x, y = _matrix(a), _matrix(b)
+def _counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ones = lambda v: np.bitwise_count(v).sum(1, dtype=np.int64)
     return ones(x & y), ones(x | y), ones(x ^ y), ones(x) + ones(y)
 
 
+def _compared(a: pd.Series, b: pd.Series, value, kind: str) -> pd.Series:
+    """``value`` of the counts where both filters are there, null elsewhere."""
+    there = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series([pd.NA] * len(a), dtype=kind)
+    if there.any():
+        out[there] = value(*_counts(_matrix(a[there]), _matrix(b[there])))
+    return out
+
+
+def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    return np.divide(top, bottom, out=np.full(len(top), np.nan), where=bottom > 0)
+
+
 @F.pandas_udf(T.LongType())
 def _hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(_counts(a, b)[2])
+    return _compared(a, b, lambda both, either, apart, total: apart, "Int64")
 
 
 @F.pandas_udf(T.LongType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(_counts(a, b)[0])
+    return _compared(a, b, lambda both, either, apart, total: both, "Int64")
 
 
 @F.pandas_udf(T.DoubleType())
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    both, either, _, _ = _counts(a, b)
-    return pd.Series(np.divide(both, either, out=np.full(len(both), np.nan), where=either > 0))
+    return _compared(a, b, lambda both, either, apart, total: _ratio(both, either), "Float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def _dice(a: pd.Series, b: pd.Series) -> pd.Series:
-    both, _, _, total = _counts(a, b)
-    return pd.Series(np.divide(2.0 * both, total, out=np.full(len(both), np.nan), where=total > 0))
+    return _compared(a, b, lambda both, either, apart, total: _ratio(2.0 * both, total), "Float64")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -91,13 +105,34 @@ def dice(a: Column, b: Column) -> Column:
 def similar(method: str, a: Column, b: Column, threshold: float) -> Column:
     """Whether two filters match: a distance of at most, or a similarity of at least, the threshold; two empty filters never do."""
     if method == "hamming":
-        return hamming(a, b) <= threshold
+        return F.coalesce(hamming(a, b) <= threshold, F.lit(False))
     if method in ("jaccard", "dice"):
         value = jaccard(a, b) if method == "jaccard" else dice(a, b)
         return F.coalesce(value >= threshold, F.lit(False))
     raise ValueError(f"{method!r} is none of {METHODS}")
 
 
+def test_bit(c: Column, i: int) -> Column:
+    """Whether bit i is set."""
+    return F.conv(F.hex(c.substr(F.lit(i // 8 + 1), F.lit(1))), 16, 10).cast("int").bitwiseAND(F.lit(1 << i % 8)) != 0
+
+
+def count_ones(c: Column, n: int) -> Column:
+    """How many of the n bits are set."""
+    return F.aggregate(words(c, n), F.lit(0), lambda s, x: s + F.bit_count(x))
+
+
+def set_positions(c: Column, n: int, ones: bool = True) -> Column:
+    """The positions of the bits that are set (or, without ``ones``, that are not), ascending."""
+
+    def wanted(w: Column, i: Column) -> Column:
+        set_ = F.getbit(F.get(w, F.shiftright(i, 6)), F.pmod(i, F.lit(64)))
+        return set_ == F.lit(1 if ones else 0)
+
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.get(F.transform(F.array(words(c, n)), lambda w: F.filter(every, lambda i: wanted(w, i))), 0)
+
+
 def show_bits(c: Column) -> Column:
     """Hexadecimal digits, most significant byte first."""
     return F.reverse(F.regexp_replace(F.hex(c), "(.)(.)", "$2$1"))

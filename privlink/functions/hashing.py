@@ -28,7 +28,7 @@ def hmac_hex(c: Column, key: bytes, digest: str) -> Column:
 def low_int32(hex_digits: Column) -> Column:
     """The last four bytes as a signed big-endian integer."""
     x = F.conv(F.right(hex_digits, F.lit(8)), 16, 10).cast("bigint")
-    return F.when(x >= TWO31, x - TWO32).otherwise(x)
+    return F.pmod(x + TWO31, F.lit(TWO32)) - TWO31
 
 
 def positions(gram: Column, n: int, k: int, key: bytes) -> Column:

@@ -10,14 +10,18 @@ EMPTY = "array<string>"
 
 def padded(c: Column) -> Column:
     """White-space runs become "_"; "_" is put in front and behind unless there already."""
-    s = F.regexp_replace(c, r"\s+", "_")
-    s = F.when(F.startswith(s, F.lit("_")), s).otherwise(F.concat(F.lit("_"), s))
-    return F.when(F.endswith(s, F.lit("_")), s).otherwise(F.concat(s, F.lit("_")))
+    # each step refers to the one before it once: an expression that is named twice is computed twice
+    front = F.concat(F.lit("_"), F.regexp_replace(F.regexp_replace(c, r"\s+", "_"), r"\A_", ""))
+    return F.concat(F.regexp_replace(front, r"_\z", ""), F.lit("_"))
 
 
-def _windows(p: Column, q: int) -> Column:
-    # sequence() counts down when the end is smaller, hence the guard
-    return F.when(F.length(p) >= q, F.transform(F.sequence(F.lit(1), F.length(p) - (q - 1)), lambda i: F.substring(p, i, F.lit(q)))).otherwise(F.array().cast(EMPTY))
+def _windows(padded_value: Column, q: int) -> Column:
+    def cut(p):
+        # sequence() counts down when the end is smaller, hence the guard
+        some = F.transform(F.sequence(F.lit(1), F.length(p) - (q - 1)), lambda i: F.substring(p, i, F.lit(q)))
+        return F.when(F.length(p) >= q, some).otherwise(F.array().cast(EMPTY))
+
+    return F.get(F.transform(F.array(padded_value), cut), 0)  # the value is padded once, not for each window
 
 
 def text(c: Column, compat: bool = False) -> Column:

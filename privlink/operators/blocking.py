@@ -2,26 +2,39 @@
 
 keys(A) join keys(B) -> count by pair >= collisions -> join A, B -> similarity.  One lazy plan: the partial aggregation
 before the pair shuffle plays the combiner; adaptive execution splits hot keys of the key join.  ``strategy`` picks how B's
-keys reach A's: "shuffle", "broadcast" (refused beyond ``BROADCAST_ROWS`` keys), or "auto", which counts B first.
+keys reach A's: "shuffle", "broadcast" (refused beyond ``BROADCAST_ROWS`` keys), or "auto", which counts B first;
+"records" broadcasts B's filters as well (refused beyond ``BROADCAST_RECORDS``).
+
+Defined results: null filters have no keys and match nothing; repeated ids are entered one by one, so their pairs count their hits
+together; an empty side gives no pairs; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import csv
+import time
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..plans.spec import EncodingSpec
 
-STRATEGIES = ("auto", "shuffle", "broadcast")
+#: auto: B's keys are broadcast if few; records: B's keys and its filters are, so that a pair is verified where it is found.
+STRATEGIES = ("auto", "shuffle", "broadcast", "records")
 #: Keys (rows of B times groups) that may be broadcast: about 24 bytes each.
 BROADCAST_ROWS = 2_000_000
+#: Records of B whose filters may be broadcast: some hundred bytes each.
+BROADCAST_RECORDS = 200_000
 
 
 def lsh_keys(df: DataFrame, groups: list[list[int]], enc: str, id_col: str = "id") -> DataFrame:
-    """(id_col, grp, key): the bits of each group, the first position lowest; a number up to 63 bits, else bytes in hex."""
+    """(id_col, grp, key): the bits of each group, the first position lowest; a number up to 63 bits, else bytes in hex.
+
+    A null filter has no keys; rows that repeat an id are entered one by one; an empty table gives an empty table.
+    """
     wide = len(groups[0]) > 63
     table = np.array(groups)
 
@@ -36,7 +49,7 @@ def lsh_keys(df: DataFrame, groups: list[list[int]], enc: str, id_col: str = "id
         weights = np.left_shift(np.int64(1), np.arange(table.shape[1], dtype=np.int64))
         return pd.Series(list(picked.astype(np.int64) @ weights))
 
-    return df.select(id_col, F.posexplode(keys(F.col(enc))).alias("grp", "key"))
+    return df.where(F.col(enc).isNotNull()).select(id_col, F.posexplode(keys(F.col(enc))).alias("grp", "key"))
 
 
 def check(a: EncodingSpec, b: EncodingSpec, groups: int, k: int, collisions: int) -> None:
@@ -54,7 +67,7 @@ def candidates(keys_a: DataFrame, keys_b: DataFrame, strategy: str = "auto") ->
     a, b = keys_a.toDF("aid", "grp", "key"), keys_b.toDF("bid", "grp", "key")
     if strategy != "shuffle":
         small = b.count() <= BROADCAST_ROWS
-        if strategy == "broadcast" and not small:
+        if strategy in ("broadcast", "records") and not small:
             raise ValueError("too many keys to broadcast")
         if small:
             b = F.broadcast(b)
@@ -66,9 +79,14 @@ def frequent(pairs: DataFrame, collisions: int) -> DataFrame:
     return pairs.groupBy("aid", "bid").agg(F.count("*").alias("hits")).where(F.col("hits") >= collisions)
 
 
-def verify(pairs: DataFrame, a: DataFrame, b: DataFrame, enc_a: str, enc_b: str, method: str, threshold: float, id_a: str = "id", id_b: str = "id") -> DataFrame:
-    """(aid, bid) of the pairs whose filters match."""
-    both = pairs.join(a.select(F.col(id_a).alias("aid"), F.col(enc_a).alias("_a")), "aid").join(b.select(F.col(id_b).alias("bid"), F.col(enc_b).alias("_b")), "bid")
+def verify(pairs: DataFrame, a: DataFrame, b: DataFrame, enc_a: str, enc_b: str, method: str, threshold: float, id_a: str = "id", id_b: str = "id", records: bool = False) -> DataFrame:
+    """(aid, bid) of the pairs whose filters match.  ``records``: B's filters are broadcast (their number is checked)."""
+    held = b.select(F.col(id_b).alias("bid"), F.col(enc_b).alias("_b"))
+    if records:
+        if b.count() > BROADCAST_RECORDS:
+            raise ValueError("too many records to broadcast")
+        held = F.broadcast(held)
+    both = pairs.join(a.select(F.col(id_a).alias("aid"), F.col(enc_a).alias("_a")), "aid").join(held, "bid")
     return both.where(bits.similar(method, F.col("_a"), F.col("_b"), threshold)).select("aid", "bid")
 
 
@@ -88,7 +106,38 @@ def block(
     check(spec_a, spec_b, len(groups), len(groups[0]), collisions)
     enc_a, enc_b = (next(f.name for f in x.schema if "encoding" in f.metadata) for x in (a, b))
     pairs = candidates(lsh_keys(a, groups, enc_a, id_a), lsh_keys(b, groups, enc_b, id_b), strategy)
-    return verify(frequent(pairs, collisions), a, b, enc_a, enc_b, method, threshold, id_a, id_b)
+    return verify(frequent(pairs, collisions), a, b, enc_a, enc_b, method, threshold, id_a, id_b, strategy == "records")
+
+
+#: Columns of a run's report.
+METRICS = ("collisions", "n_groups", "k", "strategy", "n_candidates", "n_frequent", "n_matched", "n_true")
+
+
+def metrics(a: DataFrame, b: DataFrame, groups: list[list[int]], collisions: int, threshold: float, truth: Column, method: str = "hamming", strategy: str = "shuffle") -> DataFrame:
+    """One row (METRICS) on a blocking run: its parameters, the different pairs that share a key, those that share enough, those that
+    match, and those matched that ``truth`` (of aid and bid) calls the same.  An empty side gives zeros."""
+    enc_a, enc_b = (next(f.name for f in x.schema if "encoding" in f.metadata) for x in (a, b))
+    hits = candidates(lsh_keys(a, groups, enc_a), lsh_keys(b, groups, enc_b), strategy).groupBy("aid", "bid").agg(F.count("*").alias("hits"))
+    matched = verify(hits.where(F.col("hits") >= collisions), a, b, enc_a, enc_b, method, threshold, records=strategy == "records").withColumn("_same", truth)
+    one = hits.agg(F.count("*").alias("n_candidates"), F.count_if(F.col("hits") >= collisions).alias("n_frequent"))
+    two = matched.agg(F.count("*").alias("n_matched"), F.count_if("_same").alias("n_true"))
+    fixed = {"collisions": F.lit(collisions), "n_groups": F.lit(len(groups)), "k": F.lit(len(groups[0])), "strategy": F.lit(strategy)}
+    return one.join(two).withColumns(fixed).select(*METRICS)  # one row each
+
+
+def timed_runs(runs: dict[str, tuple], out: str | None = None) -> list[dict]:
+    """``metrics`` of each named run (its arguments as a tuple) with the seconds it took; written as CSV lines to ``out``."""
+    rows = []
+    for name, arguments in runs.items():
+        start = time.time()
+        row = metrics(*arguments).first().asDict()
+        rows.append({"run": name, **row, "seconds": round(time.time() - start, 3)})
+    if out and rows:
+        with open(out, "w", newline="") as f:
+            w = csv.DictWriter(f, list(rows[0]))
+            w.writeheader()
+            w.writerows(rows)
+    return rows
 
 
 def key_statistics(keys: DataFrame) -> DataFrame:

@@ -1,14 +1,21 @@
-"""Pairs, similarity vectors, expectation maximisation, weights, and linkage quality."""
+"""Pairs, similarity vectors, expectation maximisation, weights, and linkage quality.
+
+Defined results: a null value agrees with nothing; rows that repeat an id pair with themselves under their own ids only as
+often as the order of ids allows (a < b); fewer than two rows give no pairs; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import vector
+from ..plans.spec import plan_sizes
+from .datasets import profile
 
 ITERATIONS, TOLERANCE, TINY = 1000, 1e-5, 5e-324
 
@@ -74,39 +81,64 @@ class Estimate:
 
 
 def expectation_maximisation(histogram: list[int], m0: float = 0.9, u0: float = 0.001, p0: float = 0.1) -> Estimate:
-    """Probabilities of agreement among matches (m) and others (u) and the share of matches (p), from 2^f frequencies."""
-    f = len(histogram).bit_length() - 1
-    if len(histogram) != 1 << f or f < 1:
+    """Probabilities of agreement among matches (m) and others (u) and the share of matches (p), from 2^f frequencies.
+
+    Without any pair the start values are the estimate, after no round; where all pairs are taken for matches (or none), the
+    other class keeps its probabilities.
+    """
+    counts = np.asarray(histogram, float)
+    fields = counts.size.bit_length() - 1
+    if counts.size != 1 << fields or fields < 1:
         raise ValueError("2^f frequencies are needed")
-    m, u, p, total = [m0] * f, [u0] * f, p0, sum(histogram)
-    rounds = 0
+    agrees = (np.arange(counts.size)[:, None] >> np.arange(fields)) & 1 == 1  # vectors by fields
+    state = np.r_[np.full(fields, m0), np.full(fields, u0), p0]
+    if not counts.sum():
+        return _estimate(state, 0)
     for rounds in range(1, ITERATIONS + 1):
-        as_match = []
-        for v in range(len(histogram)):
-            a, b = p, 1 - p
-            for j in range(f):
-                on = v >> j & 1
-                a *= m[j] if on else 1 - m[j]
-                b *= u[j] if on else 1 - u[j]
-            as_match.append(a / (a + b) if a + b else 0.0)
-        matches = sum(g * n for g, n in zip(as_match, histogram, strict=True))
-        others = total - matches
-        new_m = [sum(g * n for v, (g, n) in enumerate(zip(as_match, histogram, strict=True)) if v >> j & 1) / matches for j in range(f)]
-        new_u = [sum((1 - g) * n for v, (g, n) in enumerate(zip(as_match, histogram, strict=True)) if v >> j & 1) / others for j in range(f)]
-        new_p = matches / total
-        moved = max(abs(x - y) for x, y in zip([*new_m, *new_u, new_p], [*m, *u, p], strict=True))
-        m, u, p = new_m, new_u, new_p
+        likely = [np.where(agrees, chance, 1 - chance).prod(1) for chance in (state[:fields], state[fields:-1])]
+        joint = np.array([state[-1] * likely[0], (1 - state[-1]) * likely[1]])
+        share = np.divide(joint[0], joint.sum(0), out=np.zeros(counts.size), where=joint.sum(0) > 0)
+        new = state.copy()
+        for at, weight in ((0, share * counts), (fields, (1 - share) * counts)):
+            if weight.sum() > 0:
+                new[at : at + fields] = np.minimum(weight @ agrees / weight.sum(), 1.0)
+        new[-1] = (share * counts).sum() / counts.sum()
+        moved, state = np.abs(new - state).max(), new
         if moved <= TOLERANCE:
             break
-    return Estimate(tuple(m), tuple(u), p, rounds)
+    return _estimate(state, rounds)
+
+
+def _estimate(state: np.ndarray, rounds: int) -> Estimate:
+    fields = state.size // 2
+    return Estimate(tuple(state[:fields].tolist()), tuple(state[fields:-1].tolist()), float(state[-1]), rounds)
 
 
 def field_weights(m: list[float], u: list[float]) -> list[dict]:
-    """Agreement and disagreement weight of each field, their distance, and its share of the sum of distances."""
+    """Agreement and disagreement weight of each field, their distance, and its share of the sum of distances (equal shares
+    where no field tells anything)."""
     log = lambda x: math.log(x if x > 0 else TINY)
     rows = [{"agree": log(a) - log(b), "disagree": log(1 - a) - log(1 - b)} for a, b in zip(m, u, strict=True)]
     total = sum(abs(r["agree"] - r["disagree"]) for r in rows)
-    return [r | {"range": abs(r["agree"] - r["disagree"]), "share": abs(r["agree"] - r["disagree"]) / total} for r in rows]
+    return [r | {"range": abs(r["agree"] - r["disagree"]), "share": abs(r["agree"] - r["disagree"]) / total if total else 1 / len(rows)} for r in rows]
+
+
+def field_plan(df: DataFrame, uid: str, fields: list[str], bits: int, k: int, method: str = "jaro_winkler", threshold: float = 0.7, q: int = 2, blocks: int = 4) -> dict:
+    """Averages of the fields, the estimate over all pairs, weights, and the filter sizes that follow from them, in one run.
+
+    The result's "record_count", "fields" and "em" are what ``sources.files.save_statistics`` keeps; "sizes" is a row for each field.
+    """
+    averages = {r["field"]: r.asDict() for r in profile(df, fields).collect()}  # a row for each field
+    found = vector_histogram(similarity_vectors(self_pairs(df, uid, fields, blocks), fields, method, threshold), len(fields))
+    counts = {r.vec: r.n for r in found.collect()}  # 2^fields rows
+    est = expectation_maximisation([counts[v] for v in range(1 << len(fields))])
+    weights = field_weights(list(est.m), list(est.u))
+    out: dict = {"record_count": next(iter(averages.values()))["n"], "fields": {}, "em": {"p": est.p, "iterations": float(est.iterations)}}
+    for j, f in enumerate(fields):
+        out["fields"][f] = {n: v for n, v in averages[f].items() if n.startswith("avg")} | {"m": est.m[j], "u": est.u[j], "share": weights[j]["share"]}
+    grams = [averages[f][f"avg_{q}grams"] for f in fields]
+    out["sizes"] = plan_sizes(fields, grams, [w["share"] for w in weights], bits, k)
+    return out
 
 
 def quality(pairs: DataFrame, score: Column, truth: Column, thresholds: list[float]) -> DataFrame:
@@ -121,7 +153,7 @@ def quality(pairs: DataFrame, score: Column, truth: Column, thresholds: list[flo
 
 def truth_by_digits(a: Column, b: Column) -> Column:
     """Ids such as a123 and b123_4 are the same entity when the digits after the letter agree."""
-    number = lambda c: F.regexp_extract(c, r"^[a|b]([0-9]+)_{0,1}[0-9]*$", 1)
+    number = lambda c: F.regexp_extract(c, r"\A[ab](\d+)(?:_\d+)?\z", 1)
     return (number(a) != "") & (number(a) == number(b))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import types as T
@@ -114,6 +115,15 @@ class EncodingSpec:
         """encoding_field_{bits}_{k}_{q}_src_{field}..., the published naming scheme."""
         return f"encoding_field_{self.bits}_{self.k}_{self.q}_" + "_".join(f"src_{f}" for f in self.fields)
 
+    @staticmethod
+    def from_column(name: str) -> EncodingSpec:
+        """The CLK spec that a published column name stands for (the inverse of ``column``)."""
+        found = re.fullmatch(r"encoding_field_(\d+)_(\d+)_(\d+)_src_(.+)", name)
+        if not found:
+            raise ValueError(f"{name!r} is no name of an encoded column")
+        bits, k, q = (int(found[i]) for i in (1, 2, 3))
+        return EncodingSpec.make("CLK", found[4].split("_src_"), k, q, bits=bits)
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 

@@ -173,6 +173,25 @@ def jaro_matches(spark, sf_dir):
     return pairs.where(similarity.similar("jaro_winkler", F.col("n_name_a"), F.col("n_name_b"), 0.6)).select("n_nationkey_a", "n_nationkey_b")
 
 
+def jaro_winkler_scores(spark, sf_dir):
+    """Names with long common beginnings, most of them above the 0.7 from which on these count."""
+    names = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    score = similarity.score("jaro_winkler", F.col("s_name_a"), F.col("s_name_b"))
+    return linkage.self_pairs(names, "s_suppkey", ["s_name"], blocks=4).select("s_suppkey_a", "s_suppkey_b", F.round(score, 6).alias("score"))
+
+
+def blocking_metrics(spark, sf_dir):
+    groups = blocking_groups(BITS, GROUP_BITS, GROUPS, SEED)
+    made = blocking.metrics(_clk(spark, sf_dir), _clk(spark, sf_dir, True), groups, COLLISIONS, DISTANCE, F.col("aid") == F.col("bid"))
+    return made.select(*[F.col(c).cast("bigint").alias(c) if c != "strategy" else F.col(c) for c in made.columns])
+
+
+def cross_similarity(spark, sf_dir):
+    nation, region = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    dice = similarity.score("dice_bigrams", F.col("n_name"), F.col("r_name"))
+    return linkage.cross_pairs(nation, region).select("n_nationkey", "r_regionkey", F.round(dice, 6).alias("dice"))
+
+
 def _vectors(spark, sf_dir):
     rows = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(12,2)").cast("string").alias("balance"))
     return linkage.similarity_vectors(linkage.self_pairs(rows, "s_suppkey", ["s_name", "balance"], blocks=4), ["s_name", "balance"])
@@ -194,8 +213,8 @@ def linkage_scores(spark, sf_dir):
 def em_estimate(spark, sf_dir):
     counts = {r.vec: r.n for r in vector_histogram(spark, sf_dir).collect()}  # 2^2 rows
     est = linkage.expectation_maximisation([counts[v] for v in range(4)])
-    rows = [(j, est.m[j], est.u[j], est.p, est.iterations) for j in range(2)]
-    return spark.createDataFrame(rows, "field int, m double, u double, p double, iterations int")
+    rows = [(j, round(est.m[j], 6), round(est.u[j], 6), round(est.p, 6), est.iterations) for j in range(2)]
+    return spark.createDataFrame(rows, "field bigint, m double, u double, p double, iterations bigint")
 
 
 def field_weights(spark, sf_dir):
@@ -256,7 +275,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         qgram_bag, qgram_unique, qgram_number, qgram_boolean, profile_fields, hmac_positions, clk_native, private_similarity, hamming_native, lsh_keys, lsh_key_statistics, lsh_buckets,
         lsh_candidates, fps_frequent, blocking_summary, optimal_parameters, clear_similarity, jaro_matches, vector_histogram, linkage_scores, em_estimate, field_weights, pair_ranks, sort_with_uid,
-        csv_import, csv_import_customers, linkage_quality, distance_statistics, stable_sample,
+        jaro_winkler_scores, blocking_metrics, cross_similarity, csv_import, csv_import_customers, linkage_quality, distance_statistics, stable_sample,
     )
     out = {f.__name__: f for f in plain}
     out |= {f"{n}_encode": _encoded(s) for n, s in (("clk", clk_spec()), ("fbf", fbf_spec()), ("rbf", rbf_spec()))}
@@ -362,6 +381,35 @@ def _score_sql(method: str, q: int) -> str:
     return f"round(coalesce({count(x, y)}, 0) / (sqrt({count(x, x)}) * sqrt({count(y, y)})), 6)"
 
 
+def _dice_sql(a: str, b: str) -> str:
+    u, v = f"list_distinct({_bag(a, 2)})", f"list_distinct({_bag(b, 2)})"
+    return f"round(2 * len(list_intersect({u}, {v})) / (len({u}) + len({v})), 6)"
+
+
+def _em_sql(vec: str) -> str:
+    """Two fields, four frequencies: the state is one row, a round is one step of the recursion."""
+    cell = lambda v, m, p: f"{p} * {' * '.join(f'{m}{j}' if v >> j & 1 else f'(1 - {m}{j})' for j in range(2))}"
+    share = ", ".join(f"coalesce(n{v} * ({cell(v, 'm', 'p')}) / nullif(({cell(v, 'm', 'p')}) + ({cell(v, 'u', '(1 - p)')}), 0), 0) AS g{v}" for v in range(4))
+    new_m = [f"coalesce((g{1 << j} + g3) / nullif(g0 + g1 + g2 + g3, 0), m{j})" for j in range(2)]
+    others = lambda v: f"(n{v} - g{v})"
+    new_u = [f"coalesce(({others(1 << j)} + {others(3)}) / nullif({' + '.join(map(others, range(4)))}, 0), u{j})" for j in range(2)]
+    news = dict(zip(("m0", "m1", "u0", "u1", "p"), [*new_m, *new_u, "(g0 + g1 + g2 + g3) / (n0 + n1 + n2 + n3)"], strict=True))
+    moved = ", ".join(f"abs({x} - {n})" for n, x in news.items())
+    step = f"SELECT i + 1, {', '.join(news.values())}, greatest({moved}) FROM (SELECT *, {share} FROM s, h WHERE i < {linkage.ITERATIONS} AND moved > {linkage.TOLERANCE})"
+    count = ", ".join(f"(SELECT count(*) FROM v WHERE vec = {v})::DOUBLE AS n{v}" for v in range(4))
+    start = "SELECT 0 AS i, 0.9::DOUBLE AS m0, 0.9::DOUBLE AS m1, 0.001::DOUBLE AS u0, 0.001::DOUBLE AS u1, 0.1::DOUBLE AS p, 1::DOUBLE AS moved"
+    last = "SELECT * FROM s ORDER BY i DESC LIMIT 1"
+    return f"""WITH RECURSIVE {vec.removeprefix("WITH ")}, h AS MATERIALIZED (SELECT {count}), s(i, m0, m1, u0, u1, p, moved) AS ({start} UNION ALL {step}), e AS ({last})
+        SELECT j AS field, round(CASE j WHEN 0 THEN m0 ELSE m1 END, 6) AS m, round(CASE j WHEN 0 THEN u0 ELSE u1 END, 6) AS u, round(p, 6) AS p, CAST(i AS BIGINT) AS iterations FROM e, range(2) r(j)"""
+
+
+def _winkler_sql(a: str, b: str) -> str:
+    j = f"jaro_similarity({a}, {b})"
+    same = f"list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) = substr({b}, i, 1))"
+    prefix = f"coalesce(nullif(list_position({same}, false), 0) - 1, least(length({a}), length({b})))"
+    return f"(CASE WHEN {j} <= 0.7 THEN {j} ELSE {j} + least(0.1::DOUBLE, 1.0::DOUBLE / greatest(length({a}), length({b}))) * {prefix} * (1 - {j}) END)"
+
+
 def _avg_sql(f: str, number: bool) -> str:
     cols = [f"round(avg(length(CAST({f} AS VARCHAR))), 6) AS avg_length"]
     for q in (2, 3, 4):
@@ -408,6 +456,11 @@ def oracle_sql() -> dict[str, str]:
         "blocking_summary": f"{blocked} SELECT n AS n_a, n AS n_b, (SELECT count(*) FROM freq) AS n_frequent, (SELECT count(*) FROM matched) AS n_matched, n * n AS n_pairs FROM (SELECT count(*) AS n FROM part)",
         "optimal_parameters": "SELECT * FROM (VALUES (1e-2, 2, 29, 16, 43), (1e-3, 4, 52, 23, 75), (1e-4, 6, 74, 31, 106), (1e-5, 7, 91, 39, 131), (1e-6, 9, 114, 46, 162)) t(delta, collisions, n_groups, least, most)",
         "clear_similarity": f"SELECT a.n_nationkey AS n_nationkey_a, b.n_nationkey AS n_nationkey_b, CAST(a.n_name = b.n_name AS DOUBLE) AS exact, {', '.join(f'{_score_sql(m, q)} AS {m}_{s}' for m in ('jaccard', 'dice', 'cosine') for s, q in similarity.SIZES.items())} FROM {pairs}",
+        "em_estimate": _em_sql(vec),
+        "jaro_winkler_scores": f"SELECT a.s_suppkey AS s_suppkey_a, b.s_suppkey AS s_suppkey_b, round({_winkler_sql('a.s_name', 'b.s_name')}, 6) AS score FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey",
+        "blocking_metrics": f"""{blocked} SELECT {COLLISIONS}::BIGINT AS collisions, {GROUPS}::BIGINT AS n_groups, {GROUP_BITS}::BIGINT AS k, 'shuffle' AS strategy, (SELECT count(*) FROM (SELECT DISTINCT aid, bid FROM pairs)) AS n_candidates,
+            (SELECT count(*) FROM freq) AS n_frequent, (SELECT count(*) FROM matched) AS n_matched, (SELECT count(*) FROM matched WHERE aid = bid) AS n_true""",
+        "cross_similarity": f"SELECT n_nationkey, r_regionkey, {_dice_sql('n_name', 'r_name')} AS dice FROM nation CROSS JOIN region",
         "jaro_matches": f"SELECT a.n_nationkey AS n_nationkey_a, b.n_nationkey AS n_nationkey_b FROM {pairs} WHERE jaro_similarity(a.n_name, b.n_name) >= 0.6",
         "vector_histogram": f"{vec} SELECT r.vec, count(v.vec) AS n FROM range(4) r(vec) LEFT JOIN v USING (vec) GROUP BY r.vec",
         "linkage_scores": f"{vec} SELECT s_suppkey_a, s_suppkey_b, vec, round({score}, 6) AS score, {score} + ln({P} / (1 - {P})) >= 0 AS link FROM v",

@@ -77,6 +77,43 @@ def import_bibliography(spark: SparkSession, path: str, out: str, parts: int | N
     df.write.parquet(out)
 
 
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text, through Spark's file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def save_statistics(spark: SparkSession, path: str, stats: dict) -> None:
+    _put_text(spark, path, stats_to_properties(stats))
+
+
+def load_statistics(spark: SparkSession, path: str) -> dict:
+    return stats_from_properties(_get_text(spark, path))
+
+
+def save_schema(df: DataFrame, path: str) -> None:
+    """The schema with its metadata (the encoding among it), as JSON."""
+    _put_text(df.sparkSession, path, df.schema.json())
+
+
+def load_schema(spark: SparkSession, path: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(_get_text(spark, path)))
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """A row for each column: position, name, type, nullable, and its encoding (else null)."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("encoding")) for i, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "position int, name string, type string, nullable boolean, encoding string")
+
+
 def stats_to_properties(stats: dict) -> str:
     """Statistics as key=value lines: record.count, field.names, f.{field}.{measure}, em.*."""
     lines = [f"record.count={stats['record_count']}", "field.names=" + ",".join(stats["fields"])]

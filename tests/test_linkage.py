@@ -228,3 +228,60 @@ def test_streamed_linkage(spark, tmp_path):
     finally:
         q.stop()
     assert set(out) == {("1", "1"), ("2", "2")}
+
+
+def test_null_filters_and_bits(spark):
+    rows = [(1, bytes([0b101, 0]), bytes([0b100, 0b1])), (2, None, bytes(2)), (3, bytes(2), bytes(2)), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, a binary, b binary")
+    got = {r.id: r for r in df.select("id", bits.hamming(F.col("a"), F.col("b")).alias("h"), bits.common_ones(F.col("a"), F.col("b")).alias("c"), bits.jaccard(F.col("a"), F.col("b")).alias("j"), bits.dice(F.col("a"), F.col("b")).alias("d"), bits.similar("hamming", F.col("a"), F.col("b"), 3).alias("s")).collect()}
+    assert (got[1].h, got[1].c, got[1].s) == (2, 1, True) and abs(got[1].j - 1 / 3) < 1e-9 and got[1].d == 0.5
+    assert all((got[i].h, got[i].c, got[i].j, got[i].d, got[i].s) == (None, None, None, None, False) for i in (2, 4)) and got[3].j is None
+    one = df.where("id = 1").select(bits.count_ones(F.col("a"), 16).alias("n"), bits.set_positions(F.col("b"), 16).alias("on"), bits.set_positions(F.col("a"), 10, ones=False).alias("off"), bits.test_bit(F.col("b"), 8).alias("t"), bits.show_bits(F.col("b")).alias("x")).first()
+    assert tuple(one) == (2, [2, 8], [1, 3, 4, 5, 6, 7, 8, 9], True, "0104")
+    keys = blocking.lsh_keys(df, [[0, 2], [8, 9]], "a")
+    assert sorted((r.id, r.grp, r.key) for r in keys.collect()) == [(1, 0, 3), (1, 1, 0), (3, 0, 0), (3, 1, 0)]
+
+
+def test_estimates_of_edge_histograms():
+    assert linkage.expectation_maximisation([0, 0, 0, 0]).iterations == 0
+    one_sided = linkage.expectation_maximisation([0, 0, 0, 10])
+    assert all(0 <= x <= 1 for x in (*one_sided.m, *one_sided.u, one_sided.p))
+    assert [r["share"] for r in linkage.field_weights([0.5, 0.5], [0.5, 0.5])] == [0.5, 0.5]
+
+
+def test_files_of_a_plan(spark, tmp_path):
+    people = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate([("ann", "smith"), ("anne", "smith"), ("bob", "jones"), ("bobby", "jones"), ("carl", "brown")])], "uid int, name string, surname string")
+    plan = linkage.field_plan(people, "uid", ["name", "surname"], 512, 10)
+    files.save_statistics(spark, f"file://{tmp_path}/stats.properties", plan)
+    back = files.load_statistics(spark, f"file://{tmp_path}/stats.properties")
+    assert back["record_count"] == 5 and back["fields"] == plan["fields"] and back["em"] == plan["em"]
+    assert [r["field"] for r in plan["sizes"]] == ["name", "surname"] and abs(sum(r["weight"] for r in plan["sizes"]) - 1) < 1e-9
+    spec = EncodingSpec.make("CLK", ["name", "surname"], 10, 2, bits=512)
+    made = encode.encode(people, spec, b"key", ["uid"], name="enc")
+    files.save_schema(made, f"file://{tmp_path}/schema.json")
+    assert EncodingSpec.of(files.load_schema(spark, f"file://{tmp_path}/schema.json")) == spec == EncodingSpec.from_column(spec.column)
+    with pytest.raises(ValueError):
+        EncodingSpec.from_column("name")
+    assert [(r.name, r.encoding is None) for r in files.describe(made).orderBy("position").collect()] == [("uid", True), ("enc", False)]
+    files.write_dataset(made, f"file://{tmp_path}/d", parts=2)
+    assert files.read_dataset(spark, f"file://{tmp_path}/d").count() == 5 and files.read_dataset(spark, f"file://{tmp_path}/d", limit=2, order_by=["uid"]).count() == 2
+
+
+def test_timed_runs(spark, tmp_path):
+    spec = EncodingSpec.make("CLK", ["name"], 10, 2, bits=256)
+    people = encode.encode(spark.createDataFrame([(i, f"person {i % 7}") for i in range(20)], "id int, name string"), spec, b"key", ["id"], name="enc")
+    groups = blocking_groups(256, 8, 4, 1)
+    runs = {s: (people, people, groups, 2, 5, F.col("aid") == F.col("bid"), "hamming", s) for s in ("shuffle", "records")}
+    a, b = blocking.timed_runs(runs, f"{tmp_path}/runs.csv")
+    assert {k: v for k, v in a.items() if k not in ("run", "strategy", "seconds")} == {k: v for k, v in b.items() if k not in ("run", "strategy", "seconds")} and a["n_true"] == 20
+    assert open(f"{tmp_path}/runs.csv").read().count("\n") == 3
+
+
+def test_seldom_called_functions(spark):
+    datasets.check_name("people_1")
+    with pytest.raises(ValueError):
+        datasets.check_name("no name")
+    assert 0 < datasets.quick_sample(spark.range(100), 10, 1).count() <= 10
+    assert abs(bits.false_positive_rate(1024, 10, 50) - (1 - math.exp(-500 / 1024)) ** 10) < 1e-12
+    places = hashing.linear_positions("_a", 1024, 5, b"key")
+    assert len(places) == 5 and all(0 <= p < 1024 for p in places) and (places[2] - places[1]) % 1024 == (places[1] - places[0]) % 1024
