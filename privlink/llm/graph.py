@@ -1,9 +1,9 @@
 """Connected components of a link table by alternating large and small stars, all in DataFrame operations.
 
 Each round replaces a node's links by links to the smallest node in sight and ends when nothing changes; the number of
-rounds grows with the logarithm of the largest component.  Minima are formed by partial aggregations.  They are written
-before links are joined with them: both sides of that join are shuffled then, and only such a join is split by adaptive
-execution where a node has very many links.  Each round is written to the shared folder.
+rounds grows with the logarithm of the largest component.  Minima are formed by partial aggregations.  The joins that hand them
+back are not split by adaptive execution, as one side is an aggregate over its own shuffle: the links of one node (two numbers
+each) meet in one task.  Each round is written to the shared folder.
 
 Defined results: links of a node with itself and repeated links add nothing; without links there is no row; nulls are not
 allowed.
@@ -31,7 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(edges)
     for _ in range(MOST_ROUNDS if mark[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
