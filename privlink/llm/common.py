@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship  # noqa: F401  the operators take it from here
+from .. import runtime
 
+#: Bytes of a batch that goes to a Python worker.  The JVM and the worker hold a batch several times over, and neither gives all of
+#: that memory back; a row that is larger goes alone.
+BATCH_BYTES = 4 << 20
 #: ASCII white space as the contracts count it (a fixed value): space, \t \n \v \f \r.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,6 +20,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _local_dir: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, and bound the batches that they get by BATCH_BYTES.
+
+    The bound is a setting of the session and stays, as results are lazy; a smaller one of the session is left as it is.
+    """
+    runtime.ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from privlink.llm import bpe, decontaminate, exact, graph, html, lines, minhash, queries, token_files, toxicity, urls, warc
+from privlink.llm import bpe, common, decontaminate, exact, graph, html, lines, minhash, queries, token_files, toxicity, urls, warc
 
 SCHEMA = "doc_id bigint, text string, id string, n int, line string"  # the last three clash with names used inside
 
@@ -463,3 +463,15 @@ def test_names_of_helper_columns(spark):
         assert made.columns == df.columns and {r.doc_id: tuple(r) for r in made.collect()} == {i: whole[i] for i in left}
     assert set(bpe.encode_decode(df, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern(), outputs=("n_tokens",)).columns) == {"doc_id", "n_tokens"}
     assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").collect()} == {0, 2, 3}
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, kept in (("64m", common.BATCH_BYTES), ("-1", common.BATCH_BYTES), ("100000", 100_000)):
+            spark.conf.set(key, given)
+            common.ship(spark)
+            assert int(spark.conf.get(key).rstrip("b")) == kept
+    finally:
+        spark.conf.set(key, before)
