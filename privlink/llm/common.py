@@ -28,7 +28,7 @@ def ship(spark: SparkSession) -> None:
     runtime.ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
-    if not 0 < now <= BATCH_BYTES:
+    if now > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
