@@ -191,3 +191,14 @@ def summary(a: DataFrame, b: DataFrame, freq: DataFrame, matched: DataFrame) ->
     one = lambda df, name: df.agg(F.count("*").alias(name))
     out = one(a, "n_a").join(one(b, "n_b")).join(one(freq, "n_frequent")).join(one(matched, "n_matched"))  # one row each
     return out.withColumn("n_pairs", F.col("n_a") * F.col("n_b"))
+
+def blocked_summary(a: DataFrame, b: DataFrame, groups: list[list[int]], collisions: int, threshold: float, method: str = "hamming", strategy: str = "shuffle") -> DataFrame:
+    """``summary`` of a run of ``block`` and its frequent pairs, from the sizes of classes: no pair of copies is made."""
+    enc_a, enc_b = _encoded(a), _encoded(b)
+    (heads_a, members_a), (heads_b, members_b) = classes(a, enc_a), classes(b, enc_b)
+    freq = frequent(candidates(lsh_keys(heads_a, groups, enc_a), lsh_keys(heads_b, groups, enc_b), strategy), collisions)
+    matched = verify(freq, heads_a, heads_b, enc_a, enc_b, method, threshold, records=strategy == "records")
+    rows = lambda df, name: df.agg(F.count("*").alias(name))
+    pairs = lambda df, name: weigh(df, members_a, members_b).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    out = rows(a, "n_a").join(rows(b, "n_b")).join(pairs(freq, "n_frequent")).join(pairs(matched, "n_matched"))  # one row each
+    return out.withColumn("n_pairs", F.col("n_a") * F.col("n_b"))

@@ -151,8 +151,8 @@ def _matched(strategy: str):
 
 
 def blocking_summary(spark, sf_dir):
-    a, b = _clk(spark, sf_dir), _clk(spark, sf_dir, True)
-    return blocking.summary(a, b, fps_frequent(spark, sf_dir), _matched("shuffle")(spark, sf_dir))
+    groups = blocking_groups(BITS, GROUP_BITS, GROUPS, SEED)
+    return blocking.blocked_summary(_clk(spark, sf_dir), _clk(spark, sf_dir, True), groups, COLLISIONS, DISTANCE)
 
 
 def optimal_parameters(spark, sf_dir):

@@ -60,3 +60,14 @@ def test_metrics_of_copies(hot):
     assert (got.n_candidates, got.n_frequent, got.n_matched) == (4 * 10**8, 4 * 10**8, 0) and time.time() - start < 20
 
 
+def classed(spark):
+    (a, members_a), (b, members_b) = (blocking.classes(x, "enc") for x in sides(spark))
+    return blocking.candidates(*(blocking.lsh_keys(x, GROUPS, "enc") for x in (a, b)), "shuffle"), members_a, members_b
+
+
+def test_summary_of_classes(spark):
+    a, b = sides(spark)
+    _, often, matched = by_hand(4)
+    got = blocking.blocked_summary(a, b, GROUPS, 4, 2).first()
+    assert tuple(got) == (len(SIDE_A), len(SIDE_B), len(often), len(matched), len(SIDE_A) * len(SIDE_B))
+    assert tuple(blocking.blocked_summary(a.limit(0), b, GROUPS, 4, 2).first()) == (0, len(SIDE_B), 0, 0, 0)
