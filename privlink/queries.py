@@ -134,12 +134,19 @@ def lsh_buckets(spark, sf_dir):
     return made.select(F.col("grp").cast("bigint").alias("grp"), "key", F.array_join("ids", " ").alias("ids"))
 
 
+def _class_pairs(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of classes, once for each key that they share, and the members of both sides' classes."""
+    (a, members_a), (b, members_b) = (blocking.classes(x, "enc") for x in (a, b))
+    return blocking.candidates(_keys(a), _keys(b), "shuffle"), members_a, members_b
+
+
 def lsh_candidates(spark, sf_dir):
     return blocking.candidates(_keys(_clk(spark, sf_dir)), _keys(_clk(spark, sf_dir, True)), "shuffle").distinct()
 
 
 def fps_frequent(spark, sf_dir):
-    return blocking.frequent(blocking.candidates(_keys(_clk(spark, sf_dir)), _keys(_clk(spark, sf_dir, True)), "shuffle"), COLLISIONS)
+    pairs, *members = _class_pairs(_clk(spark, sf_dir), _clk(spark, sf_dir, True))
+    return blocking.expand(blocking.frequent(pairs, COLLISIONS), *members)
 
 
 def _matched(strategy: str):

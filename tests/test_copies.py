@@ -71,3 +71,8 @@ def test_summary_of_classes(spark):
     got = blocking.blocked_summary(a, b, GROUPS, 4, 2).first()
     assert tuple(got) == (len(SIDE_A), len(SIDE_B), len(often), len(matched), len(SIDE_A) * len(SIDE_B))
     assert tuple(blocking.blocked_summary(a.limit(0), b, GROUPS, 4, 2).first()) == (0, len(SIDE_B), 0, 0, 0)
+
+
+def test_frequent_pairs_of_members(spark):
+    pairs, *members = classed(spark)
+    assert {(r.aid, r.bid): r.hits for r in blocking.expand(blocking.frequent(pairs, 4), *members).collect()} == by_hand(4)[1]
