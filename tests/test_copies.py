@@ -76,3 +76,8 @@ def test_summary_of_classes(spark):
 def test_frequent_pairs_of_members(spark):
     pairs, *members = classed(spark)
     assert {(r.aid, r.bid): r.hits for r in blocking.expand(blocking.frequent(pairs, 4), *members).collect()} == by_hand(4)[1]
+
+
+def test_candidates_of_members(spark):
+    pairs, *members = classed(spark)
+    assert sorted(map(tuple, blocking.expand(pairs.distinct(), *members).collect())) == sorted(by_hand(1)[0])
