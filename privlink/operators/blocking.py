@@ -78,6 +78,12 @@ def weigh(pairs: DataFrame, members_a: DataFrame, members_b: DataFrame) -> DataF
     return pairs.join(a, "aid").join(b, "bid").select(*pairs.columns, (F.col("_na") * F.col("_nb")).alias("n"))
 
 
+def same_ids(members_a: DataFrame, members_b: DataFrame) -> DataFrame:
+    """(aid, bid, n): of each pair of classes with ids in common, how many."""
+    a, b = members_a.toDF("_id", "aid"), members_b.toDF("_id", "bid")
+    return a.join(b, "_id").groupBy("aid", "bid").agg(F.count("*").alias("n"))
+
+
 def check(a: EncodingSpec, b: EncodingSpec, groups: int, k: int, collisions: int) -> None:
     """Both sides are encoded alike; a pair can reach the collisions asked for."""
     if (a.scheme, a.bits, a.k, a.q, a.sizes, a.drawn, a.seeds, a.permutation_seed) != (b.scheme, b.bits, b.k, b.q, b.sizes, b.drawn, b.seeds, b.permutation_seed):
@@ -192,6 +198,7 @@ def summary(a: DataFrame, b: DataFrame, freq: DataFrame, matched: DataFrame) ->
     out = one(a, "n_a").join(one(b, "n_b")).join(one(freq, "n_frequent")).join(one(matched, "n_matched"))  # one row each
     return out.withColumn("n_pairs", F.col("n_a") * F.col("n_b"))
 
+
 def blocked_summary(a: DataFrame, b: DataFrame, groups: list[list[int]], collisions: int, threshold: float, method: str = "hamming", strategy: str = "shuffle") -> DataFrame:
     """``summary`` of a run of ``block`` and its frequent pairs, from the sizes of classes: no pair of copies is made."""
     enc_a, enc_b = _encoded(a), _encoded(b)

@@ -257,10 +257,14 @@ def csv_import_customers(spark, sf_dir):
 
 
 def linkage_quality(spark, sf_dir):
-    a, b = _clk(spark, sf_dir), _clk(spark, sf_dir, True)
-    freq = fps_frequent(spark, sf_dir)
-    both = freq.join(a.select(F.col("id").alias("aid"), F.col("enc").alias("x")), "aid").join(b.select(F.col("id").alias("bid"), F.col("enc").alias("y")), "bid")
-    made = linkage.quality(both, F.round(bits.jaccard(F.col("x"), F.col("y")), 9), F.col("aid") == F.col("bid"), THRESHOLDS)
+    """Scores are those of classes; each stands for its pairs of one id and for its others."""
+    (a, members_a), (b, members_b) = (blocking.classes(_clk(spark, sf_dir, typo), "enc") for typo in (False, True))
+    freq = blocking.weigh(blocking.frequent(blocking.candidates(_keys(a), _keys(b), "shuffle"), COLLISIONS), members_a, members_b)
+    same = blocking.same_ids(members_a, members_b).withColumnRenamed("n", "same")
+    both = freq.join(a.toDF("aid", "x"), "aid").join(b.toDF("bid", "y"), "bid").join(same, ["aid", "bid"], "left")
+    scored = both.select(F.round(bits.jaccard(F.col("x"), F.col("y")), 9).alias("score"), "n", F.coalesce("same", F.lit(0)).alias("same"))
+    parts = F.explode(F.array(F.struct(F.lit(True).alias("truth"), F.col("same").alias("n")), F.struct(F.lit(False).alias("truth"), (F.col("n") - F.col("same")).alias("n"))))
+    made = linkage.quality(scored.select("score", parts.alias("p")), F.col("score"), F.col("p.truth"), THRESHOLDS, F.col("p.n"))
     return made.select("threshold", "tm", "fm", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from privlink.operators import blocking
+from privlink.operators import blocking, linkage
 from privlink.plans.spec import EncodingSpec, blocking_groups
 
 #: Ids that repeat (with one filter and with two), a null id, copies and a null filter.
@@ -81,3 +81,16 @@ def test_frequent_pairs_of_members(spark):
 def test_candidates_of_members(spark):
     pairs, *members = classed(spark)
     assert sorted(map(tuple, blocking.expand(pairs.distinct(), *members).collect())) == sorted(by_hand(1)[0])
+
+
+def test_quality_of_counted_rows(spark):
+    pairs, *members = classed(spark)
+    sized = blocking.weigh(pairs.distinct(), *members).collect()
+    same = {(r.aid, r.bid): r.n for r in blocking.same_ids(*members).collect()}
+    hits = by_hand(1)[0]
+    assert sum(r.n for r in sized) == len(hits) and sum(same.get((r.aid, r.bid), 0) for r in sized) == sum(i == j for i, j in hits)
+    rows = spark.createDataFrame([(0.9, True, 3), (0.9, False, 2), (0.4, True, 1), (0.4, False, 0)], "s double, t boolean, n bigint")
+    each = rows.select("s", "t", F.explode(F.expr("if(n > 0, sequence(1, n), array())")))
+    args = F.col("s"), F.col("t"), [0.5, 0.8]
+    counted = sorted(map(tuple, linkage.quality(rows, *args, F.col("n")).collect()))
+    assert counted == sorted(map(tuple, linkage.quality(each, *args).collect())) and counted[0][1:5] == (3, 2, 0, 1)
