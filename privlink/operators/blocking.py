@@ -19,11 +19,12 @@ import time
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..plans.spec import EncodingSpec
+from . import datasets
 
 #: auto: B's keys are broadcast if few; records: B's keys and its filters are, so that a pair is verified where it is found.
 STRATEGIES = ("auto", "shuffle", "broadcast", "records")
@@ -60,9 +61,8 @@ def classes(df: DataFrame, enc: str, id_col: str = "id") -> tuple[DataFrame, Dat
 
     Ids are in one class if their filters are the same, all of them where an id repeats; nulls on either side are in none.
     """
-    there = df.where(F.col(enc).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(enc)).alias("_f"))
-    named = there.withColumn("cls", F.min("id").over(Window.partitionBy("_f")))
-    return named.where("id = cls").select(F.col("id").alias(id_col), F.explode("_f").alias(enc)), named.select("id", "cls")
+    heads, members = datasets.classes(df.where(F.col(enc).isNotNull()), id_col, [enc])
+    return heads.drop("size"), members
 
 
 def expand(pairs: DataFrame, members_a: DataFrame, members_b: DataFrame) -> DataFrame:

@@ -79,3 +79,17 @@ def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
 def quick_sample(df: DataFrame, n: int, seed: int, fraction: float = 0.5) -> DataFrame:
     """One pass: each row with the given probability, the first n; may give fewer."""
     return df.sample(fraction, seed).limit(n)
+
+
+def classes(df: DataFrame, id_col: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows (id_col, cols, size) of each class's least id, which names the class, and the members (id, cls) of all classes.
+
+    Ids with the same ``cols`` are one class of so many ids (all their rows, where an id repeats); null ids are in none.
+    """
+    from pyspark.sql import Window
+
+    there = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_r"))
+    same = Window.partitionBy("_r")
+    named = there.withColumns({"cls": F.min("id").over(same), "size": F.count("*").over(same)})
+    heads = named.where("id = cls").select("id", "size", F.explode("_r").alias("_r"))
+    return heads.select(F.col("id").alias(id_col), *[F.col("_r")[c].alias(c) for c in cols], "size"), named.select("id", "cls")

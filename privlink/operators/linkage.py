@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import vector
 from ..plans.spec import plan_sizes
-from .datasets import profile
+from .datasets import classes, profile
 
+#: Rows that may be broadcast as members of classes: some 16 bytes each.
+BROADCAST_ROWS = 2_000_000
+#: Members of a class on the left side that one task lists at a time.
+CHUNK = 1024
 ITERATIONS, TOLERANCE, TINY = 1000, 1e-5, 5e-324
 
 
@@ -38,6 +42,41 @@ def self_pairs(df: DataFrame, uid: str, fields: list[str], blocks: int = 1) -> D
     return a.join(b, ["_i", "_j"]).where(F.col(f"{uid}_a") < F.col(f"{uid}_b")).drop("_i", "_j")
 
 
+def class_pairs(df: DataFrame, uid: str, fields: list[str], blocks: int = 8) -> tuple[DataFrame, DataFrame]:
+    """All pairs of classes of rows with the same fields, each class with itself too: cls_a, cls_b, size_a, size_b, and the fields as
+    {field}_a and {field}_b; and the members (id, cls) of the classes.
+
+    What depends on the fields alone is computed on these pairs; ``member_pairs`` lists those of ``self_pairs`` from them.  ``blocks``
+    deals the classes as there, over blocks * blocks tasks.
+    """
+    heads, members = classes(df, uid, fields)
+    part = F.pmod(F.xxhash64(uid), F.lit(blocks)).cast("int")
+    dealt = heads.withColumnRenamed("size", "_size").withColumn("_p", part).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cols = lambda s: [F.col(uid).alias(f"cls_{s}"), F.col("_size").alias(f"size_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in fields]]
+    a = dealt.select(*cols("a"), F.col("_p").alias("_i"), F.col("_o").alias("_j")).repartition(blocks * blocks, "_i", "_j")
+    b = dealt.select(*cols("b"), F.col("_o").alias("_i"), F.col("_p").alias("_j")).repartition(blocks * blocks, "_i", "_j")
+    return a.join(b, ["_i", "_j"]).drop("_i", "_j"), members
+
+
+def member_pairs(pairs: DataFrame, members: DataFrame, uid: str) -> DataFrame:
+    """Pairs (cls_a, cls_b, others) of classes as the pairs (uid_a, uid_b, others) of members with uid_a < uid_b.
+
+    Members are broadcast if few.  A class of many members is listed in chunks, by several tasks.
+    """
+    spark = pairs.sparkSession
+    rest = [c for c in pairs.columns if c not in ("cls_a", "cls_b")]
+    hold = F.broadcast if members.count() <= BROADCAST_ROWS else lambda df: df
+    from pyspark.sql import Window
+
+    size = F.count("*").over(Window.partitionBy("cls"))
+    left = members.withColumn("_k", F.pmod(F.xxhash64("id"), F.ceil(size / CHUNK))).select(F.col("cls").alias("cls_a"), "_k", F.col("id").alias(f"{uid}_a"))
+    right = members.select(F.col("cls").alias("cls_b"), F.col("id").alias(f"{uid}_b"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = pairs.join(hold(left.select("cls_a", "_k").distinct()), "cls_a").repartition(tasks, "cls_a", "cls_b", "_k")
+    both = chunks.join(hold(left), ["cls_a", "_k"]).join(hold(right), "cls_b")
+    return both.where(F.col(f"{uid}_a") < F.col(f"{uid}_b")).select(f"{uid}_a", f"{uid}_b", *rest)
+
+
 def cross_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every row of a with every row of b."""
     return a.crossJoin(b)
@@ -67,8 +106,30 @@ def similarity_vectors(pairs: DataFrame, fields: list[str], method: str = "jaro_
 
 def vector_histogram(vectors: DataFrame, count: int) -> DataFrame:
     """(vec, n) for each of the 2^count vectors, also where there is none."""
-    every = vectors.sparkSession.range(1 << count).select(F.col("id").cast("int").alias("vec"))
-    found = vectors.groupBy("vec").agg(F.count("*").alias("n"))
+    return _every_vector(vectors.groupBy("vec").agg(F.count("*").alias("n")), count)
+
+
+def pair_histogram(df: DataFrame, uid: str, fields: list[str], method: str = "jaro_winkler", threshold: float = 0.7, blocks: int = 8) -> DataFrame:
+    """``vector_histogram`` of the similarity vectors of all pairs of rows, from the sizes of classes: no pair of copies is made.
+
+    Where a pair of classes has another vector the other way round, its members' pairs are listed, as their order tells which.
+    """
+    pairs, members = class_pairs(df, uid, fields, blocks)
+    way = lambda x, y: vector([(F.col(f"{f}_{x}"), F.col(f"{f}_{y}")) for f in fields], method, threshold)
+    one, other = F.col("cls_a") == F.col("cls_b"), F.col("vec") != F.col("rev")
+    scored = pairs.where("cls_a <= cls_b").withColumns({"vec": way("a", "b"), "rev": way("b", "a")})
+    pairs_of = F.when(one, F.expr("size_a * (size_a - 1) div 2")).otherwise(F.col("size_a") * F.col("size_b"))
+    open_ = ~one & other
+    kinds = scored.groupBy("vec", F.when(open_, F.col("rev")).alias("rev"), F.when(open_, F.col("cls_a")).alias("cls_a"), F.when(open_, F.col("cls_b")).alias("cls_b"))
+    kinds = kinds.agg(F.sum(pairs_of).alias("n"), F.count("*").alias("rows"))
+    a, b = members.toDF("_a", "cls_a"), members.toDF("_b", "cls_b")
+    listed = kinds.where("rev is not null").join(a, "cls_a").join(b, "cls_b").select(F.when(F.col("_a") < F.col("_b"), F.col("vec")).otherwise(F.col("rev")).alias("vec"), F.col("rows").alias("n"))
+    both = kinds.where("rev is null").select("vec", "n").unionByName(listed)
+    return _every_vector(both.groupBy("vec").agg(F.sum("n").alias("n")), len(fields))
+
+
+def _every_vector(found: DataFrame, count: int) -> DataFrame:
+    every = found.sparkSession.range(1 << count).select(F.col("id").cast("int").alias("vec"))
     return every.join(found, "vec", "left").select("vec", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
@@ -129,8 +190,7 @@ def field_plan(df: DataFrame, uid: str, fields: list[str], bits: int, k: int, me
     The result's "record_count", "fields" and "em" are what ``sources.files.save_statistics`` keeps; "sizes" is a row for each field.
     """
     averages = {r["field"]: r.asDict() for r in profile(df, fields).collect()}  # a row for each field
-    found = vector_histogram(similarity_vectors(self_pairs(df, uid, fields, blocks), fields, method, threshold), len(fields))
-    counts = {r.vec: r.n for r in found.collect()}  # 2^fields rows
+    counts = {r.vec: r.n for r in pair_histogram(df, uid, fields, method, threshold, blocks).collect()}  # 2^fields rows
     est = expectation_maximisation([counts[v] for v in range(1 << len(fields))])
     weights = field_weights(list(est.m), list(est.u))
     out: dict = {"record_count": next(iter(averages.values()))["n"], "fields": {}, "em": {"p": est.p, "iterations": float(est.iterations)}}

@@ -202,22 +202,22 @@ def cross_similarity(spark, sf_dir):
     return linkage.cross_pairs(nation, region).select("n_nationkey", "r_regionkey", F.round(dice, 6).alias("dice"))
 
 
-def _vectors(spark, sf_dir):
-    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(12,2)").cast("string").alias("balance"))
-    return linkage.similarity_vectors(linkage.self_pairs(rows, "s_suppkey", ["s_name", "balance"], blocks=4), ["s_name", "balance"])
+def _balances(spark, sf_dir):
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(12,2)").cast("string").alias("balance"))
 
 
 def vector_histogram(spark, sf_dir):
-    return linkage.vector_histogram(_vectors(spark, sf_dir), 2).select(F.col("vec").cast("bigint").alias("vec"), "n")
+    return linkage.pair_histogram(_balances(spark, sf_dir), "s_suppkey", ["s_name", "balance"]).select(F.col("vec").cast("bigint").alias("vec"), "n")
 
 
 M, U, P = [0.95, 0.9], [0.02, 0.1], 0.01
 
 
 def linkage_scores(spark, sf_dir):
-    vec = F.col("vec")
-    scored = _vectors(spark, sf_dir).select("s_suppkey_a", "s_suppkey_b", vec.cast("bigint").alias("vec"), F.round(similarity.linkage_score(vec, M, U), 6).alias("score"), similarity.is_link(vec, M, U, P).alias("link"))
-    return scored
+    vec, fields = F.col("vec"), ["s_name", "balance"]
+    pairs, members = linkage.class_pairs(_balances(spark, sf_dir), "s_suppkey", fields)
+    scored = linkage.similarity_vectors(pairs, fields).select("cls_a", "cls_b", vec.cast("bigint").alias("vec"), F.round(similarity.linkage_score(vec, M, U), 6).alias("score"), similarity.is_link(vec, M, U, P).alias("link"))
+    return linkage.member_pairs(scored, members, "s_suppkey")
 
 
 def em_estimate(spark, sf_dir):

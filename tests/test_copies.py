@@ -94,3 +94,30 @@ def test_quality_of_counted_rows(spark):
     args = F.col("s"), F.col("t"), [0.5, 0.8]
     counted = sorted(map(tuple, linkage.quality(rows, *args, F.col("n")).collect()))
     assert counted == sorted(map(tuple, linkage.quality(each, *args).collect())) and counted[0][1:5] == (3, 2, 0, 1)
+
+
+#: Rows with repeated ids, null ids, null fields and copies.
+PEOPLE = [(1, "ba", "x"), (2, "ba", "x"), (3, None, "x"), (4, "ab", None), (4, "ba", "x"), (5, "ab", None), (None, "ba", "x"), (6, "aabcbc", "y"), (7, "cabacb", "y"), (8, "aabcbc", "y"), (9, "cabacb", "y"), (0, "cabacb", "y")]
+
+
+def before(fields, method, threshold):
+    """In place of a similarity: another vector the other way round."""
+    return sum((F.when(F.coalesce(a < b, F.lit(False)), 1 << j).otherwise(0) for j, (a, b) in enumerate(fields)), F.lit(0))
+
+
+@pytest.mark.parametrize("other", [None, before])
+def test_histogram_of_classes(spark, monkeypatch, other):
+    if other:
+        monkeypatch.setattr(linkage, "vector", other)
+    df = spark.createDataFrame(PEOPLE, "id int, name string, kind string")
+    want = linkage.vector_histogram(linkage.similarity_vectors(linkage.self_pairs(df, "id", ["name", "kind"]), ["name", "kind"]), 2)
+    assert sorted(map(tuple, linkage.pair_histogram(df, "id", ["name", "kind"], blocks=2).collect())) == sorted(map(tuple, want.collect()))
+    none = linkage.pair_histogram(df.limit(0), "id", ["name", "kind"], blocks=2)
+    assert sorted(map(tuple, none.collect())) == [(v, 0) for v in range(4)]
+
+
+def test_histogram_of_copies(spark):
+    df = spark.range(30_000).select("id", F.concat(F.lit("name"), F.col("id") % 3).alias("name"))
+    start = time.time()
+    assert [r.n for r in linkage.pair_histogram(df, "id", ["name"], threshold=0.99, blocks=2).orderBy("vec").collect()] == [3 * 10**8, 3 * 10_000 * 9_999 // 2]
+    assert time.time() - start < 20
