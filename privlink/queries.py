@@ -116,8 +116,8 @@ def hamming_native(spark, sf_dir):
     """The same distance by built-in expressions on 64-bit words."""
     spec = EncodingSpec.make("CLK", ["s_name", "s_nationkey"], HASHES, Q, bits=512)
     made = encode.encode(_read(spark, sf_dir, "supplier"), spec, KEY, ["s_suppkey"], name="enc").select("s_suppkey", bits.words(F.col("enc"), 512).alias("w"))
-    pairs = linkage.self_pairs(made, "s_suppkey", ["w"])
-    return pairs.select("s_suppkey_a", "s_suppkey_b", bits.hamming_words(F.col("w_a"), F.col("w_b")).cast("bigint").alias("hamming"))
+    pairs, members = linkage.class_pairs(made, "s_suppkey", ["w"])
+    return linkage.member_pairs(pairs.select("cls_a", "cls_b", bits.hamming_words(F.col("w_a"), F.col("w_b")).cast("bigint").alias("hamming")), members, "s_suppkey")
 
 
 def lsh_keys(spark, sf_dir):

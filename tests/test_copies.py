@@ -121,3 +121,16 @@ def test_histogram_of_copies(spark):
     start = time.time()
     assert [r.n for r in linkage.pair_histogram(df, "id", ["name"], threshold=0.99, blocks=2).orderBy("vec").collect()] == [3 * 10**8, 3 * 10_000 * 9_999 // 2]
     assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 1024])
+def test_members_of_class_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(linkage, "CHUNK", chunk)
+    df = spark.createDataFrame(PEOPLE, "id int, name string, kind string")
+    fields = [f"{f}_{s}" for s in "ab" for f in ("name", "kind")]
+    text = lambda rows: sorted(str(tuple(r)) for r in rows)
+    want = text(linkage.self_pairs(df, "id", ["name", "kind"]).select("id_a", "id_b", *fields).collect())
+    pairs, members = linkage.class_pairs(df, "id", ["name", "kind"], blocks=2)
+    assert text(linkage.member_pairs(pairs.select("cls_a", "cls_b", *fields), members, "id").collect()) == want
+    monkeypatch.setattr(linkage, "BROADCAST_ROWS", 0)
+    assert text(linkage.member_pairs(pairs.select("cls_a", "cls_b", *fields), members, "id").collect()) == want
