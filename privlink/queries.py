@@ -187,7 +187,8 @@ def jaro_winkler_scores(spark, sf_dir):
     """Names with long common beginnings, most of them above the 0.7 from which on these count."""
     names = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     score = similarity.score("jaro_winkler", F.col("s_name_a"), F.col("s_name_b"))
-    return linkage.self_pairs(names, "s_suppkey", ["s_name"], blocks=4).select("s_suppkey_a", "s_suppkey_b", F.round(score, 6).alias("score"))
+    pairs, members = linkage.class_pairs(names, "s_suppkey", ["s_name"])
+    return linkage.member_pairs(pairs.select("cls_a", "cls_b", F.round(score, 6).alias("score")), members, "s_suppkey")
 
 
 def blocking_metrics(spark, sf_dir):
