@@ -105,11 +105,12 @@ def clk_native(spark, sf_dir):
 def private_similarity(spark, sf_dir):
     spec = EncodingSpec.make("CLK", ["s_name", "s_nationkey"], HASHES, Q, bits=512)
     made = encode.encode(_read(spark, sf_dir, "supplier"), spec, KEY, ["s_suppkey"], name="enc")
-    pairs = linkage.self_pairs(made, "s_suppkey", ["enc"], blocks=4)
+    pairs, members = linkage.class_pairs(made, "s_suppkey", ["enc"])
     a, b = F.col("enc_a"), F.col("enc_b")
-    return pairs.select(
-        "s_suppkey_a", "s_suppkey_b", bits.hamming(a, b).alias("hamming"), bits.common_ones(a, b).alias("common"), F.round(bits.jaccard(a, b), 6).alias("jaccard"), F.round(bits.dice(a, b), 6).alias("dice")
+    scored = pairs.select(
+        "cls_a", "cls_b", bits.hamming(a, b).alias("hamming"), bits.common_ones(a, b).alias("common"), F.round(bits.jaccard(a, b), 6).alias("jaccard"), F.round(bits.dice(a, b), 6).alias("dice")
     )
+    return linkage.member_pairs(scored, members, "s_suppkey")
 
 
 def hamming_native(spark, sf_dir):
