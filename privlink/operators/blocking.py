@@ -62,7 +62,7 @@ def classes(df: DataFrame, enc: str, id_col: str = "id") -> tuple[DataFrame, Dat
     Ids are in one class if their filters are the same, all of them where an id repeats; nulls on either side are in none.
     """
     heads, members = datasets.classes(df.where(F.col(enc).isNotNull()), id_col, [enc])
-    return heads.drop("size"), members
+    return heads.drop("_size", "_last"), members
 
 
 def expand(pairs: DataFrame, members_a: DataFrame, members_b: DataFrame) -> DataFrame:

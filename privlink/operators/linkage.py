@@ -43,19 +43,21 @@ def self_pairs(df: DataFrame, uid: str, fields: list[str], blocks: int = 1) -> D
 
 
 def class_pairs(df: DataFrame, uid: str, fields: list[str], blocks: int = 8) -> tuple[DataFrame, DataFrame]:
-    """All pairs of classes of rows with the same fields, each class with itself too: cls_a, cls_b, size_a, size_b, and the fields as
-    {field}_a and {field}_b; and the members (id, cls) of the classes.
+    """All pairs of classes of rows with the same fields of which some member of a comes before one of b, in both orders and each class
+    with itself if so: cls_a, cls_b, _size_a, _size_b, and the fields as {field}_a and {field}_b; and the members (id, cls) of the classes.
 
     What depends on the fields alone is computed on these pairs; ``member_pairs`` lists those of ``self_pairs`` from them.  ``blocks``
     deals the classes as there, over blocks * blocks tasks.
     """
+    if "cls" in fields:
+        raise ValueError("no field may be named cls")
     heads, members = classes(df, uid, fields)
     part = F.pmod(F.xxhash64(uid), F.lit(blocks)).cast("int")
-    dealt = heads.withColumnRenamed("size", "_size").withColumn("_p", part).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cols = lambda s: [F.col(uid).alias(f"cls_{s}"), F.col("_size").alias(f"size_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in fields]]
+    dealt = heads.withColumn("_p", part).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cols = lambda s: [F.col(uid).alias(f"cls_{s}"), F.col("_size").alias(f"_size_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in fields]]
     a = dealt.select(*cols("a"), F.col("_p").alias("_i"), F.col("_o").alias("_j")).repartition(blocks * blocks, "_i", "_j")
-    b = dealt.select(*cols("b"), F.col("_o").alias("_i"), F.col("_p").alias("_j")).repartition(blocks * blocks, "_i", "_j")
-    return a.join(b, ["_i", "_j"]).drop("_i", "_j"), members
+    b = dealt.select(*cols("b"), "_last", F.col("_o").alias("_i"), F.col("_p").alias("_j")).repartition(blocks * blocks, "_i", "_j")
+    return a.join(b, ["_i", "_j"]).where("cls_a < _last").drop("_i", "_j", "_last"), members
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame, uid: str) -> DataFrame:
@@ -115,11 +117,11 @@ def pair_histogram(df: DataFrame, uid: str, fields: list[str], method: str = "ja
     Where a pair of classes has another vector the other way round, its members' pairs are listed, as their order tells which.
     """
     pairs, members = class_pairs(df, uid, fields, blocks)
-    way = lambda x, y: vector([(F.col(f"{f}_{x}"), F.col(f"{f}_{y}")) for f in fields], method, threshold)
-    one, other = F.col("cls_a") == F.col("cls_b"), F.col("vec") != F.col("rev")
-    scored = pairs.where("cls_a <= cls_b").withColumns({"vec": way("a", "b"), "rev": way("b", "a")})
-    pairs_of = F.when(one, F.expr("size_a * (size_a - 1) div 2")).otherwise(F.col("size_a") * F.col("size_b"))
-    open_ = ~one & other
+    one, many = F.col("cls_a") == F.col("cls_b"), F.expr("cls_a <> cls_b and _size_a * _size_b > 1")
+    back = [(F.when(many, F.col(f"{f}_b")), F.when(many, F.col(f"{f}_a"))) for f in fields]  # of two single rows the order is known
+    scored = similarity_vectors(pairs.where("cls_a <= cls_b"), fields, method, threshold).withColumn("rev", vector(back, method, threshold))
+    pairs_of = F.when(one, F.expr("_size_a * (_size_a - 1) div 2")).otherwise(F.col("_size_a") * F.col("_size_b"))
+    open_ = many & (F.col("vec") != F.col("rev"))
     kinds = scored.groupBy("vec", F.when(open_, F.col("rev")).alias("rev"), F.when(open_, F.col("cls_a")).alias("cls_a"), F.when(open_, F.col("cls_b")).alias("cls_b"))
     kinds = kinds.agg(F.sum(pairs_of).alias("n"), F.count("*").alias("rows"))
     a, b = members.toDF("_a", "cls_a"), members.toDF("_b", "cls_b")

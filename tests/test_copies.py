@@ -123,6 +123,14 @@ def test_histogram_of_copies(spark):
     assert time.time() - start < 20
 
 
+def test_no_class_pair_in_vain(spark):
+    """Different rows: each pair once, in the order of ids; fields may have the names of columns used inside."""
+    df = spark.createDataFrame([(i, f"n{i}", i) for i in range(6)], "id int, size string, last int")
+    pairs, members = linkage.class_pairs(df, "id", ["size", "last"], blocks=2)
+    assert sorted((r.cls_a, r.cls_b) for r in pairs.collect()) == list(itertools.combinations(range(6), 2))
+    assert linkage.pair_histogram(df, "id", ["size"], blocks=2).agg(F.sum("n")).first()[0] == 15
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 1024])
 def test_members_of_class_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(linkage, "CHUNK", chunk)
