@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .qgram import qgrams, unique_qgrams
 SIZES = {"bigrams": 2, "trigrams": 3, "quadgrams": 4}
 METHODS = ("jaro_winkler", "exact", *(f"{m}_{s}" for m in ("jaccard", "cosine", "dice") for s in SIZES))
 THRESHOLD = 0.70
+#: Letters up to which strings are compared many pairs at a time; longer ones go pair by pair.
+LETTERS = 64
 
 
 def jaro(a: str, b: str) -> float:
@@ -52,15 +55,60 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + min(0.1, 1 / max(len(a), len(b))) * prefix * (1 - j)
 
 
+def _letters(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points (letters by strings, zeros behind the last) and lengths."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    out = np.zeros((len(values), sizes.max(initial=0)), np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out.T, sizes
+
+
+def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_winkler`` of each pair, letter by letter over all pairs."""
+    (x, n), (y, k) = _letters(a), _letters(b)
+    top = max(len(x), len(y))
+    x, y = (np.vstack([m, np.zeros((top - len(m), len(a)), np.uint32)]) for m in (x, y))
+    swap = n > k
+    x, y, n, k = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, k, n), np.where(swap, n, k)
+    at = np.arange(top)[:, None]
+    x[at >= n], y[at >= k] = 0x110000, 0x110001  # no letter; equal to nothing
+    reach = np.maximum(k // 2 - 1, 0)
+    near, far = (int(f(reach)) if len(a) else 0 for f in (np.min, np.max))
+    mine, free = np.zeros(x.shape, bool), np.ones(y.shape, bool)
+    for i in range(int(n.max(initial=0))):
+        still = np.ones(len(a), bool)
+        for j in range(max(0, i - far), min(top, i + far + 1)):
+            met = (x[i] == y[j]) & free[j] & still
+            if abs(i - j) > near:
+                met &= reach >= abs(i - j)
+            free[j] ^= met
+            still ^= met
+        mine[i] = ~still
+    m = mine.sum(0)
+    apart = np.bincount(np.repeat(np.arange(len(a)), m), x.T[mine.T] != y.T[~free.T], len(a)).astype(np.int64)
+    some = np.maximum(m, 1)
+    j = np.where(m > 0, (m / np.maximum(n, 1) + m / np.maximum(k, 1) + (m - apart // 2) / some) / 3, 0.0)
+    prefix = np.logical_and.accumulate(x == y).sum(0)
+    return np.where(j <= 0.7, j, j + np.minimum(0.1, 1 / np.maximum(k, 1)) * prefix * (1 - j))
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    seen: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
+    out = np.full(len(a), np.nan)
+    a, b = a.to_numpy(), b.to_numpy()
+    short, seen = [], {}
+    for i, pair in enumerate(zip(a, b, strict=True)):
+        if None in pair:
+            continue
+        if max(map(len, pair)) <= LETTERS:
+            short.append(i)
+            continue
         if pair not in seen:
-            seen[pair] = math.nan if None in pair else jaro_winkler(*pair)
-        out.append(seen[pair])
-    return pd.Series(out, dtype="float64")
+            seen[pair] = jaro_winkler(*pair)
+        out[i] = seen[pair]
+    if short:
+        out[short] = jaro_winkler_many(a[short].tolist(), b[short].tolist())
+    return pd.Series(out)
 
 
 def _cosine(a: Column, b: Column, q: int) -> Column:

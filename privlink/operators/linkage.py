@@ -124,10 +124,11 @@ def pair_histogram(df: DataFrame, uid: str, fields: list[str], method: str = "ja
     open_ = many & (F.col("vec") != F.col("rev"))
     kinds = scored.groupBy("vec", F.when(open_, F.col("rev")).alias("rev"), F.when(open_, F.col("cls_a")).alias("cls_a"), F.when(open_, F.col("cls_b")).alias("cls_b"))
     kinds = kinds.agg(F.sum(pairs_of).alias("n"), F.count("*").alias("rows"))
-    a, b = members.toDF("_a", "cls_a"), members.toDF("_b", "cls_b")
-    listed = kinds.where("rev is not null").join(a, "cls_a").join(b, "cls_b").select(F.when(F.col("_a") < F.col("_b"), F.col("vec")).otherwise(F.col("rev")).alias("vec"), F.col("rows").alias("n"))
-    both = kinds.where("rev is null").select("vec", "n").unionByName(listed)
-    return _every_vector(both.groupBy("vec").agg(F.sum("n").alias("n")), len(fields))
+    a, b = members.toDF("_a", "cls_a"), members.toDF("_b", "cls_b")  # one pass: kinds that stand for their pairs have no classes to list
+    listed = kinds.join(a, "cls_a", "left").join(b, "cls_b", "left")
+    vec = F.when(F.col("rev").isNull() | (F.col("_a") < F.col("_b")), F.col("vec")).otherwise(F.col("rev"))
+    n = F.when(F.col("rev").isNull(), F.col("n")).otherwise(F.col("rows"))
+    return _every_vector(listed.groupBy(vec.alias("vec")).agg(F.sum(n).alias("n")), len(fields))
 
 
 def _every_vector(found: DataFrame, count: int) -> DataFrame:
