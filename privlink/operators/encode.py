@@ -71,6 +71,16 @@ def encode(df: DataFrame, spec: EncodingSpec, key: bytes, include: list[str], co
     return picked.mapInArrow(run, out).select(*include, F.col(name).alias(name, metadata={"encoding": spec.to_json()}))
 
 
+def encode_distinct(df: DataFrame, spec: EncodingSpec, key: bytes, include: list[str], compat: bool = False, name: str | None = None) -> DataFrame:
+    """``encode`` where rows often have the same fields: each combination of values is encoded once and joined to its rows."""
+    spec.check(df.schema)
+    spark = df.sparkSession
+    kinds = df.select(*spec.fields).distinct().repartition(2 * spark.sparkContext.defaultParallelism, *spec.fields)
+    made = encode(kinds, spec, key, spec.fields, compat, "__enc").toDF(*[f"__f{j}" for j in range(len(spec.fields))], "__enc")
+    same = functools.reduce(Column.__and__, [df[f].eqNullSafe(made[f"__f{j}"]) for j, f in enumerate(spec.fields)])
+    return df.join(made, same).select(*[df[c] for c in include], made["__enc"].alias(name or spec.column, metadata={"encoding": spec.to_json()}))
+
+
 def bit_positions(df: DataFrame, spec: EncodingSpec, key: bytes, include: list[str], compat: bool = False) -> DataFrame:
     """``include`` and the sorted set positions, by built-in expressions."""
     spec.check(df.schema)

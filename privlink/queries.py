@@ -42,9 +42,7 @@ def _part(spark: SparkSession, sf_dir: str, typo: bool = False) -> DataFrame:
 
 
 def _clk(spark: SparkSession, sf_dir: str, typo: bool = False) -> DataFrame:
-    """Dealt first: a table of one file would be encoded by one task."""
-    dealt = _part(spark, sf_dir, typo).repartition(2 * spark.sparkContext.defaultParallelism, "id")
-    return encode.encode(dealt, clk_spec(), KEY, ["id"], name="enc")
+    return encode.encode_distinct(_part(spark, sf_dir, typo), clk_spec(), KEY, ["id"], name="enc")
 
 
 def _keys(df: DataFrame) -> DataFrame:
