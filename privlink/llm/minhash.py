@@ -13,8 +13,9 @@ texts have full sketches as well.
 1. each member of a bucket is held against the bucket's smallest member (a star): estimate from the registers, corrected
    for accidental register matches, then the full sets;
 2. components of these links; a bucket whose members already lie in one component is done, and so is one of two members;
-3. in the other buckets, members of different components are compared in blocks of at most ``BLOCK`` x ``BLOCK``: each
-   pair once, in the first band that it shares, by the estimate first and then by full sets.  Only links leave the block;
+3. in the other buckets, members of different components are compared in blocks of about ``BLOCK`` x ``BLOCK``: each
+   pair once, in the first band that it shares, by the estimate first and then by full sets.  Only links leave the block,
+   and parts of a bucket's largest component do not meet each other;
 4. components of all links.
 So every candidate pair that could join two components is decided on full sets; nothing is capped or dropped.  A bucket
 with any share of the rows is dealt over many blocks.
@@ -275,6 +276,25 @@ def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def _deal(hits: DataFrame) -> DataFrame:
+    """Members (band, key, id, component, lead) of buckets that hold several components: key, p, q, band, part, id, component, lead.
+
+    Parts p and q of a bucket meet where those columns are equal.  Members of the bucket's largest component have nothing to
+    decide among themselves: their parts (the last ones) meet those of the others only.
+    """
+    each = hits.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("band", "key", F.col("most.component").alias("main"), parts(F.col("size") - F.col("most.n")).alias("others"), parts(F.col("most.n")).alias("last"))
+    main = F.col("component") == F.col("main")
+    return (
+        hits.join(mixed, ["band", "key"])
+        .withColumn("part", F.when(main, F.col("others") + F.pmod(F.xxhash64("id"), "last")).otherwise(F.pmod(F.xxhash64("id"), "others")).cast("int"))
+        .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(main, 0).otherwise(F.col("last")))))
+        .select("key", F.least("part", "q").alias("p"), F.greatest("part", "q").alias("q"), "band", "part", "id", "component", "lead")
+    )
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (smallest id reachable by links), kept."""
     ship(df.sparkSession)
@@ -302,13 +322,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     label = found.select(F.col("node").alias("id"), "component")
     open_hits = hits.where("size > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = open_hits.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (
-        open_hits.join(mixed, ["band", "key"], "left_semi")
-        .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        .withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("part", "q").alias("p"), F.greatest("part", "q").alias("q"), "band", "part", "id", "component", "lead")
+        _deal(open_hits)
         .join(sets, "id")
         .select("key", "p", "q", "band", "part", "id", "component", "lead", "n", "filled", "registers", "hashes")
         .repartition("key", "p", "q")
