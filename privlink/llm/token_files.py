@@ -32,6 +32,11 @@ from .common import cut, shared_dir, ship, shuffle_partitions
 
 #: A space with white space (or the end) on both sides: only there may a cut in front of a space change a match.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: A word of Latin letters, and a mark behind it: the split pattern of a byte-level tokenizer keeps the one whole, and parts the two.
+WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+MARKS = ",.;:!?"
+#: The characters that stand for the bytes of a token, as code points of the bytes in Latin-1.
+BYTES = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Distinct pieces, and their characters, that a worker remembers before it starts again; about 200 MB.
 REMEMBER, REMEMBER_CHARS = 900_000, 16 << 20
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32())))])
@@ -59,11 +64,57 @@ class Encoder:
         self.bytes_of[list(vocab.values())] = [len(t) for t in vocab]
         self.known: dict[str, bytes] = {}  # a piece without its leading space: the ids of " " + piece
         self.held = 0  # characters in known
+        self.marks = {c: self.ids(c) for c in ["", "\n", *MARKS]}
+        split, model = self.lib.pre_tokenizer, self.lib.model
+        plain = self.lib.normalizer is None and type(split).__name__ == "ByteLevel" and split.use_regex and type(model).__name__ == "BPE" and not model.dropout
+        self.model = model if plain else None  # where a word's tokens are the model's own
 
     def ids(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
+        """Words go straight to the model, and marked ones come from them; all others go through the whole tokenizer."""
+        if self.model is None:
+            self._learn(pieces)
+            return
+        words, marked, lines, rest = set(), [], [], []
+        for w in pieces:
+            if WORD.fullmatch(w):
+                words.add(w)
+            elif (x := self._stem(w)) is not None:
+                marked.append((w, x))
+            elif w.count("\n") == 1 and None not in (ends := list(map(self._stem, w.split("\n")))):
+                lines.append((w, *ends))
+            else:
+                rest.append(w)
+        words.update([x for _, x in marked], [x for _, x, _ in lines])
+        known, marks = self.known, self.marks
+        new = list(words.difference(known))
+        known.update(self._tokens(new, "\u0120"))
+        first = self._tokens(list({y for *_, y in lines}), "")  # a word that begins a line has no space in front
+        known.update([(w, known[x] + marks[w[len(x) :]]) for w, x in marked])
+        for w, x, y in lines:
+            at = w.index("\n")
+            known[w] = known[x] + marks[w[len(x) : at]] + marks["\n"] + first[y] + marks[w[at + 1 + len(y) :]]
+        self.held += sum(map(len, new)) + sum(len(w) for w, *_ in marked + lines)
+        if rest:
+            self._learn(rest)
+
+    def _stem(self, piece: str) -> str | None:
+        """The word of a word with at most one mark behind it."""
+        if piece[-1:] in MARKS:
+            piece = piece[:-1]
+        return piece if WORD.fullmatch(piece) else None
+
+    def _tokens(self, words: list[str], lead: str) -> dict[str, bytes]:
+        flat, ends, tokenize = [], [0], self.model.tokenize
+        for w in words:
+            flat += [t.id for t in tokenize(lead + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)))]
+            ends.append(4 * len(flat))
+        raw = np.array(flat, dtype="<u4").tobytes()
+        return dict(zip(words, [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
         self.held += sum(map(len, pieces))
         for lo in range(0, len(pieces), 1024):  # one call for many pieces; their bytes tell where the ids of each end
             some = pieces[lo : lo + 1024]
