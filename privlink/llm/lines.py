@@ -52,6 +52,8 @@ PART = 1024
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 #: Words of the runs that hold two lines together when their distance is bounded, and the first band of long ones.
 ANCHOR, FAR, STEP = 3, 1.5, 1024
+#: Product of the bytes of two rests up to which their distance is formed at once.
+SHORT = 16_384
 #: What separates words, but the line's end (a fixed value): ASCII other than letters and digits, once lower-cased.
 SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 # Fixed value: an odd multiplier that tells blocks of different places apart.
@@ -110,10 +112,11 @@ def _fits(a: str, b: str) -> Column:
 def close(a: str, b: str, most: Column) -> Column:
     """Whether the edit distance of two normalised lines is at most ``most``.
 
-    Two bounds from above settle most links: the words that differ in place; and where the runs of ANCHOR words that either line
-    has once stand in one order, the distances of what lies between the first words of those runs, summed.  A sum of over
-    FAR times ``most`` settles it the other way: a better way past the runs would have to save a third of all edits.  For all
-    others, what the lines have in common at their ends goes, and the distance of the rest is formed within a band.
+    The words that differ in place settle most links.  For all others, what the lines have in common at their ends goes.  Where
+    the rest is short (SHORT), its distance is formed at once; else where the runs of ANCHOR words that either rest has once stand in one order,
+    the distances of what lies between the first words of those runs are summed.  That sum is a bound from above, and one of
+    over FAR times ``most`` settles it the other way: a better way past the runs would have to save a third of all edits.  What
+    is open then has its distance formed within a band.
     """
 
     def distance(x: Column, y: Column, most: Column) -> Column:
@@ -158,17 +161,24 @@ def close(a: str, b: str, most: Column) -> Column:
         """Words at which two lists begin alike."""
         return F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), F.lit(False)).cast("int") - 1
 
+    def exact(r: Column) -> Column:
+        return F.when(r.most > STEP, distance(r.a, r.b, F.lit(STEP)) <= STEP).otherwise(False) | (distance(r.a, r.b, r.most) <= r.most)
+
+    def decided(r: Column) -> Column:
+        # where nothing is left of one line, the distance is the difference of the lengths
+        by_anchors = bind(anchored(r), lambda d: F.when(d <= r.most, True).when(d > r.most * FAR, False).otherwise(exact(r)))
+        short = F.octet_length(r.a) * F.octet_length(r.b) <= SHORT
+        return F.when((r.a == "") | (r.b == ""), True).when(short, exact(r)).otherwise(by_anchors)
+
     def trimmed(r: Column) -> Column:
         head = common(r.x, r.y)
         tail = F.least(common(F.reverse(r.x), F.reverse(r.y)), F.least(F.size(r.x), F.size(r.y)) - head)
-        left = lambda w, e: F.array_join(F.slice(w, e.h + 1, F.size(w) - e.h - e.t), " ")
+        left = lambda w, e: F.slice(w, e.h + 1, F.size(w) - e.h - e.t)
         rest = bind(F.struct(head.alias("h"), tail.alias("t")), lambda e: F.struct(left(r.x, e).alias("x"), left(r.y, e).alias("y")))
-        # where nothing is left of one line, the distance is the difference of the lengths
-        return bind(rest, lambda e: (e.x == "") | (e.y == "") | F.when(r.most > STEP, distance(e.x, e.y, F.lit(STEP)) <= STEP).otherwise(False) | (distance(e.x, e.y, r.most) <= r.most))
+        return bind(bind(rest, lambda e: F.struct(e.x.alias("x"), e.y.alias("y"), F.array_join(e.x, " ").alias("a"), F.array_join(e.y, " ").alias("b"), r.most.alias("most"))), decided)
 
     def settled(r: Column) -> Column:
-        by_anchors = bind(anchored(r), lambda d: F.when(d <= r.most, True).when(d > r.most * FAR, False).otherwise(trimmed(r)))
-        return F.when(in_place(r), True).otherwise(by_anchors)
+        return F.when(in_place(r), True).otherwise(trimmed(r))
 
     words = F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"), most.alias("most"))
     fits = F.abs(F.char_length(a) - F.char_length(b)) <= most
@@ -238,10 +248,9 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     each = each.select("id", "line_no", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("k"), "norm")
     found = store.put(each)
 
-    # different lines, with a number of their own once they are written
-    lines = found.groupBy("h", "k", "norm").agg(F.count("*").alias("times"))
-    lines = lines.select(F.monotonically_increasing_id().alias("lid"), "h", "k", "norm", F.char_length("norm").alias("chars"), "times", simhash(F.col("norm")).alias("sim"))
-    lines = store.put(lines)
+    # different lines by their hashes alone, with a number of their own once they are written
+    lines = found.select("h", "k", simhash(F.col("norm")).alias("sim")).groupBy("h", "k", "sim").agg(F.count("*").alias("times"))
+    lines = store.put(lines.select(F.monotonically_increasing_id().alias("lid"), "h", "k", "times", "sim"))
     entered = lines.select("lid", F.explode("sim").alias("key"))
     buckets = entered.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.bit_xor("lid").alias("all"), F.count("*").alias("n"))
     buckets = store.put(buckets.where("n > 1"))
@@ -249,16 +258,20 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     few = buckets.where("n <= 3").select("key", "low", "high", "n", F.explode(F.array_distinct(F.array("low", "high", third))).alias("lid")).where("n = 3 or lid in (low, high)")
     large = entered.join(_few(buckets.where("n > 3").select("key", "low", "high", "n")), "key").select("key", "low", "high", "n", "lid")
     members = store.put(few.unionByName(large))
+    # the texts of lines that share a block with another; all others are needed no more
+    sharing = store.put(lines.join(_few(store.put(members.select("lid").distinct())), "lid", "left_semi").select("lid", "h", "k", "sim"))
+    texts = found.select("h", "k", "norm").join(_few(sharing.select("lid", "h", "k")), ["h", "k"]).select("lid", "norm").distinct()
+    texts = store.put(texts.join(sharing.select("lid", "sim"), "lid").select("lid", "norm", F.char_length("norm").alias("chars"), "sim"))
 
     # each line against the least line of its largest bucket, then against both ends of buckets that hold several components
     best = members.groupBy("lid").agg(F.max(F.struct("n", F.col("low").alias("end"))).alias("top")).select("lid", F.col("top.end").alias("end"))
-    groups = store.put(components(_verified(_ordered(best, "lid", "end"), lines, store)))
+    groups = store.put(components(_verified(_ordered(best, "lid", "end"), texts, store)))
     label = groups.select(F.col("node").alias("lid"), "component")
     named = store.put(members.join(label, "lid", "left").withColumn("component", F.coalesce("component", "lid")))
     ends = [named.join(named.where(F.col("lid") == F.col(e)).select("key", F.col("component").alias("other")), "key").where("component <> other") for e in ("low", "high")]
     pairs = functools.reduce(DataFrame.unionByName, [_ordered(m, "lid", e) for m, e in zip(ends, ("low", "high"), strict=True)])
-    groups = _joined(groups, _verified(pairs, lines, store), store)
-    groups = _joined(groups, _verified(_across(members.where("n > 3"), lines, groups, store), lines, store), store)
+    groups = _joined(groups, _verified(pairs, texts, store), store)
+    groups = _joined(groups, _verified(_across(members.where("n > 3"), texts, groups, store), texts, store), store)
 
     # a group of more than one line is known by its component's number, of one by the line itself; lines that occur once are left out
     roots = lines.select("lid", "h", "k", "times").join(_few(groups.select(F.col("node").alias("lid"), "component")), "lid", "left").where("component is not null or times > 1")
