@@ -189,19 +189,24 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, store: Store) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lengths and SimHashes allow a link."""
+    sides = [lines.select(F.col("lid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("chars", "sim")]) for s in ("a", "b")]
+    both = pairs.distinct().join(sides[1], "b").join(sides[0], "a")
+    return both.where(_fits("chars_a", "chars_b") & (_apart("sim_a", "sim_b") <= DISTANCE)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, store: Store) -> DataFrame:
+    """Of pairs (a, b) that are near, those that are links."""
     pairs = store.put(pairs.distinct())
     ends = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
-    ends = _few(store.put(ends))
-    texts = store.put(lines.select("lid", "norm", "chars", "sim").join(ends, "lid", "left_semi"))
-    sides = [texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns]).withColumnRenamed(f"lid_{s}", s) for s in ("a", "b")]
+    texts = store.put(texts.join(_few(store.put(ends)), "lid", "left_semi"))
+    sides = [texts.select(F.col("lid").alias(s), F.col("norm").alias(f"norm_{s}")) for s in ("a", "b")]
     # a bucket's ends meet all its lines: they are few
     firsts = sides[0].join(_few(store.put(pairs.select("a").distinct())), "a", "left_semi")
     size = firsts.agg(F.sum(F.octet_length("norm_a") + 200)).first()[0] or 0
     both = pairs.join(sides[1], "b").join(F.broadcast(firsts) if size <= BROADCAST_BYTES else firsts, "a")
-    near = _fits("chars_a", "chars_b") & (_apart("sim_a", "sim_b") <= DISTANCE)
-    return store.put(both.where(near).where(close("norm_a", "norm_b", _most("chars_a", "chars_b"))).select("a", "b"))
+    return store.put(both.where(close("norm_a", "norm_b", _most(F.char_length("norm_a"), F.char_length("norm_b")))).select("a", "b"))
 
 
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -233,10 +238,17 @@ def _across(members: DataFrame, lines: DataFrame, found: DataFrame, store: Store
 
 
 def _joined(groups: DataFrame, links: DataFrame, store: Store) -> DataFrame:
-    """The components once further links hold."""
+    """The components once further links hold: only components that a link ties to another take part."""
     if not links.take(1):
         return groups
-    return store.put(components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    ties = links
+    for s in ("a", "b"):
+        name = groups.select(F.col("node").alias(s), F.col("component").alias("c"))
+        ties = ties.join(name, s, "left").withColumn(s, F.coalesce("c", s)).drop("c")
+    new = store.put(components(ties).toDF("old", "new"))
+    kept = groups.join(_few(new), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = new.join(groups.select(F.col("node").alias("old")), "old", "left_anti").toDF("node", "component")
+    return store.put(kept.unionByName(alone))
 
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,8 +261,8 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = store.put(each)
 
     # different lines by their hashes alone, with a number of their own once they are written
-    lines = found.select("h", "k", simhash(F.col("norm")).alias("sim")).groupBy("h", "k", "sim").agg(F.count("*").alias("times"))
-    lines = store.put(lines.select(F.monotonically_increasing_id().alias("lid"), "h", "k", "times", "sim"))
+    lines = found.select("h", "k", F.char_length("norm").alias("chars"), simhash(F.col("norm")).alias("sim")).groupBy("h", "k", "chars", "sim").agg(F.count("*").alias("times"))
+    lines = store.put(lines.select(F.monotonically_increasing_id().alias("lid"), "h", "k", "chars", "times", "sim"))
     entered = lines.select("lid", F.explode("sim").alias("key"))
     buckets = entered.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.bit_xor("lid").alias("all"), F.count("*").alias("n"))
     buckets = store.put(buckets.where("n > 1"))
@@ -259,19 +271,20 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     large = entered.join(_few(buckets.where("n > 3").select("key", "low", "high", "n")), "key").select("key", "low", "high", "n", "lid")
     members = store.put(few.unionByName(large))
     # the texts of lines that share a block with another; all others are needed no more
-    sharing = store.put(lines.join(_few(store.put(members.select("lid").distinct())), "lid", "left_semi").select("lid", "h", "k", "sim"))
-    texts = found.select("h", "k", "norm").join(_few(sharing.select("lid", "h", "k")), ["h", "k"]).select("lid", "norm").distinct()
-    texts = store.put(texts.join(sharing.select("lid", "sim"), "lid").select("lid", "norm", F.char_length("norm").alias("chars"), "sim"))
+    sharing = store.put(lines.join(_few(store.put(members.select("lid").distinct())), "lid", "left_semi").select("lid", "h", "k", "chars", "sim"))
+    texts = store.put(found.select("h", "k", "norm").join(_few(sharing.select("lid", "h", "k")), ["h", "k"]).select("lid", "norm").distinct())
 
     # each line against the least line of its largest bucket, then against both ends of buckets that hold several components
     best = members.groupBy("lid").agg(F.max(F.struct("n", F.col("low").alias("end"))).alias("top")).select("lid", F.col("top.end").alias("end"))
-    groups = store.put(components(_verified(_ordered(best, "lid", "end"), texts, store)))
-    label = groups.select(F.col("node").alias("lid"), "component")
-    named = store.put(members.join(label, "lid", "left").withColumn("component", F.coalesce("component", "lid")))
-    ends = [named.join(named.where(F.col("lid") == F.col(e)).select("key", F.col("component").alias("other")), "key").where("component <> other") for e in ("low", "high")]
-    pairs = functools.reduce(DataFrame.unionByName, [_ordered(m, "lid", e) for m, e in zip(ends, ("low", "high"), strict=True)])
-    groups = _joined(groups, _verified(pairs, texts, store), store)
-    groups = _joined(groups, _verified(_across(members.where("n > 3"), texts, groups, store), texts, store), store)
+    groups = store.put(components(_verified(_near(_ordered(best, "lid", "end"), sharing), texts, store)))
+    label = _few(groups)
+    named = members
+    for c, name in (("lid", "component"), ("low", "x"), ("high", "y")):
+        named = named.join(label.toDF("node", name), F.col(c) == F.col("node"), "left").withColumn(name, F.coalesce(name, c)).drop("node")
+    named = store.put(named)
+    pairs = _ordered(named.where("component <> x"), "lid", "low").unionByName(_ordered(named.where("component <> y"), "lid", "high"))
+    groups = _joined(groups, _verified(_near(pairs, sharing), texts, store), store)
+    groups = _joined(groups, _verified(_across(members.where("n > 3"), sharing, groups, store), texts, store), store)
 
     # a group of more than one line is known by its component's number, of one by the line itself; lines that occur once are left out
     roots = lines.select("lid", "h", "k", "times").join(_few(groups.select(F.col("node").alias("lid"), "component")), "lid", "left").where("component is not null or times > 1")
