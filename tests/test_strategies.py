@@ -1,5 +1,6 @@
 """How often a blocking run counts B, and which side it broadcasts."""
 
+import pytest
 from privlink import queries
 from privlink.operators import blocking
 from privlink.plans.spec import blocking_groups
@@ -21,3 +22,13 @@ def test_records_count_b_once(spark, monkeypatch):
     assert len(calls) == 1
     monkeypatch.undo()
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, matched(spark, "shuffle").collect()))
+
+
+@pytest.mark.parametrize("limit, want", [(200_000, True), (3, False)])
+def test_auto_broadcasts_few_filters(spark, monkeypatch, limit, want):
+    given, verify = [], blocking.verify
+    monkeypatch.setattr(blocking, "BROADCAST_RECORDS", limit)
+    monkeypatch.setattr(blocking, "verify", lambda *a: given.append(a[9]) or verify(*a))
+    made = matched(spark, "auto")
+    assert given == [want]
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, matched(spark, "shuffle").collect()))
