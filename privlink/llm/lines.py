@@ -167,7 +167,7 @@ def close(a: str, b: str, most: Column) -> Column:
     def decided(r: Column) -> Column:
         # where nothing is left of one line, the distance is the difference of the lengths
         by_anchors = bind(anchored(r), lambda d: F.when(d <= r.most, True).when(d > r.most * FAR, False).otherwise(exact(r)))
-        short = F.octet_length(r.a) * F.octet_length(r.b) <= SHORT
+        short = F.octet_length(r.a).cast("bigint") * F.octet_length(r.b) <= SHORT
         return F.when((r.a == "") | (r.b == ""), True).when(short, exact(r)).otherwise(by_anchors)
 
     def trimmed(r: Column) -> Column:

@@ -39,3 +39,16 @@ def test_distance_of_rests_short_and_long(spark):
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("most", lines._most(F.char_length("a"), F.char_length("b")))
     got = df.select(lines.close("a", "b", F.col("most")).alias("x"), (F.levenshtein("a", "b") <= F.col("most")).alias("y")).collect()
     assert all(r.x == r.y for r in got) and {r.y for r in got} == {True, False}
+
+
+def test_rests_whose_bytes_multiply_beyond_an_int(spark):
+    """Two rests of 60,000 bytes each: the product of their bytes is over 2^31."""
+    words = [f"word{i:05d}" for i in range(6000)]
+    a = " ".join(words)
+    b = " ".join(["other", *words[1:3000], "inserted", *words[3000:-1], "last"])
+    c = " ".join(["inserted", *("zzzz" if i % 6 < 3 else w for i, w in enumerate(words)), "last"])
+    frame = spark.createDataFrame([(0, a, b), (1, a, c)], "i int, a string, b string")
+    most = F.floor(F.greatest(F.length("a"), F.length("b")) * 0.1 + 1e-9).cast("int")
+    assert [r.near for r in frame.select("i", lines.close("a", "b", most).alias("near")).orderBy("i").collect()] == [True, False]
+    found = lines.line_groups(spark.createDataFrame([(1, a), (2, b), (3, a + "\n" + c)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no): r.keep_id for r in found} == {(1, 0): 1, (2, 0): 1, (3, 0): 1, (3, 1): 3}
