@@ -264,12 +264,11 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     lines = found.select("h", "k", F.char_length("norm").alias("chars"), simhash(F.col("norm")).alias("sim")).groupBy("h", "k", "chars", "sim").agg(F.count("*").alias("times"))
     lines = store.put(lines.select(F.monotonically_increasing_id().alias("lid"), "h", "k", "chars", "times", "sim"))
     entered = lines.select("lid", F.explode("sim").alias("key"))
-    buckets = entered.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.bit_xor("lid").alias("all"), F.count("*").alias("n"))
-    buckets = store.put(buckets.where("n > 1"))
-    third = F.col("low").bitwiseXOR(F.col("high")).bitwiseXOR(F.col("all"))  # the line between, in a bucket of three
-    few = buckets.where("n <= 3").select("key", "low", "high", "n", F.explode(F.array_distinct(F.array("low", "high", third))).alias("lid")).where("n = 3 or lid in (low, high)")
-    large = entered.join(_few(buckets.where("n > 3").select("key", "low", "high", "n")), "key").select("key", "low", "high", "n", "lid")
-    members = store.put(few.unionByName(large))
+    # most blocks are of one line: only their number goes into the large aggregate, and the ends of the others are found among their members
+    shared = store.put(entered.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = store.put(entered.join(_few(shared), "key").select("key", "n", "lid"))
+    ends = store.put(met.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")))
+    members = store.put(met.join(_few(ends), "key").select("key", "low", "high", "n", "lid"))
     # the texts of lines that share a block with another; all others are needed no more
     sharing = store.put(lines.join(_few(store.put(members.select("lid").distinct())), "lid", "left_semi").select("lid", "h", "k", "chars", "sim"))
     texts = store.put(found.select("h", "k", "norm").join(_few(sharing.select("lid", "h", "k")), ["h", "k"]).select("lid", "norm").distinct())
