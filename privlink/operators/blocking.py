@@ -280,6 +280,10 @@ def blocked_summary(a: DataFrame, b: DataFrame, groups: list[list[int]], collisi
     """``summary`` of a run of ``block`` and its frequent pairs, from the sizes of classes: no pair of copies is made."""
     enc_a, enc_b = _encoded(a), _encoded(b)
     rows = lambda df, name: df.agg(F.count("*").alias(name))
+    if strategy == "shuffle":
+        met = meeting.met_totals(a, b, groups, collisions, threshold, method, enc_a, enc_b, False)
+        sums = met.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_frequent", "n_matched")])
+        return rows(a, "n_a").join(rows(b, "n_b")).join(sums).withColumn("n_pairs", F.col("n_a") * F.col("n_b"))  # one row each
     (heads_a, members_a), (heads_b, members_b) = classes(a, enc_a), classes(b, enc_b)
     freq = frequent(candidates(lsh_keys(heads_a, groups, enc_a), lsh_keys(heads_b, groups, enc_b), strategy), collisions)
     matched = verify(freq, heads_a, heads_b, enc_a, enc_b, method, threshold, records=strategy == "records")
