@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits, hashing, qgram, similarity
-from .operators import blocking, datasets, encode, linkage
+from .operators import blocking, datasets, encode, linkage, meeting
 from .plans.spec import EncodingSpec, blocking_groups, optimal_blocking
 from .sources import files
 
@@ -133,6 +133,10 @@ def lsh_buckets(spark, sf_dir):
     return made.select(F.col("grp").cast("bigint").alias("grp"), "key", F.array_join("ids", " ").alias("ids"))
 
 
+def _met(spark, sf_dir, least: int) -> DataFrame:
+    return meeting.met_pairs(_clk(spark, sf_dir), _clk(spark, sf_dir, True), blocking_groups(BITS, GROUP_BITS, GROUPS, SEED), least)
+
+
 def _class_pairs(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of classes, once for each key that they share, and the members of both sides' classes."""
     (a, members_a), (b, members_b) = (blocking.classes(x, "enc") for x in (a, b))
@@ -145,8 +149,7 @@ def lsh_candidates(spark, sf_dir):
 
 
 def fps_frequent(spark, sf_dir):
-    pairs, *members = _class_pairs(_clk(spark, sf_dir), _clk(spark, sf_dir, True))
-    return blocking.expand(blocking.frequent(pairs, COLLISIONS), *members)
+    return _met(spark, sf_dir, COLLISIONS)
 
 
 def _matched(strategy: str):
