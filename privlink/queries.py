@@ -253,14 +253,14 @@ def csv_import_customers(spark, sf_dir):
 
 
 def linkage_quality(spark, sf_dir):
-    """Scores are those of classes; each stands for its pairs of one id and for its others."""
-    (a, members_a), (b, members_b) = (blocking.classes(_clk(spark, sf_dir, typo), "enc") for typo in (False, True))
-    freq = blocking.weigh(blocking.frequent(blocking.candidates(_keys(a), _keys(b), "shuffle"), COLLISIONS), members_a, members_b)
-    same = blocking.same_ids(members_a, members_b).withColumnRenamed("n", "same")
-    both = freq.join(a.toDF("aid", "x"), "aid").join(b.toDF("bid", "y"), "bid").join(same, ["aid", "bid"], "left")
-    scored = both.select(F.round(bits.jaccard(F.col("x"), F.col("y")), 9).alias("score"), "n", F.coalesce("same", F.lit(0)).alias("same"))
-    parts = F.explode(F.array(F.struct(F.lit(True).alias("truth"), F.col("same").alias("n")), F.struct(F.lit(False).alias("truth"), (F.col("n") - F.col("same")).alias("n"))))
-    made = linkage.quality(scored.select("score", parts.alias("p")), F.col("score"), F.col("p.truth"), THRESHOLDS, F.col("p.n"))
+    """Pairs that meet are counted by the ones of their filters; those of one id, which are few, are looked at once more."""
+    groups = blocking_groups(BITS, GROUP_BITS, GROUPS, SEED)
+    a, b = _clk(spark, sf_dir), _clk(spark, sf_dir, True)
+    met = meeting.met_scores(a, b, groups, COLLISIONS, BITS)
+    own = meeting.own_scores(a, b, groups, COLLISIONS)
+    parts = own.withColumn("truth", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("n", F.when(F.col("truth"), F.col("n")).otherwise(-F.col("n")))
+    scored = met.withColumn("truth", F.lit(False)).unionByName(parts).withColumn("score", F.round(F.try_divide("both", "either"), 9))
+    made = linkage.quality(scored, F.col("score"), F.col("truth"), THRESHOLDS, F.col("n"))
     return made.select("threshold", "tm", "fm", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 

@@ -10,7 +10,7 @@ from privlink.operators import blocking, meeting
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["blocking_metrics", "blocking_summary", "fps_frequent", "lsh_candidates"])
+@pytest.mark.parametrize("name", ["blocking_metrics", "blocking_summary", "fps_frequent", "lsh_candidates", "linkage_quality"])
 def test_no_row_of_a_pair_is_dealt(spark, monkeypatch, name):
     monkeypatch.setattr(blocking, "candidates", lambda *a: pytest.fail("a row for each key of a pair"))
     assert queries.queries()[name](spark, DATA).count() > 0
