@@ -209,6 +209,8 @@ def block(
     count = None if strategy == "shuffle" else b.count()  # a class's filters have a key for each group
     if strategy == "auto" and count <= BROADCAST_RECORDS and count * len(groups) <= BROADCAST_ROWS:
         strategy = "records"
+    elif strategy == "broadcast" and count * len(groups) > BROADCAST_ROWS:
+        strategy = "shuffle"
     if method == "hamming":
         pairs = near(a, b, groups, threshold, spec_a.bits, enc_a, enc_b, strategy, id_a, id_b, count)
     else:

@@ -32,3 +32,12 @@ def test_auto_broadcasts_few_filters(spark, monkeypatch, limit, want):
     made = matched(spark, "auto")
     assert given == [want]
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, matched(spark, "shuffle").collect()))
+
+
+@pytest.mark.parametrize("strategy, limits", [("broadcast", {"BROADCAST_ROWS": 3})])
+def test_more_than_can_be_broadcast(spark, monkeypatch, strategy, limits):
+    """A larger B is dealt otherwise, and nothing is refused."""
+    want = sorted(map(tuple, matched(spark, "shuffle").collect()))
+    for name, limit in limits.items():
+        monkeypatch.setattr(blocking, name, limit)
+    assert sorted(map(tuple, matched(spark, strategy).collect())) == want
