@@ -2,8 +2,9 @@
 
 keys(A) join keys(B) -> count by pair >= collisions -> join A, B -> similarity.  One lazy plan: the partial aggregation
 before the pair shuffle plays the combiner; adaptive execution splits hot keys of the key join.  ``strategy`` picks how B's
-keys reach A's: "shuffle", "broadcast" (refused beyond ``BROADCAST_ROWS`` keys), or "auto", which counts B first;
-"records" broadcasts B's filters as well (refused beyond ``BROADCAST_RECORDS``).
+keys reach A's: "shuffle", "broadcast" (up to ``BROADCAST_ROWS`` keys), or "auto", which counts B first; "records" broadcasts
+B's filters as well (up to ``BROADCAST_RECORDS``).  Beyond these ``block`` takes the next that holds any number (broadcast for
+records, shuffle for both); a step that is called by itself refuses.
 
 Where only matches are asked for, by Hamming distance, ``near`` turns the order round: keys carry the first ``WORDS`` words of
 their filters, and a pair whose distance on these alone is beyond the threshold is gone where it is met, before pairs are
@@ -209,8 +210,10 @@ def block(
     count = None if strategy == "shuffle" else b.count()  # a class's filters have a key for each group
     if strategy == "auto" and count <= BROADCAST_RECORDS and count * len(groups) <= BROADCAST_ROWS:
         strategy = "records"
-    elif strategy == "broadcast" and count * len(groups) > BROADCAST_ROWS:
+    elif strategy in ("broadcast", "records") and count * len(groups) > BROADCAST_ROWS:
         strategy = "shuffle"
+    elif strategy == "records" and count > BROADCAST_RECORDS:
+        strategy = "broadcast"
     if method == "hamming":
         pairs = near(a, b, groups, threshold, spec_a.bits, enc_a, enc_b, strategy, id_a, id_b, count)
     else:

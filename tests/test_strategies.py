@@ -34,7 +34,7 @@ def test_auto_broadcasts_few_filters(spark, monkeypatch, limit, want):
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, matched(spark, "shuffle").collect()))
 
 
-@pytest.mark.parametrize("strategy, limits", [("broadcast", {"BROADCAST_ROWS": 3})])
+@pytest.mark.parametrize("strategy, limits", [("broadcast", {"BROADCAST_ROWS": 3}), ("records", {"BROADCAST_ROWS": 3}), ("records", {"BROADCAST_RECORDS": 3})])
 def test_more_than_can_be_broadcast(spark, monkeypatch, strategy, limits):
     """A larger B is dealt otherwise, and nothing is refused."""
     want = sorted(map(tuple, matched(spark, "shuffle").collect()))
