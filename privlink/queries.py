@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits, hashing, qgram, similarity
-from .operators import blocking, datasets, encode, linkage, meeting
+from .operators import blocking, datasets, encode, linkage, meeting, tables
 from .plans.spec import EncodingSpec, blocking_groups, optimal_blocking
 from .sources import files
 
@@ -103,12 +103,13 @@ def clk_native(spark, sf_dir):
 def private_similarity(spark, sf_dir):
     spec = EncodingSpec.make("CLK", ["s_name", "s_nationkey"], HASHES, Q, bits=512)
     made = encode.encode(_read(spark, sf_dir, "supplier"), spec, KEY, ["s_suppkey"], name="enc")
-    pairs, members = linkage.class_pairs(made, "s_suppkey", ["enc"])
-    a, b = F.col("enc_a"), F.col("enc_b")
-    scored = pairs.select(
-        "cls_a", "cls_b", bits.hamming(a, b).alias("hamming"), bits.common_ones(a, b).alias("common"), F.round(bits.jaccard(a, b), 6).alias("jaccard"), F.round(bits.dice(a, b), 6).alias("dice")
-    )
-    return linkage.member_pairs(scored, members, "s_suppkey")
+    pairs = tables.filter_pairs(made, "s_suppkey", "enc")
+    # what follows from both counts is looked up, as rounding is slow
+    kinds = spark.range((spec.bits + 1) * (2 * spec.bits + 1)).select(F.expr(f"id div {2 * spec.bits + 1}").cast("int").alias("common"), (F.col("id") % (2 * spec.bits + 1)).cast("int").alias("total"))
+    both, total = F.col("common"), F.col("total")
+    known = kinds.select("common", "total", F.round(F.try_divide(both, total - both), 6).alias("jaccard"), F.round(F.try_divide(2 * both, total), 6).alias("dice"))
+    found = pairs.join(F.broadcast(known.where("total >= 2 * common")), ["common", "total"])
+    return found.select("s_suppkey_a", "s_suppkey_b", (total - 2 * both).cast("bigint").alias("hamming"), both.cast("bigint").alias("common"), "jaccard", "dice")
 
 
 def hamming_native(spark, sf_dir):
