@@ -211,10 +211,11 @@ M, U, P = [0.95, 0.9], [0.02, 0.1], 0.01
 
 
 def linkage_scores(spark, sf_dir):
-    vec, fields = F.col("vec"), ["s_name", "balance"]
-    pairs, members = linkage.class_pairs(_balances(spark, sf_dir), "s_suppkey", fields)
-    scored = linkage.similarity_vectors(pairs, fields).select("cls_a", "cls_b", vec.cast("bigint").alias("vec"), F.round(similarity.linkage_score(vec, M, U), 6).alias("score"), similarity.is_link(vec, M, U, P).alias("link"))
-    return linkage.member_pairs(scored, members, "s_suppkey")
+    pairs = tables.vector_pairs(_balances(spark, sf_dir), "s_suppkey", ["s_name", "balance"])
+    vec = F.col("vec")
+    each = lambda value: F.coalesce(*[F.when(vec == v, value(F.lit(v))) for v in range(4)])  # noqa: E731 - constants, one for each vector
+    score, link = each(lambda v: F.round(similarity.linkage_score(v, M, U), 6)), each(lambda v: similarity.is_link(v, M, U, P))
+    return pairs.select("s_suppkey_a", "s_suppkey_b", vec.cast("bigint").alias("vec"), score.alias("score"), link.alias("link"))
 
 
 def em_estimate(spark, sf_dir):
