@@ -204,7 +204,7 @@ def _balances(spark, sf_dir):
 
 
 def vector_histogram(spark, sf_dir):
-    return linkage.pair_histogram(_balances(spark, sf_dir), "s_suppkey", ["s_name", "balance"]).select(F.col("vec").cast("bigint").alias("vec"), "n")
+    return tables.vector_counts(_balances(spark, sf_dir), "s_suppkey", ["s_name", "balance"]).select(F.col("vec").cast("bigint").alias("vec"), "n")
 
 
 M, U, P = [0.95, 0.9], [0.02, 0.1], 0.01

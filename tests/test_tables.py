@@ -43,7 +43,7 @@ def test_filters_of_blocks(spark):
     assert sorted(map(tuple, tables.filter_pairs(df, "id", "enc", blocks=2).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["private_similarity", "linkage_scores"])
+@pytest.mark.parametrize("name", ["private_similarity", "linkage_scores", "vector_histogram"])
 def test_no_pair_is_joined(spark, monkeypatch, name):
     monkeypatch.setattr(linkage, "class_pairs", lambda *a: pytest.fail("a row for each pair goes through a join"))
     assert queries.queries()[name](spark, DATA).agg(F.count("*")).first()[0] > 0
