@@ -185,7 +185,7 @@ def matching_rows(xs: list[str], y: Strings, threshold: float):
         for x in xs:
             yield x, jaro_winkler_row(x, y) >= threshold
         return
-    before, size = "", -1
+    before, size, codes = "", -1, y.codes.astype(np.int16) if len(y.letters) < 1 << 15 else y.codes
     for x in sorted(xs, key=lambda v: (len(v), v)):
         n = len(x)
         if n != size:
@@ -195,20 +195,29 @@ def matching_rows(xs: list[str], y: Strings, threshold: float):
             reach = [max(max(k, n) // 2 - 1, 0) for k in lengths.tolist()]
             windows = [np.array([((1 << (i + r + 1)) - 1) & ~((1 << max(0, i - r)) - 1) & int(full) for r in reach], kind)[at] for i in range(n)]
             may, must = (np.array(v, np.uint8)[at] for v in zip(*[_sure(n, k, threshold) for k in lengths.tolist()], strict=True))
+            sure = [np.array([[(m / min(n, k) + m / max(n, k) + (m - (m - p) // 2) / m) / 3 >= threshold if 0 < p <= m <= k else False for p in range(n + 1)] for m in range(n + 1)]) for k in lengths.tolist()]
+            sure = np.array(sure)
             states, before, size = [np.full(len(y.values), full, kind)], "", n
+            begins, same = [np.zeros(len(y.values), np.uint8)], [np.ones(len(y.values), bool)]
             places = {c: v.astype(kind, copy=False) for c, v in y.places.items()}
         p = next((i for i, (c, d) in enumerate(zip(x, before, strict=False)) if c != d), min(n, len(before)))
-        del states[p + 1 :]
+        for stack in (states, begins, same):
+            del stack[p + 1 :]
         for i in range(p, n):
             free = states[-1]
             c = places.get(x[i], none) & windows[i]
             c &= free
             c &= np.negative(c)  # the lowest bit
             states.append(free ^ c)
+            same.append(same[-1] & (codes[i] == y.letters.get(x[i], -1)) if i < len(codes) else same[0] & False)
+            begins.append(begins[-1] + same[-1])
         before = x
         m = np.bitwise_count(~states[-1])
         out = m >= must
         open_ = np.flatnonzero((m >= may) & ~out)
+        if len(open_):  # a common beginning is matched with itself, so none of it is transposed
+            out[open_] = sure[at[open_], m[open_], begins[-1][open_]]
+            open_ = open_[~out[open_]]
         if len(open_):
             out[open_] = jaro_winkler_row(x, y, open_) >= threshold
         yield x, out
